@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from entityflow.llm import decontaminate, langid, licenses, mixing, quality_model, quality_rules, sharding
+from entityflow.llm import chat, decontaminate, langid, licenses, mixing, neardup, quality_model, quality_rules, sharding, substrings
 from entityflow.llm.common import materialize
 
 
@@ -39,6 +39,15 @@ def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_model.classify(docs, labels).select("doc_id", "held_out", "score", "predicted")
 
 
+def op5_tool_call_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = _read(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text")
+    return chat.link(chat.from_turns(turns), schemas=chat.ANSWER)
+
+
+def op6_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(_read(spark, sf_dir, "documents", "doc_id", "text"))
+
+
 def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents", "doc_id", "text")
     return licenses.scan_licenses(docs).select("doc_id", *licenses.RESULT)
@@ -49,6 +58,12 @@ def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign(docs).select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")
 
 
+def op9_repeated_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents", "doc_id", "text")
+    found = substrings.remove_repeats(docs, texts=False)
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents", "doc_id", "source", "text")
     measured = materialize(quality_rules.measure(docs).drop("text"), "rules")
@@ -57,7 +72,19 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_decontamination, op2_mixing, op3_language_id, op4_quality_classifier, op7_license_scan, op8_sharding, op10_quality_rules)}
+    all_queries = (
+        op1_decontamination,
+        op2_mixing,
+        op3_language_id,
+        op4_quality_classifier,
+        op5_tool_call_linking,
+        op6_near_duplicates,
+        op7_license_scan,
+        op8_sharding,
+        op9_repeated_substrings,
+        op10_quality_rules,
+    )
+    return {f.__name__: f for f in all_queries}
 
 
 def oracle_sql() -> dict[str, str]:
