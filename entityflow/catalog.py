@@ -2,18 +2,348 @@
 
 from __future__ import annotations
 
-FLAGSHIP = "customers_by_nation"
+from pyspark.sql import functions as F
 
+from entityflow.functions import text
+from entityflow.operators import events, graph, matching, resolve
+from entityflow.session import table
 
-def _customers_by_nation(spark, sf_dir):
-    from entityflow.session import table
+FLAGSHIP = "resolve_source_priority"
+_QUERIES: dict = {}
+_SQL: dict[str, str] = {}
 
-    return table(spark, sf_dir, "customer").groupBy("c_nationkey").count().withColumnRenamed("count", "n_customers")
+#: 2024-06-01 in microseconds, the moment of the as-of queries.
+AT_US = 1_717_200_000_000_000
+DAY = resolve.DAY_US
+
+
+def _query(sql: str | None, name: str | None = None):
+    def add(f):
+        _QUERIES[name or f.__name__] = f
+        if sql:
+            _SQL[name or f.__name__] = sql
+        return f
+
+    return add
+
+
+# ---------------------------------------------------------------- resolution
+
+_OBS = f"""obs AS (
+  SELECT o_orderkey * 2 + arm AS id, o_custkey AS entity_id, CASE arm WHEN 0 THEN 'status' ELSE 'priority' END AS field,
+    CASE arm WHEN 0 THEN o_orderstatus ELSE o_orderpriority END AS value,
+    CASE o_orderkey % 3 WHEN 0 THEN 'salesforce' WHEN 1 THEN 'hubspot' ELSE 'enrichment' END AS source,
+    CASE WHEN o_orderkey % 10 = 0 THEN 'user' ELSE 'crm' END AS kind, (o_orderkey % 100) / 100 AS confidence,
+    epoch_us(o_orderdate) AS observed_us, epoch_us(o_orderdate) + o_orderkey % 7 * {DAY} AS recorded_us,
+    CASE arm WHEN 0 THEN epoch_us(o_orderdate) + 90 * {DAY} END AS expires_us
+  FROM orders, (VALUES (0), (1)) a(arm))"""
+_RANK = "CASE source WHEN 'user' THEN 1 WHEN 'salesforce' THEN 2 WHEN 'hubspot' THEN 3 WHEN 'enrichment' THEN 4 ELSE 5 END"
+_ORDERS = {
+    "most_recent": "observed_us DESC, id DESC",
+    "manual": "observed_us DESC, id DESC",
+    "never_overwrite": "observed_us, id",
+    "most_confident": "confidence DESC, observed_us DESC, id DESC",
+    "source_priority": f"{_RANK}, observed_us DESC, id DESC",
+    "human_wins": f"kind = 'user' DESC, CASE WHEN kind = 'user' THEN 0 ELSE {_RANK} END, observed_us DESC, id DESC",
+}
+_REVIEW = {"manual": "true", "most_recent": "v > 1 AND s > 1"}
+
+
+def _resolve_sql(strategy: str, rows: str = "obs", order: str | None = None) -> str:
+    return f"""WITH {_OBS}, r AS (SELECT *, row_number() OVER (PARTITION BY entity_id, field ORDER BY {order or _ORDERS[strategy]}) AS k FROM {rows} WHERE value IS NOT NULL),
+    n AS (SELECT entity_id, field, count(*) AS n, count(DISTINCT value) AS v, count(DISTINCT source) AS s FROM {rows} WHERE value IS NOT NULL GROUP BY ALL)
+    SELECT entity_id, field, value, source, n::BIGINT AS n_candidates, v > 1 AS conflicted, {_REVIEW.get(strategy, "false")} AS needs_review
+    FROM r JOIN n USING (entity_id, field) WHERE k = 1"""
+
+
+def _obs(spark, sf_dir):
+    return resolve.observations(table(spark, sf_dir, "orders"))
+
+
+def _add_strategy(strategy):
+    _query(_resolve_sql(strategy), f"resolve_{strategy}")(lambda spark, sf_dir: resolve.resolve(_obs(spark, sf_dir), strategy))
+
+
+for _strategy in _ORDERS:
+    _add_strategy(_strategy)
+
+_LIVE = f"(SELECT * FROM obs WHERE recorded_us <= {AT_US} AND (expires_us IS NULL OR expires_us > {AT_US}))"
+
+
+@_query(_resolve_sql("most_recent", _LIVE))
+def resolve_as_of(spark, sf_dir):
+    return resolve.resolve(resolve.live(_obs(spark, sf_dir), AT_US), "most_recent")
+
+
+@_query(_resolve_sql("never_overwrite", order="source = 'salesforce' DESC, observed_us, id"))
+def resolve_eligible_sources(spark, sf_dir):
+    return resolve.resolve(_obs(spark, sf_dir), "never_overwrite", eligible=F.col("source") == "salesforce")
+
+
+@_query(f"WITH {_OBS} SELECT * FROM {_LIVE}")
+def observations_live(spark, sf_dir):
+    return resolve.live(_obs(spark, sf_dir), AT_US)
+
+
+@_query(f"""WITH x AS ({_resolve_sql("human_wins")}) SELECT entity_id, max(value) FILTER (field = 'status') AS status,
+    max(value) FILTER (field = 'priority') AS priority FROM x GROUP BY 1""")
+def current_record(spark, sf_dir):
+    return resolve.current_record(resolve.resolve(_obs(spark, sf_dir), "human_wins"), ["status", "priority"])
+
+
+@_query(f"WITH x AS ({_resolve_sql('most_recent')}) SELECT field, count(*) AS n FROM x WHERE conflicted GROUP BY 1 ORDER BY n DESC, field LIMIT 10")
+def top_conflicting_fields(spark, sf_dir):
+    return resolve.top_conflicting_fields(resolve.resolve(_obs(spark, sf_dir), "most_recent"), 10)
+
+
+# ---------------------------------------------------------------- match keys
+
+_RAW_MAIL = """' ' || replace(c_name, '#', '.') || CASE c_custkey % 3 WHEN 0 THEN '+news' ELSE '' END || CASE c_custkey % 5
+    WHEN 0 THEN '' WHEN 1 THEN '@Gmail.com' WHEN 2 THEN '@googlemail.com' WHEN 3 THEN '@Acme.COM.' ELSE '@mail.com ' END"""
+
+
+@_query(f"""WITH m AS (SELECT c_custkey, lower(trim({_RAW_MAIL})) AS m FROM customer),
+    p AS (SELECT *, trim(regexp_extract(m, '@([^@]*)$', 1), '.') AS d, regexp_replace(regexp_extract(m, '^(.*)@[^@]*$', 1), '\\+.*$', '') AS l FROM m),
+    q AS (SELECT c_custkey, CASE WHEN NOT contains(m, '@') THEN m WHEN d IN ('gmail.com', 'googlemail.com') THEN replace(l, '.', '') || '@gmail.com' ELSE l || '@' || d END AS email FROM p)
+    SELECT c_custkey, email, CASE WHEN contains(email, '@') THEN split_part(email, '@', 2) END AS domain,
+    contains(email, '@') AND split_part(email, '@', 2) IN {text.FREEMAIL_DOMAINS} AS freemail FROM q""")
+def norm_email(spark, sf_dir):
+    mail = text.normalize_email(F.expr(_RAW_MAIL))
+    rows = table(spark, sf_dir, "customer").select("c_custkey", mail.alias("email"))
+    return rows.withColumns({"domain": text.email_domain(F.col("email")), "freemail": text.is_freemail(F.col("email"))})
+
+
+_RAW_PHONE = """CASE c_custkey % 5 WHEN 0 THEN '+1 (415) 555-' || lpad(cast(c_custkey % 10000 AS string), 4, '0') || ' x22'
+    WHEN 1 THEN '415.555.' || lpad(cast(c_custkey % 10000 AS string), 4, '0') WHEN 2 THEN '00 44 20 7123 ' || lpad(cast(c_custkey % 10000 AS string), 4, '0')
+    WHEN 3 THEN '1-415-555-' || lpad(cast(c_custkey % 10000 AS string), 4, '0') ELSE '123' END"""
+
+
+@_query("""SELECT c_custkey, CASE c_custkey % 5 WHEN 4 THEN NULL WHEN 2 THEN '+44207123' ELSE '+1415555' END || lpad((c_custkey % 10000)::VARCHAR, 4, '0') AS phone FROM customer""")
+def norm_phone(spark, sf_dir):
+    return table(spark, sf_dir, "customer").select("c_custkey", text.normalize_phone(F.expr(_RAW_PHONE)).alias("phone"))
+
+
+@_query("""SELECT p_partkey, CASE p_partkey % 4 WHEN 3 THEN 'the co' ELSE replace(lower(p_brand), '#', ' ') END AS company FROM part""")
+def norm_company(spark, sf_dir):
+    raw = """CASE p_partkey % 4 WHEN 0 THEN 'The ' || p_brand || ' Corporation' WHEN 1 THEN p_brand || ', Inc.' WHEN 2 THEN p_brand ELSE 'The Co' END"""
+    return table(spark, sf_dir, "part").select("p_partkey", text.normalize_company(F.expr(raw)).alias("company"))
+
+
+@_query("""SELECT page_id, nullif(trim(regexp_replace(regexp_replace(regexp_replace(lower(trim(url)), '^[a-z][a-z0-9+.-]*://', ''), '[/?#].*$', '', 's'), '^www\\.', ''), '.'), '') AS domain FROM pages""")
+def norm_domain(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", text.normalize_domain(F.col("url")).alias("domain"))
+
+
+@_query("SELECT page_id, strip_accents(left(url, 40) || ' Élan Müller') AS folded FROM pages")
+def strip_accents(spark, sf_dir):
+    raw = F.concat(F.substring("url", 1, 40), F.lit(" Élan Müller"))
+    return table(spark, sf_dir, "pages").select("page_id", text.strip_accents(raw).alias("folded"))
+
+
+_PAIRS = "SELECT l.n_nationkey AS l, r.n_nationkey AS r, l.n_name AS a, r.n_name AS b FROM nation l JOIN nation r ON l.n_regionkey = r.n_regionkey AND l.n_nationkey < r.n_nationkey"
+
+
+@_query(f"""WITH p AS ({_PAIRS}) SELECT l, r, levenshtein(a, b)::INT AS distance, round(1 - levenshtein(a, b) / greatest(length(a), length(b)), 6) AS ratio,
+    round(jaro_winkler_similarity(a, b), 6) AS jaro_winkler,
+    round(len(list_intersect(string_split(a, ' '), string_split(b, ' '))) / len(list_distinct(string_split(a || ' ' || b, ' '))), 6) AS token_set FROM p""")
+def similarities(spark, sf_dir):
+    n = table(spark, sf_dir, "nation")
+    left = n.select(F.col("n_nationkey").alias("l"), F.col("n_name").alias("a"), "n_regionkey")
+    right = n.select(F.col("n_nationkey").alias("r"), F.col("n_name").alias("b"), "n_regionkey")
+    a, b = F.col("a"), F.col("b")
+    return left.join(right, "n_regionkey").filter("l < r").select(
+        "l", "r", F.levenshtein(a, b).alias("distance"), F.round(text.levenshtein_ratio(a, b), 6).alias("ratio"),
+        F.round(text.jaro_winkler(a, b), 6).alias("jaro_winkler"), F.round(text.token_set_ratio(a, b), 6).alias("token_set"),
+    )
+
+
+# ---------------------------------------------------------------- matching
+
+
+def _rules():
+    return {"brand": F.concat_ws("|", "p_name", "p_brand"), "kind": F.concat_ws("|", "p_name", "p_type", "p_size")}
+
+
+_KEYED = "k AS (SELECT p_partkey AS key, 'brand' AS rule, p_name || '|' || p_brand AS block FROM part UNION ALL SELECT p_partkey, 'kind', p_name || '|' || p_type || '|' || p_size FROM part)"
+_MAX_BLOCK = 12
+_CANDIDATES = f"""{_KEYED}, z AS (SELECT rule, block FROM k GROUP BY 1, 2 HAVING count(*) BETWEEN 2 AND {_MAX_BLOCK}), u AS (SELECT k.* FROM k JOIN z USING (rule, block)),
+    c AS (SELECT x.key AS l, y.key AS r, string_agg(DISTINCT x.rule, ',' ORDER BY x.rule) AS rules FROM u x JOIN u y ON x.rule = y.rule AND x.block = y.block AND x.key < y.key GROUP BY 1, 2)"""
+
+
+def _parts(spark, sf_dir):
+    return table(spark, sf_dir, "part").withColumn("key", F.col("p_partkey"))
+
+
+@_query(f"WITH {_CANDIDATES} SELECT * FROM c")
+def candidate_pairs(spark, sf_dir):
+    return matching.candidate_pairs(_parts(spark, sf_dir), _rules(), _MAX_BLOCK)
+
+
+@_query(f"""WITH {_KEYED}, s AS (SELECT rule, block, count(*) AS n FROM k GROUP BY 1, 2) SELECT rule, count(*) AS blocks, count(*) FILTER (n > {_MAX_BLOCK}) AS oversized,
+    coalesce(sum(n * (n - 1) // 2) FILTER (n > {_MAX_BLOCK}), 0)::BIGINT AS skipped_pairs, coalesce(sum(n * (n - 1) // 2) FILTER (n <= {_MAX_BLOCK}), 0)::BIGINT AS pairs FROM s GROUP BY 1""")
+def blocking_stats(spark, sf_dir):
+    return matching.block_stats(_parts(spark, sf_dir), _rules(), _MAX_BLOCK)
+
+
+#: M and u of an exact comparison.
+_LEVELS = {"p_brand": (0.70, 0.02), "p_type": (0.85, 0.02), "p_size": (0.45, 0.0005)}
+
+
+def _sided(spark, sf_dir):
+    pairs, parts = candidate_pairs(spark, sf_dir), table(spark, sf_dir, "part").select("p_partkey", *_LEVELS)
+    for side in ("l", "r"):
+        pairs = pairs.join(parts.select(F.col("p_partkey").alias(side), *[F.col(c).alias(f"{side}_{c}") for c in _LEVELS]), side)
+    return pairs
+
+
+def _scored(spark, sf_dir):
+    weight = F.lit(-13.287568102831404)  # log2 of the prior odds 1e-4
+    for c, (m, u) in _LEVELS.items():
+        weight = weight + matching.exact_weight(F.col(f"l_{c}").cast("string"), F.col(f"r_{c}").cast("string"), m, u)
+    return _sided(spark, sf_dir).select("l", "r", weight.alias("weight"), matching.probability(weight).alias("score"))
+
+
+_WEIGHTS = " + ".join(f"CASE WHEN x.{c} = y.{c} THEN log2({m} / {u}) ELSE log2({1 - m} / {1 - u}) END" for c, (m, u) in _LEVELS.items())
+_SCORED = f"""{_CANDIDATES}, w AS (SELECT l, r, -13.287568102831404::DOUBLE + {_WEIGHTS} AS weight FROM c JOIN part x ON x.p_partkey = l JOIN part y ON y.p_partkey = r),
+    s AS (SELECT *, pow(2, weight) / (1 + pow(2, weight)) AS score FROM w)"""
+
+
+@_query(f"WITH {_SCORED} SELECT l, r, round(weight, 6) AS weight, round(score, 6) AS score, CASE WHEN score >= 0.8 THEN 'review' ELSE 'distinct' END AS decision FROM s")
+def fs_score(spark, sf_dir):
+    rows = _scored(spark, sf_dir).withColumn("decision", matching.decide(F.col("score")))
+    return rows.withColumns({c: F.round(c, 6) for c in ("weight", "score")})
+
+
+@_query(f"""WITH {_CANDIDATES}, p AS (SELECT x.p_size = y.p_size AS y, x.p_brand = y.p_brand AS p_brand, x.p_type = y.p_type AS p_type FROM c JOIN part x ON x.p_partkey = l JOIN part y ON y.p_partkey = r),
+    f AS (SELECT y, 'p_brand' AS field, p_brand AS agree FROM p UNION ALL SELECT y, 'p_type', p_type FROM p)
+    SELECT field, round((count(*) FILTER (y AND agree) + 1) / (count(*) FILTER (y) + 2), 6) AS m, round((count(*) FILTER (NOT y AND agree) + 1) / (count(*) FILTER (NOT y) + 2), 6) AS u FROM f GROUP BY 1""")
+def fs_supervised(spark, sf_dir):
+    agree = {c: F.col(f"l_{c}") == F.col(f"r_{c}") for c in ("p_brand", "p_type")}
+    fitted = matching.fit_exact(_sided(spark, sf_dir), agree, F.col("l_p_size") == F.col("r_p_size"))
+    return fitted.withColumns({c: F.round(c, 6) for c in ("m", "u")})
+
+
+_DECISIONS = "d AS (SELECT (doc_id % 1000) / 1000 AS s, quality = 1 AS y FROM labels WHERE quality IS NOT NULL)"
+
+
+@_query(f"""WITH {_DECISIONS}, b AS (SELECT y, CASE WHEN s >= 0.999 THEN '0.999-1.0' WHEN s >= 0.995 THEN '0.995-0.999' WHEN s >= 0.99 THEN '0.99-0.995'
+    ELSE printf('%.2f-%.2f', least(floor(s * 20 + 1e-9) / 20, 0.94), least(floor(s * 20 + 1e-9) / 20, 0.94) + 0.05) END AS band FROM d)
+    SELECT band, count(*) AS decisions, round(count(*) FILTER (y) / count(*), 6) AS precision,
+    CASE WHEN count(*) >= 500 AND count(*) FILTER (y) / count(*) >= 0.999 THEN 'PROMOTE' ELSE 'HOLD' END AS verdict FROM b GROUP BY 1""")
+def precision_by_band(spark, sf_dir):
+    d = table(spark, sf_dir, "labels").filter("quality is not null")
+    d = d.select((F.col("doc_id") % 1000 / 1000).alias("model_score"), (F.col("quality") == 1).alias("human_match"))
+    return matching.precision_by_band(d).withColumn("precision", F.round("precision", 6))
+
+
+# ---------------------------------------------------------------- graph
+
+
+def _edges(spark, sf_dir):
+    scored = _scored(spark, sf_dir).select(F.col("l").alias("a"), F.col("r").alias("b"), "score")
+    return graph.edges(scored)
+
+
+_COMPONENTS = f"""{_SCORED}, e AS (SELECT l AS a, r AS b FROM s WHERE score >= 0.8 UNION ALL SELECT r, l FROM s WHERE score >= 0.8),
+    t AS (SELECT DISTINCT a AS node, a AS top FROM e UNION SELECT e.b, t.top FROM t JOIN e ON e.a = t.node), g AS (SELECT node, min(top) AS component FROM t GROUP BY 1)"""
+
+
+@_query(f"WITH RECURSIVE {_COMPONENTS} SELECT * FROM g")
+def components(spark, sf_dir):
+    return graph.components(_edges(spark, sf_dir).filter("score >= 0.8"))
+
+
+@_query(f"""WITH RECURSIVE {_COMPONENTS}, n AS (SELECT component, count(*) AS size FROM g GROUP BY 1),
+    i AS (SELECT x.component, count(*) FILTER (score >= 0.8) AS k, min(score) AS weakest FROM s JOIN g x ON x.node = l JOIN g y ON y.node = r AND x.component = y.component GROUP BY 1)
+    SELECT component, size, round(k / (size * (size - 1) / 2), 6) AS cohesion, CASE WHEN size > 10 THEN 'TOO_LARGE' WHEN k / (size * (size - 1) / 2) < 0.7 THEN 'LOW_COHESION'
+    WHEN weakest <= 0.2 THEN 'CONTRADICTED' ELSE 'OK' END AS verdict FROM n JOIN i USING (component)""")
+def cluster_verdicts(spark, sf_dir):
+    return graph.verdicts(_edges(spark, sf_dir)).withColumn("cohesion", F.round("cohesion", 6))
+
+
+@_query(f"WITH RECURSIVE {_COMPONENTS}, n AS (SELECT component, count(*) AS size FROM g GROUP BY 1) SELECT size, count(*) AS n FROM n GROUP BY 1")
+def size_distribution(spark, sf_dir):
+    return graph.size_distribution(components(spark, sf_dir))
+
+
+# ---------------------------------------------------------------- events
+
+_MIN = events.MINUTE_US
+_EVENTS = f"""one AS (SELECT event_id AS seq, CASE WHEN event_id % 2 = 0 THEN 'salesforce' ELSE 'hubspot' END AS source, user_id AS record_id, event_type AS field, props AS value,
+    epoch_us(ts) AS received_us, epoch_us(ts) - event_id % 5 * {_MIN} AS observed_us, CASE WHEN event_id % 4 <> 0 THEN 'c' || event_id END AS change_id FROM events),
+    ev AS (SELECT * FROM one UNION ALL SELECT seq + 1000000000, source, record_id, field, value, received_us + 1000000, observed_us, change_id FROM one WHERE seq % 20 = 0)"""
+
+
+def _events(spark, sf_dir):
+    return events.crm_events(table(spark, sf_dir, "events"))
+
+
+@_query(f"""WITH {_EVENTS} SELECT source || ':' || record_id || ':' || coalesce(change_id, left(sha256(concat_ws('|', source, record_id, field, coalesce(value, ''), observed_us)), 32)) AS key,
+    min(seq) AS seq, count(*) AS deliveries FROM ev GROUP BY 1""")
+def dedup_events(spark, sf_dir):
+    return events.deduplicate(_events(spark, sf_dir))
+
+
+@_query(f"""WITH {_EVENTS}, p AS (SELECT *, max({{'o': observed_us, 's': -seq, 'h': md5(coalesce(value, ''))}}) OVER (PARTITION BY source, record_id, field ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS p FROM ev)
+    SELECT seq, CASE WHEN observed_us = p.o AND md5(coalesce(value, '')) = p.h THEN 'DUPLICATE' WHEN observed_us <= p.o THEN 'SUPERSEDED' ELSE 'APPLIED' END AS class FROM p""")
+def order_class(spark, sf_dir):
+    return events.order_class(_events(spark, sf_dir))
+
+
+@_query(f"""WITH {_EVENTS} SELECT seq, count(*) OVER w AS changes, count(*) OVER w > 10 AS tripped FROM ev
+    WINDOW w AS (PARTITION BY source, record_id ORDER BY received_us RANGE BETWEEN {5 * _MIN} PRECEDING AND CURRENT ROW)""")
+def loop_breaker(spark, sf_dir):
+    return events.loop_counts(_events(spark, sf_dir))
+
+
+@_query(f"""WITH {_EVENTS}, w AS (SELECT *, received_us - {2 * _MIN} AS written_us FROM one WHERE seq % 3 = 0)
+    SELECT seq FROM ev e WHERE EXISTS (SELECT 1 FROM w WHERE w.source = e.source AND w.record_id = e.record_id AND w.field = e.field AND w.value = e.value
+    AND w.written_us BETWEEN e.received_us - {5 * _MIN} AND e.received_us)""")
+def echo_flags(spark, sf_dir):
+    one = _events(spark, sf_dir).filter("seq < 1000000000 and seq % 3 = 0")
+    hashed = F.md5(F.coalesce("value", F.lit(""))).alias("hash")
+    writes = one.select(*events.RECORD, hashed, (F.col("received_us") - 2 * _MIN).alias("written_us"))
+    return events.echoes(_events(spark, sf_dir), writes)
+
+
+@_query("""SELECT p_partkey, CASE WHEN n <= 0 THEN 'none' WHEN n > 2000 THEN 'bulk' ELSE 'batched' END AS method,
+    (CASE WHEN n <= 0 THEN 0 WHEN n > 2000 THEN 3 * ceil(n / 10000) ELSE ceil(n / 200) END)::BIGINT AS calls, (CASE WHEN n > 2000 THEN ceil(n / 10000) ELSE 0 END)::BIGINT AS jobs
+    FROM (SELECT p_partkey, p_partkey % 7 * 1000 AS n FROM part)""")
+def plan_reads(spark, sf_dir):
+    plan = events.plan_reads(F.col("p_partkey") % 7 * 1000)
+    return table(spark, sf_dir, "part").select("p_partkey", *[c.alias(n) for n, c in plan.items()])
+
+
+# ---------------------------------------------------------------- enrichment
+
+_CLAIMS = """claims AS (SELECT p_partkey AS key, 'alpha' AS provider, 'type' AS field, CASE WHEN p_partkey % 5 > 0 THEN p_type END AS value, 0.01 AS cost FROM part
+    UNION ALL SELECT p_partkey, 'beta', 'type', CASE WHEN p_partkey % 3 = 0 THEN 'OTHER' ELSE ' ' || lower(p_type) END, 0.02 FROM part)"""
+
+
+def _claims(spark, sf_dir):
+    part = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("key"), "p_type")
+    alpha, beta = "if(key % 5 > 0, p_type, null)", "if(key % 3 = 0, 'OTHER', ' ' || lower(p_type))"
+    claims = F.expr(f"array(struct('alpha' as provider, {alpha} as value, 0.01D as cost), struct('beta' as provider, {beta} as value, 0.02D as cost))")
+    return part.select("key", F.explode(claims).alias("c")).select("key", "c.provider", F.lit("type").alias("field"), "c.value", "c.cost")
+
+
+@_query(f"""WITH {_CLAIMS} SELECT provider, field, count(value) AS returned, count(*) - count(value) AS missing, count(*) FILTER (lower(trim(value)) = lower(p_type)) AS correct,
+    round(count(value) / count(*), 6) AS coverage, round(count(*) FILTER (lower(trim(value)) = lower(p_type)) / count(value), 6) AS accuracy, round(sum(cost)::DOUBLE, 4) AS cost
+    FROM claims JOIN part ON p_partkey = key GROUP BY 1, 2""")
+def bake_off(spark, sf_dir):
+    gold = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("key"), F.lit("type").alias("field"), F.col("p_type").alias("value"))
+    scores = matching.bake_off(_claims(spark, sf_dir), gold)
+    return scores.withColumns({"coverage": F.round("coverage", 6), "accuracy": F.round("accuracy", 6), "cost": F.round("cost", 4)})
+
+
+@_query(f'WITH {_CLAIMS} SELECT a.field, a.provider AS "left", b.provider AS "right", count(*) AS n FROM claims a JOIN claims b ON a.key = b.key AND a.field = b.field AND a.provider < b.provider AND a.value <> b.value GROUP BY 1, 2, 3')
+def disagreement(spark, sf_dir):
+    return matching.disagreement(_claims(spark, sf_dir))
 
 
 def queries():
-    return {FLAGSHIP: _customers_by_nation}
+    return dict(_QUERIES)
 
 
 def oracle_sql():
-    return {FLAGSHIP: "SELECT c_nationkey, count(*) AS n_customers FROM customer GROUP BY 1"}
+    return dict(_SQL)
