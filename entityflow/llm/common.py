@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import re
 import tempfile
 import uuid
@@ -47,8 +48,13 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def materialize(df: DataFrame, what: str) -> DataFrame:
-    """Write ``df`` once as Parquet in the shared folder and read it back: cuts the lineage, survives a lost executor."""
+    """Write ``df`` once as Parquet in the shared folder and read it back: cuts the lineage, survives a lost executor.
+
+    What earlier tables were shuffled by is of no more use then; the driver's collector lets Spark delete it.
+    """
     spark = df.sparkSession
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
     path = f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

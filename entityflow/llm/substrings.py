@@ -11,9 +11,11 @@ two or more all windows are repeated. (3) Of each name with several contexts one
 windows (at most 101), which are named by their hash and counted; this settles the windows at the ends of matches.
 (4) The windows found are joined to their documents, united, and cut out.
 
-Scale: no row a byte. Step 1 yields about one row of 40 bytes for 50 bytes, step 3 rows only where contexts of one name
+Scale: no row a byte. Step 1 yields about one row of 32 bytes for 50 bytes, step 3 rows only where contexts of one name
 differ. Classes are pre-aggregated, joins are equi-joins whose large side Spark can split. What is gathered for one
-document is bounded by its length. Nothing is collected or broadcast. Names are pairs of 64-bit hashes.
+document is bounded by its length. Nothing is collected or broadcast. Names are
+pairs of 64-bit hashes; a document is carried as one 64-bit hash of its id and text, so of 37 corpora of
+10^9 documents one is expected to have a pair that shares it, and is cut at each other's places too.
 
 Cases: a null text is the empty one; texts under 200 bytes have no window. Equal rows get equal results and count as
 occurrences of each other. A null doc_id is an id. No rows: no rows. Columns named like a result column are replaced.
@@ -33,6 +35,8 @@ from entityflow.llm.common import materialize, only, without
 from entityflow.llm.neardup import _mixed
 
 WIDTH = 200
+#: More than the windows of any sampled place.
+REACH = 1024
 RESULT = ["n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"]
 
 _U64 = np.uint64
@@ -81,9 +85,9 @@ def _least(values: np.ndarray, width: int) -> np.ndarray:
 def sample(data: bytes, width: int):
     """(names, contexts, first windows, last windows) of the sampled places of one text of ``width`` bytes or more."""
     codes = np.frombuffer(data, np.uint8)
-    half = width // 2
-    grams, windows = string_hashes(codes, (half, width), 1)
-    place = _least(grams, width - half + 1)
+    gram = max(1, width // 2)
+    grams, windows = string_hashes(codes, (gram, width), 1)
+    place = _least(grams, width - gram + 1)
     first = np.flatnonzero(np.append(True, place[1:] != place[:-1]))
     last = np.append(first[1:] - 1, len(place) - 1)
     ahead = (place[first] - first).astype(_U64)
@@ -96,7 +100,7 @@ def _signed(x: np.ndarray) -> pa.Array:
 
 
 def _anchors(keyed: DataFrame, width: int) -> DataFrame:
-    names = ["key", "name", "context", "first", "last"]
+    """(key, name, context, place) of each sampled place; place is its first window x 1024 and the number after it."""
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -104,11 +108,11 @@ def _anchors(keyed: DataFrame, width: int) -> DataFrame:
                 data = data.as_py()
                 if len(data) >= width:
                     name, context, first, last = sample(data, width)
-                    keys = pa.array([key.as_py()] * len(name), pa.binary())
-                    columns = [keys, _signed(name), _signed(context), pa.array(first.astype(np.int32)), pa.array(last.astype(np.int32))]
-                    yield pa.RecordBatch.from_arrays(columns, names)
+                    keys = pa.array(np.full(len(name), key.as_py(), np.int64))
+                    place = pa.array(first.astype(np.int64) * REACH + (last - first))
+                    yield pa.RecordBatch.from_arrays([keys, _signed(name), _signed(context), place], ["key", "name", "context", "place"])
 
-    return keyed.mapInArrow(of, "key binary, name bigint, context bigint, first int, last int")
+    return keyed.mapInArrow(of, "key bigint, name bigint, context bigint, place bigint")
 
 
 def _windows(placed: DataFrame, width: int) -> DataFrame:
@@ -119,23 +123,25 @@ def _windows(placed: DataFrame, width: int) -> DataFrame:
         for batch in batches:
             for key, data, wanted in zip(batch["key"], batch["data"], batch["wanted"], strict=True):
                 (windows,) = string_hashes(np.frombuffer(data.as_py(), np.uint8), (width,), 2)
-                wanted = pa.array(wanted.values)
-                first, last = (wanted.field(f).to_numpy() for f in ("first", "last"))
+                wanted = wanted.values
+                place, name = (wanted.field(f).to_numpy() for f in ("place", "name"))
+                single = wanted.field("single").to_numpy(zero_copy_only=False)
+                first, count = place // REACH, place % REACH + 1
                 for low in range(0, len(first), 4096):  # bounded batches, also for very long texts
-                    n = last[low : low + 4096] - first[low : low + 4096] + 1
+                    n = count[low : low + 4096]
                     number = int(n.sum())
-                    place = np.repeat(np.arange(low, low + len(n)), n)
-                    at = first[place] + np.arange(number) - np.repeat(np.cumsum(n) - n, n)
+                    of_place = np.repeat(np.arange(low, low + len(n)), n)
+                    at = first[of_place] + np.arange(number) - np.repeat(np.cumsum(n) - n, n)
                     columns = [
-                        pa.array([key.as_py()] * number, pa.binary()),
-                        wanted.field("single").take(pa.array(place)),
-                        wanted.field("name").take(pa.array(place)),
+                        pa.array(np.full(number, key.as_py(), np.int64)),
+                        pa.array(single[of_place]),
+                        pa.array(name[of_place]),
                         _signed(windows[at]),
                         pa.array(at.astype(np.int32)),
                     ]
                     yield pa.RecordBatch.from_arrays(columns, names)
 
-    return placed.mapInArrow(of, "key binary, single boolean, name bigint, window bigint, at int")
+    return placed.mapInArrow(of, "key bigint, single boolean, name bigint, window bigint, at int")
 
 
 def cut(data: bytes, starts: list[tuple[int, int]], width: int) -> tuple[bytes, int, int]:
@@ -155,33 +161,34 @@ def cut(data: bytes, starts: list[tuple[int, int]], width: int) -> tuple[bytes,
 
 def remove_repeats(documents: DataFrame, *, width: int = WIDTH, texts: bool = True) -> DataFrame:
     """``documents`` with n_bytes, n_removed, n_spans, kept_sha256 and, if asked for, kept (the bytes that are left)."""
+    if not 0 < width <= REACH:
+        raise ValueError(f"width must be from 1 to {REACH}")
     docs = without(documents, [*RESULT, "_key", "_runs", "_cut"])
     data = F.coalesce(F.col("text"), F.lit("")).cast("binary")
-    key = F.unhex(F.md5(F.concat_ws("|", F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.md5(data))))
+    key = F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.md5(data))
     keyed = only(docs, "doc_id", "text").select(key.alias("key"), data.alias("data"))
     anchors = materialize(_anchors(keyed, width), "sampled-places")
-    spot = F.struct("key", "first", "last")
-    classes = anchors.groupBy("name", "context").agg(F.count(F.lit(1)).alias("n"), F.min(spot).alias("spot"))
+    # Any place of a class may stand for it: one of the least key. The aggregates are numbers, so they are hashed.
+    classes = anchors.groupBy("name", "context").agg(
+        F.count(F.lit(1)).alias("n"), F.min("key").alias("key"), F.min_by("place", "key").alias("place")
+    )
     classes = materialize(classes, "place-classes")
     several = classes.groupBy("name").agg(F.count(F.lit(1)).alias("contexts")).filter("contexts > 1").select("name")
-    ends = classes.join(several, "name").select(
-        F.col("spot.key").alias("key"),
-        F.struct("name", (F.col("n") == 1).alias("single"), F.col("spot.first").alias("first"), F.col("spot.last").alias("last")).alias("w"),
-    )
+    ends = classes.join(several, "name").select("key", F.struct("name", (F.col("n") == 1).alias("single"), "place").alias("w"))
     ends = ends.groupBy("key").agg(F.collect_list("w").alias("wanted"))
-    placed = ends.join(keyed, "key").select("key", "data", "wanted")
-    windows = materialize(_windows(placed, width), "end-windows")
+    windows = materialize(_windows(ends.join(keyed, "key").select("key", "data", "wanted"), width), "end-windows")
     twice = windows.groupBy("name", "window").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("name", "window")
-    at_ends = windows.filter("single").join(twice, ["name", "window"]).select("key", F.col("at").alias("first"), F.col("at").alias("last"))
-    inside = anchors.join(classes.filter("n > 1").select("name", "context"), ["name", "context"]).select("key", "first", "last")
-    runs = inside.unionByName(at_ends).groupBy("key").agg(F.collect_set(F.struct("first", "last")).alias("_runs"))
+    at_ends = windows.filter("single").join(twice, ["name", "window"]).select("key", (F.col("at").cast("bigint") * REACH).alias("place"))
+    at_ends = materialize(at_ends, "repeated-ends")
+    inside = anchors.join(classes.filter("n > 1").select("name", "context"), ["name", "context"]).select("key", "place")
+    runs = inside.unionByName(at_ends).groupBy("key").agg(F.collect_set("place").alias("_runs"))
 
     def left(texts_: pa.Array, runs_: pa.Array) -> pa.Array:
         out = []
         for text, found in zip(texts_, runs_, strict=True):
             value = (text.as_py() or "").encode("utf-8", "surrogatepass")
             pairs = found.as_py() or []
-            kept, removed, spans = cut(value, [(p["first"], p["last"]) for p in pairs], width)
+            kept, removed, spans = cut(value, [(p // REACH, p // REACH + p % REACH) for p in pairs], width)
             out.append({"n": len(value), "removed": removed, "spans": spans, "sha": hashlib.sha256(kept).hexdigest(), "kept": kept if texts else None})
         kind = [("n", pa.int64()), ("removed", pa.int64()), ("spans", pa.int64()), ("sha", pa.string()), ("kept", pa.binary())]
         return pa.array(out, pa.struct(kind))
