@@ -6,14 +6,14 @@ residue classes of a difference cover (see README for the reason): a window of 2
 least 100-byte string, so equal windows sample the same offset, wherever they stand; about one byte in 50 is sampled.
 
 Steps: (1) one pass names each sampled place by a hash of its 100 bytes (``name``) and a hash of all the windows that
-sample it (``context``). (2) Places of equal name and context are a class, counted with pre-aggregation; in a class of
-two or more all windows are repeated. (3) Of each name with several contexts one place a context is expanded into its
+sample it (``context``); places whose name occurs once are done. (2) Places of equal name and context are a class,
+counted with pre-aggregation; in a class of two or more all windows are repeated. (3) Of each name with several contexts one place a context is expanded into its
 windows (at most 101), which are named by their hash and counted; this settles the windows at the ends of matches.
 (4) The windows found are joined to their documents, united, and cut out.
 
 Scale: no row a byte. Step 1 yields about one row of 32 bytes for 50 bytes, step 3 rows only where contexts of one name
 differ. Classes are pre-aggregated, joins are equi-joins whose large side Spark can split. What is gathered for one
-document is bounded by its length. Nothing is collected or broadcast. Names are
+document is bounded by its length. Nothing is collected or broadcast; each table goes once the next ones are written. Names are
 pairs of 64-bit hashes; a document is carried as one 64-bit hash of its id and text, so of 37 corpora of
 10^9 documents one is expected to have a pair that shares it, and is cut at each other's places too.
 
@@ -25,73 +25,74 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from entityflow.llm.common import materialize, only, without
+from entityflow.llm.common import discard, materialize, only, without
 from entityflow.llm.neardup import _mixed
 
 WIDTH = 200
 #: More than the windows of any sampled place.
 REACH = 1024
+#: Places whose hashes are made at a time.
+BLOCK = 1 << 15
 RESULT = ["n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"]
 
 _U64 = np.uint64
 _SEED = _U64(0x9E3779B97F4A7C15)
+#: Half of a hash is compared, the other half is its place; texts are under 2 GB in Spark.
+_UPPER = _U64(0xFFFFFFFF << 32)
 
 
-def _join(left: np.ndarray, right: np.ndarray, salt: int) -> np.ndarray:
-    return _mixed(left * _SEED + _mixed(right + _U64(salt)))
+@cache
+def _numbers(salt: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(number of each byte, powers of an odd base, powers of its inverse), all modulo 2 ** 64."""
+    base = int(_mixed(np.array([salt], _U64) * _SEED)[0]) & ~7 | 5
+    table = _mixed(np.arange(1, 257, dtype=_U64) * _SEED + _U64(salt))
+    inverse, n = pow(base, -1, 1 << 64), BLOCK + REACH
+    powers = [np.cumprod(np.append(_U64(1), np.full(n, x, _U64)), dtype=_U64) for x in (base, inverse)]
+    return table, *powers
 
 
 def string_hashes(data: np.ndarray, sizes: tuple[int, ...], salt: int) -> list[np.ndarray]:
-    """For each size the hash of the string of that size at every place, put together from powers of two."""
-    power, level, powers = 1, _mixed(data.astype(_U64) + _U64(salt)), {}
-    while power <= max(sizes):
-        powers[power] = level
-        if len(level) <= power:
-            break
-        level = _join(level[:-power], level[power:], power)
-        power *= 2
-    out = []
-    for size in sizes:
-        n, at, made = len(data) - size + 1, 0, None
-        for p in sorted(powers, reverse=True):
-            if size & p:
-                piece = powers[p][at : at + n]
-                made = piece if made is None else _join(made, piece, at)
-                at += p
-        out.append(made)
+    """For each size the hash of the string of that size at every place: a scrambled polynomial, by blocks of places."""
+    table, power, inverse = _numbers(salt)
+    out = [np.empty(max(0, len(data) - size + 1), _U64) for size in sizes]
+    for low in range(0, len(data), BLOCK):
+        piece = data[low : low + BLOCK + max(sizes) - 1]
+        sums = np.zeros(len(piece) + 1, _U64)
+        np.cumsum(table[piece] * power[: len(piece)], out=sums[1:])
+        for size, hashes in zip(sizes, out, strict=True):
+            n = min(BLOCK, len(piece) - size + 1)
+            if n > 0:
+                hashes[low : low + n] = _mixed((sums[size : size + n] - sums[:n]) * inverse[:n])
     return out
 
 
 def _least(values: np.ndarray, width: int) -> np.ndarray:
-    """The place of the leftmost minimum of each ``width`` values in a row."""
-    place, power = np.arange(len(values)), 1
-
-    def pick(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-        return np.where(values[x] <= values[y], x, y)
-
+    """The place of the leftmost minimum of each ``width`` values in a row, as far as their upper half can tell."""
+    low, power = (values & _UPPER) | np.arange(len(values), dtype=_U64), 1
     while power * 2 <= width:
-        place = pick(place[:-power], place[power:])
+        low = np.minimum(low[:-power], low[power:])
         power *= 2
     n = len(values) - width + 1
-    return pick(place[:n], place[width - power : width - power + n])
+    return (np.minimum(low[:n], low[width - power : width - power + n]) & ~_UPPER).astype(np.int64)
 
 
 def sample(data: bytes, width: int):
     """(names, contexts, first windows, last windows) of the sampled places of one text of ``width`` bytes or more."""
     codes = np.frombuffer(data, np.uint8)
     gram = max(1, width // 2)
-    grams, windows = string_hashes(codes, (gram, width), 1)
+    (grams,), (windows,) = string_hashes(codes, (gram,), 1), string_hashes(codes, (width,), 3)
     place = _least(grams, width - gram + 1)
     first = np.flatnonzero(np.append(True, place[1:] != place[:-1]))
     last = np.append(first[1:] - 1, len(place) - 1)
     ahead = (place[first] - first).astype(_U64)
-    context = _mixed(_join(windows[first], windows[last], 7) + ((last - first).astype(_U64) << _U64(20)) + ahead)
+    context = _mixed(_mixed(windows[first] * _SEED + windows[last]) + ((last - first).astype(_U64) << _U64(20)) + ahead)
     return grams[place[first]], context, first, last
 
 
@@ -168,8 +169,13 @@ def remove_repeats(documents: DataFrame, *, width: int = WIDTH, texts: bool = Tr
     key = F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.md5(data))
     keyed = only(docs, "doc_id", "text").select(key.alias("key"), data.alias("data"))
     anchors = materialize(_anchors(keyed, width), "sampled-places")
+    # Most names occur once and can't be repeated: only the others go on.
+    several = anchors.groupBy("name").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("name")
+    several = materialize(several, "repeated-names")
+    live = materialize(anchors.join(several, "name", "left_semi"), "live-places")
+    discard(anchors, several)
     # Any place of a class may stand for it: one of the least key. The aggregates are numbers, so they are hashed.
-    classes = anchors.groupBy("name", "context").agg(
+    classes = live.groupBy("name", "context").agg(
         F.count(F.lit(1)).alias("n"), F.min("key").alias("key"), F.min_by("place", "key").alias("place")
     )
     classes = materialize(classes, "place-classes")
@@ -180,8 +186,11 @@ def remove_repeats(documents: DataFrame, *, width: int = WIDTH, texts: bool = Tr
     twice = windows.groupBy("name", "window").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("name", "window")
     at_ends = windows.filter("single").join(twice, ["name", "window"]).select("key", (F.col("at").cast("bigint") * REACH).alias("place"))
     at_ends = materialize(at_ends, "repeated-ends")
-    inside = anchors.join(classes.filter("n > 1").select("name", "context"), ["name", "context"]).select("key", "place")
+    discard(windows)
+    inside = live.join(classes.filter("n > 1").select("name", "context"), ["name", "context"]).select("key", "place")
     runs = inside.unionByName(at_ends).groupBy("key").agg(F.collect_set("place").alias("_runs"))
+    runs = materialize(runs, "repeated-runs")
+    discard(live, classes, at_ends)
 
     def left(texts_: pa.Array, runs_: pa.Array) -> pa.Array:
         out = []
