@@ -56,7 +56,7 @@ def materialize(df: DataFrame, what: str) -> DataFrame:
     gc.collect()
     spark.sparkContext._jvm.System.gc()
     path = f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     table = spark.read.schema(df.schema).parquet(path)
     table.kept_at = path
     return table

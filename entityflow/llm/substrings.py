@@ -13,8 +13,8 @@ windows (at most 101), which are named by their hash and counted; this settles t
 
 Scale: no row a byte. Step 1 yields about one row of 32 bytes for 50 bytes, step 3 rows only where contexts of one name
 differ. Classes are pre-aggregated, joins are equi-joins whose large side Spark can split. What is gathered for one
-document is bounded by its length. Nothing is collected or broadcast; each table goes once the next ones are written. Names are
-pairs of 64-bit hashes; a document is carried as one 64-bit hash of its id and text, so of 37 corpora of
+document is bounded by its length. Nothing is collected or broadcast; each table goes once the next ones are written. Places are
+named by pairs of 64-bit hashes, windows by 96 bits; a document is carried as one 64-bit hash of its id and text, so of 37 corpora of
 10^9 documents one is expected to have a pair that shares it, and is cut at each other's places too.
 
 Cases: a null text is the empty one; texts under 200 bytes have no window. Equal rows get equal results and count as
@@ -117,8 +117,11 @@ def _anchors(keyed: DataFrame, width: int) -> DataFrame:
 
 
 def _windows(placed: DataFrame, width: int) -> DataFrame:
-    """(key, single, name, window, at) of the windows of each wanted place; ``wanted`` is a document's list."""
-    names = ["key", "single", "name", "window", "at"]
+    """(key, single, window, name, at) of the windows of each wanted place; ``wanted`` is a document's list.
+
+    A window is named by 96 bits: its own hash and half of its place's name.
+    """
+    names = ["key", "single", "window", "name", "at"]
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -136,13 +139,13 @@ def _windows(placed: DataFrame, width: int) -> DataFrame:
                     columns = [
                         pa.array(np.full(number, key.as_py(), np.int64)),
                         pa.array(single[of_place]),
-                        pa.array(name[of_place]),
                         _signed(windows[at]),
+                        pa.array(name[of_place].astype(np.int32)),
                         pa.array(at.astype(np.int32)),
                     ]
                     yield pa.RecordBatch.from_arrays(columns, names)
 
-    return placed.mapInArrow(of, "key bigint, single boolean, name bigint, window bigint, at int")
+    return placed.mapInArrow(of, "key bigint, single boolean, window bigint, name int, at int")
 
 
 def cut(data: bytes, starts: list[tuple[int, int]], width: int) -> tuple[bytes, int, int]:
@@ -182,15 +185,19 @@ def remove_repeats(documents: DataFrame, *, width: int = WIDTH, texts: bool = Tr
     several = classes.groupBy("name").agg(F.count(F.lit(1)).alias("contexts")).filter("contexts > 1").select("name")
     ends = classes.join(several, "name").select("key", F.struct("name", (F.col("n") == 1).alias("single"), "place").alias("w"))
     ends = ends.groupBy("key").agg(F.collect_list("w").alias("wanted"))
+    inside = live.join(classes.filter("n > 1").select("name", "context"), ["name", "context"]).select("key", "place")
+    inside = materialize(inside, "repeated-places")
+    ends = materialize(ends, "wanted-places")
+    discard(live, classes)
     windows = materialize(_windows(ends.join(keyed, "key").select("key", "data", "wanted"), width), "end-windows")
-    twice = windows.groupBy("name", "window").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("name", "window")
-    at_ends = windows.filter("single").join(twice, ["name", "window"]).select("key", (F.col("at").cast("bigint") * REACH).alias("place"))
+    discard(ends)
+    twice = windows.groupBy("window", "name").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("window", "name")
+    at_ends = windows.filter("single").join(twice, ["window", "name"]).select("key", (F.col("at").cast("bigint") * REACH).alias("place"))
     at_ends = materialize(at_ends, "repeated-ends")
     discard(windows)
-    inside = live.join(classes.filter("n > 1").select("name", "context"), ["name", "context"]).select("key", "place")
     runs = inside.unionByName(at_ends).groupBy("key").agg(F.collect_set("place").alias("_runs"))
     runs = materialize(runs, "repeated-runs")
-    discard(live, classes, at_ends)
+    discard(inside, at_ends)
 
     def left(texts_: pa.Array, runs_: pa.Array) -> pa.Array:
         out = []
