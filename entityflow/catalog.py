@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from entityflow.functions import text
-from entityflow.operators import events, graph, matching, resolve
+from entityflow.operators import events, graph, matching, resolve, stewardship
 from entityflow.session import table
 
 FLAGSHIP = "resolve_source_priority"
@@ -341,6 +341,104 @@ def disagreement(spark, sf_dir):
     return matching.disagreement(_claims(spark, sf_dir))
 
 
+# ---------------------------------------------------------------- stewardship
+
+
+@_query(f"""WITH {_OBS}, r AS (SELECT *, row_number() OVER (PARTITION BY entity_id, field, source ORDER BY observed_us DESC, id DESC) AS k FROM obs)
+    SELECT entity_id, field, source, id, value, observed_us FROM r WHERE k = 1""")
+def observations_latest(spark, sf_dir):
+    return stewardship.latest(_obs(spark, sf_dir))
+
+
+@_query(f"""WITH remote AS ({_resolve_sql("source_priority")}), known AS ({_resolve_sql("most_recent")})
+    SELECT field, count(*) AS checked, count(*) FILTER (r.value IS DISTINCT FROM k.value) AS discrepancies,
+    round(count(*) FILTER (r.value IS DISTINCT FROM k.value) / count(*), 6) AS rate FROM remote r LEFT JOIN known k USING (entity_id, field) GROUP BY field""")
+def reconcile(spark, sf_dir):
+    known, remote = (resolve.resolve(_obs(spark, sf_dir), s) for s in ("most_recent", "source_priority"))
+    return stewardship.reconcile(known, remote).withColumn("rate", F.round("rate", 6))
+
+
+_MERGES = "m AS (SELECT c_custkey AS merged_id, c_custkey // 2 AS surviving_id, c_custkey AS decided_us, c_custkey % 5 = 0 AS reverted FROM customer WHERE c_custkey % 3 > 0)"
+
+
+@_query(f"""WITH RECURSIVE {_MERGES}, l AS (SELECT merged_id AS id, surviving_id AS up FROM m WHERE NOT reverted),
+    c AS (SELECT id, up FROM l UNION ALL SELECT c.id, l.up FROM c JOIN l ON l.id = c.up) SELECT id, up AS canonical FROM c WHERE up NOT IN (SELECT id FROM l)""")
+def canonical_chain(spark, sf_dir):
+    key = F.col("c_custkey")
+    merges = table(spark, sf_dir, "customer").filter(key % 3 > 0).select(
+        key.alias("merged_id"), F.expr("c_custkey div 2").alias("surviving_id"), key.alias("decided_us"), (key % 5 == 0).alias("reverted")
+    )
+    return stewardship.canonical(merges)
+
+
+@_query(f"""WITH e AS (SELECT o_custkey AS entity_id, count(*) AS engagement, max(epoch_us(o_orderdate)) FILTER (o_orderkey % 3 = 2) AS enriched_us FROM orders GROUP BY 1)
+    SELECT * FROM e WHERE engagement >= 1 AND (enriched_us IS NULL OR enriched_us <= {AT_US - 90 * DAY}) ORDER BY engagement DESC, enriched_us NULLS LAST, entity_id LIMIT 100""")
+def reenrich_topk(spark, sf_dir):
+    seen = F.when(F.col("o_orderkey") % 3 == 2, F.unix_micros(F.col("o_orderdate").cast("timestamp")))
+    entities = table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("entity_id"))
+    return stewardship.reenrichment(entities.agg(F.count(F.lit(1)).alias("engagement"), F.max(seen).alias("enriched_us")), AT_US)
+
+
+@_query("""SELECT user_id AS key, count(*) AS attempts, least(300, pow(2, least(count(*) - 1, 30)))::BIGINT AS backoff, count(*) >= 5 AS dead FROM events WHERE event_id % 3 = 0 GROUP BY 1""")
+def retries(spark, sf_dir):
+    return stewardship.retries(table(spark, sf_dir, "events").filter("event_id % 3 = 0").select(F.col("user_id").alias("key")))
+
+
+@_query(f"WITH {_SCORED} SELECT l, r, round(score, 6) AS score, round(1 - 2 * abs(score - 0.5), 6) AS priority FROM s ORDER BY priority DESC, l, r LIMIT 50")
+def review_queue(spark, sf_dir):
+    return stewardship.review_queue(_scored(spark, sf_dir).select("l", "r", "score"), 50).withColumn("score", F.round("score", 6))
+
+
+@_query("SELECT c_custkey, c_name FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'F')")
+def suppression_filter(spark, sf_dir):
+    gone = table(spark, sf_dir, "orders").filter("o_orderstatus = 'F'").select(F.col("o_custkey").alias("c_custkey"))
+    return stewardship.unsuppressed(table(spark, sf_dir, "customer").select("c_custkey", "c_name"), gone, "c_custkey")
+
+
+@_query("""WITH c AS (SELECT o_custkey AS k, count(*) AS s FROM orders GROUP BY 1), t AS (SELECT unnest([2, 5, 10])::INT AS at_least),
+    x AS (SELECT at_least, count(*) FILTER (k % 2 = 0 AND s >= at_least) / count(*) FILTER (k % 2 = 0) AS b, count(*) FILTER (k % 2 = 1 AND s >= at_least) / count(*) FILTER (k % 2 = 1) AS a FROM c, t GROUP BY 1)
+    SELECT at_least, round(b, 6) AS before, round(a, 6) AS after, a > b * 1.25 AND b > 0 AS alert FROM x""")
+def distribution_shift(spark, sf_dir):
+    sizes = table(spark, sf_dir, "orders").groupBy("o_custkey").agg(F.count(F.lit(1)).alias("size"))
+    before, after = (sizes.filter(F.col("o_custkey") % 2 == k).groupBy("size").agg(F.count(F.lit(1)).alias("n")) for k in (0, 1))
+    return stewardship.distribution_shift(before, after).withColumns({c: F.round(c, 6) for c in ("before", "after")})
+
+
+@_query(f"""WITH {_CANDIDATES} SELECT l, r, CASE WHEN contains(rules, 'kind') THEN 'kind' ELSE 'brand' END AS rule, CASE WHEN contains(rules, 'kind') THEN 0.99 ELSE 0.95 END::DOUBLE AS confidence FROM c""")
+def deterministic_matches(spark, sf_dir):
+    rules = {n: (c, {"brand": 0.95, "kind": 0.99}[n]) for n, c in _rules().items()}
+    return matching.deterministic_matches(_parts(spark, sf_dir), rules, _MAX_BLOCK)
+
+
+_TRUTH = "t AS (SELECT x.p_partkey AS l, y.p_partkey AS r FROM part x JOIN part y ON x.p_name = y.p_name AND x.p_size = y.p_size AND x.p_partkey < y.p_partkey)"
+
+
+def _truth(spark, sf_dir):
+    left, right = (table(spark, sf_dir, "part").select(F.col("p_partkey").alias(k), "p_name", "p_size") for k in ("l", "r"))
+    return left.join(right, ["p_name", "p_size"]).filter("l < r").select("l", "r")
+
+
+@_query(f"WITH {_CANDIDATES}, {_TRUTH} SELECT count(*) AS wanted, count(rules) AS found, round(count(rules) / count(*), 6) AS recall FROM t LEFT JOIN c USING (l, r)")
+def blocking_recall(spark, sf_dir):
+    return matching.blocking_recall(candidate_pairs(spark, sf_dir), _truth(spark, sf_dir)).withColumn("recall", F.round("recall", 6))
+
+
+@_query(f"""WITH {_CANDIDATES}, {_TRUTH}, j AS (SELECT rules FROM t LEFT JOIN c USING (l, r)) SELECT rule, round(count(*) FILTER (rules = rule) / count(*), 6) AS drop FROM j, (VALUES ('brand'), ('kind')) v(rule) GROUP BY 1""")
+def rule_contribution(spark, sf_dir):
+    return matching.rule_contribution(candidate_pairs(spark, sf_dir), _truth(spark, sf_dir), ["brand", "kind"])
+
+
+@_query("SELECT p_type AS value, count(*) AS n, round(count(*) / (SELECT count(*) FROM part), 6) AS share FROM part GROUP BY 1")
+def term_frequencies(spark, sf_dir):
+    return matching.term_frequencies(table(spark, sf_dir, "part"), "p_type").withColumn("share", F.round("share", 6))
+
+
+@_query("""SELECT c_custkey, CASE c_custkey % 3 WHEN 0 THEN 'user-' || c_custkey WHEN 1 THEN 'u' || c_custkey ELSE 'other ' || c_custkey END AS slug FROM customer""")
+def norm_linkedin(spark, sf_dir):
+    raw = "CASE c_custkey % 3 WHEN 0 THEN 'https://www.linkedin.com/in/User-' || c_custkey || '/?x=1' WHEN 1 THEN ' linkedin.com/pub/u' || c_custkey ELSE 'Other ' || c_custkey END"
+    return table(spark, sf_dir, "customer").select("c_custkey", text.normalize_linkedin(F.expr(raw)).alias("slug"))
+
+
 def queries():
     return dict(_QUERIES)
 

@@ -140,3 +140,10 @@ _jaro_winkler.__annotations__ = {"a": pa.Array, "b": pa.Array, "return": pa.Arra
 def jaro_winkler(a: Column, b: Column) -> Column:
     """Jaro with 0.1 for each common first letter (four at most) where Jaro is 0.7 or more."""
     return F.arrow_udf(_jaro_winkler, "double")(a, b)
+
+
+def normalize_linkedin(raw: Column) -> Column:
+    """The profile's slug, or else the whole text in lower case; empty: null."""
+    low = F.lower(F.trim(raw))
+    slug = F.regexp_extract(low, r"linkedin\.com/(?:in|pub)/([^/?#]+)", 1)
+    return F.coalesce(F.nullif(slug, F.lit("")), F.nullif(low, F.lit("")))

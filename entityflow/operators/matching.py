@@ -98,3 +98,32 @@ def bake_off(claims: DataFrame, gold: DataFrame) -> DataFrame:
         F.coalesce(F.try_divide(correct, returned), F.lit(0.0)).alias("accuracy"),
         F.sum("cost").alias("cost"),
     )
+
+
+def deterministic_matches(records: DataFrame, rules: dict[str, tuple[Column, float]], max_block: int = MAX_BLOCK) -> DataFrame:
+    """(l, r, rule, confidence): the surest rule of each pair that shares a key; of equals the rule named first."""
+    pairs = candidate_pairs(records, {n: c for n, (c, _) in rules.items()}, max_block)
+    best = F.array(*[F.when(F.array_contains(F.split("rules", ","), n), F.struct(F.lit(x).alias("c"), F.lit(-k).alias("k"), F.lit(n).alias("n"))) for k, (n, (_, x)) in enumerate(rules.items())])
+    won = F.array_max(best)
+    return pairs.select("l", "r", won["n"].alias("rule"), won["c"].alias("confidence"))
+
+
+def blocking_recall(pairs: DataFrame, truth: DataFrame) -> DataFrame:
+    """(wanted, found, recall) of the true pairs (l, r)."""
+    judged = truth.join(pairs.select("l", "r", F.lit(1).alias("hit")), ["l", "r"], "left")
+    n, found = F.count(F.lit(1)), F.count("hit")
+    return judged.agg(n.alias("wanted"), found.alias("found"), F.coalesce(F.try_divide(found, n), F.lit(1.0)).alias("recall"))
+
+
+def rule_contribution(pairs: DataFrame, truth: DataFrame, rules: list[str]) -> DataFrame:
+    """(rule, drop): the recall that would be lost without the rule, which is the share of pairs found by it alone."""
+    judged = truth.join(pairs.select("l", "r", "rules"), ["l", "r"], "left")
+    lost = [F.coalesce(F.try_divide(F.count_if(F.col("rules") == r), F.count(F.lit(1))), F.lit(0.0)).alias(r) for r in rules]
+    return judged.agg(*lost).select(F.inline(F.array(*[F.struct(F.lit(r).alias("rule"), F.round(F.col(r), 6).alias("drop")) for r in rules])))
+
+
+def term_frequencies(records: DataFrame, column: str) -> DataFrame:
+    """(value, n, share) of the values of a column that are not empty."""
+    values = records.select(F.nullif(F.col(column).cast("string"), F.lit("")).alias("value")).filter("value is not null")
+    total = max(1, values.count())
+    return values.groupBy("value").agg(F.count(F.lit(1)).alias("n")).withColumn("share", F.col("n") / total)

@@ -61,3 +61,17 @@ def test_clusters_of_the_fixtures(spark):
     rows = [("x", "y", 0.95), ("y", "z", 0.95), ("x", "z", 0.05), *[(f"r{i}", f"r{i+1}", 0.85) for i in range(9)]]
     got = {r.component: (r.size, r.verdict) for r in graph.verdicts(graph.edges(spark.createDataFrame(rows, "a string, b string, score double"))).collect()}
     assert got == {"x": (3, "LOW_COHESION"), "r0": (10, "LOW_COHESION")}
+
+
+def test_stream_counts_each_key_once(spark, tmp_path):
+    from entityflow.operators import events
+    from entityflow.session import table
+    from entityflow.streaming.dedup import deduplicate_stream
+
+    batch = events.crm_events(table(spark, SF, "events")).selectExpr("*", "timestamp_micros(received_us) as received_at")
+    batch.write.parquet(str(tmp_path / "in"))
+    stream = deduplicate_stream(spark.readStream.schema(batch.schema).parquet(str(tmp_path / "in")))
+    run = stream.writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True)
+    run.start(str(tmp_path / "out")).awaitTermination(120)
+    got = spark.read.parquet(str(tmp_path / "out"))
+    assert got.count() == got.select("key").distinct().count() == events.deduplicate(batch).count()
