@@ -12,16 +12,19 @@ text's length plus K ln K, whatever K.
 
 Steps: (1) one pass makes (doc_id, MD5 of the text, 25 band keys of 5 coordinates, one byte for each of 256
 coordinates) and writes it; equal texts fall together by their MD5, pre-aggregated. (2) The texts of a band's bucket
-are compared with the bucket's leader, never all with all. (3) A pair's estimate from 256 coordinates settles it when it
+are compared with the bucket's leader first. (3) A pair's estimate from 256 coordinates settles it when it
 is six standard errors or more away from 0.8; else the shingles of both texts are counted. (4) Components of the links.
 (5) Buckets of more than two texts are cut into finer ones by 4 and by 10 more coordinates, whose members are compared
-with leaders drawn anew for each bucket, so that a text that is not similar to a bucket's leader meets the others;
-of these pairs only those across components are looked at. (6) Components of all links; labels join the documents.
+with leaders drawn anew for each bucket; of these pairs only those across components are looked at. (6) Every pair that
+then still shares a bucket but no component is compared, each once, so no link of two texts that share a bucket depends
+on a leader. (7) Components of all links; labels join the documents.
 
-Scale: a text with J >= 0.8 shares a band with probability 1 - 5e-5. Every text makes 25 rows of 24 bytes and a
-linear number of pairs, whatever a bucket's size. Leaders are minima, pre-aggregated; joins to them are equi-joins
-whose large side Spark can split. Components use large-star and small-star rounds over links alone, each written to
-the shared folder. Nothing is collected or broadcast by us.
+Scale: two texts with J >= 0.8 share a band with probability 1 - 5e-5. Every text makes 25 rows of 24 bytes. Steps 2 and
+5 make a linear number of pairs and join most of a group; step 6 makes as many pairs as a bucket has across components,
+which for a family of texts just under 0.8 grows with the square of its size: no estimate tells them from 0.8. Large
+buckets are dealt in parts there, and only their estimates pass on. Leaders are minima, pre-aggregated; joins to them
+are equi-joins whose large side Spark can split. Components use large-star and small-star rounds over links alone, each
+written to the shared folder. Nothing is collected or broadcast by us.
 
 Cases: a null text belongs to a class of its own, doc_id. Equal texts are one class, empty ones too. A text without
 words is similar to nothing but its copies; a text of one to four words is one shingle. The class id is its smallest
@@ -48,6 +51,8 @@ BANDS, ROWS = 25, 5
 FINER = (4, 10)
 #: Six standard errors of a similarity of 0.8 over 256 coordinates.
 MARGIN = 0.15
+#: Texts of a large bucket that are dealt together when all its pairs across components are compared.
+PART = 256
 
 _SLICES = np.array([0.0, 1 / 16, 1 / 8, 1 / 4, 1 / 2, 1.0])
 _U64 = np.uint64
@@ -97,12 +102,17 @@ def similarity(a: np.ndarray, b: np.ndarray) -> float:
     return common / (len(a) + len(b) - common)
 
 
+def distinct_cells(found: np.ndarray) -> np.ndarray:
+    """A hash of its own for each copy of each element of a sorted multiset."""
+    at = np.arange(len(found), dtype=np.int64)
+    fresh = np.append(True, found[1:] != found[:-1])
+    copy = (at - np.maximum.accumulate(np.where(fresh, at, 0))).astype(_U64)
+    return _mixed(found + (copy + _U64(1)) * _U64(0x9E3779B97F4A7C15))
+
+
 def signature(cells: np.ndarray, k: int = COORDINATES) -> np.ndarray:
     """The earliest dart of each of ``k`` coordinates; ``cells`` is a sorted multiset of element hashes."""
-    at = np.arange(len(cells), dtype=np.int64)
-    fresh = np.append(True, cells[1:] != cells[:-1])
-    copy = (at - np.maximum.accumulate(np.where(fresh, at, 0))).astype(_U64)
-    cells = _mixed(cells + (copy + _U64(1)) * _U64(0x9E3779B97F4A7C15))
+    cells = distinct_cells(cells)
     darts, filled = np.zeros(k, _U64), np.zeros(k, bool)
     target = k * (np.log(k) + 2) / len(cells)
     low = 0.0
@@ -182,11 +192,8 @@ def _pairs(led: DataFrame) -> DataFrame:
     )
 
 
-def _verified(pairs: DataFrame, texts: DataFrame, documents: DataFrame, threshold: float) -> DataFrame:
-    """The pairs (a, b) whose similarity reaches the threshold."""
-    bytes8 = texts.select("h", "bytes8")
-    both = pairs.join(bytes8.withColumnRenamed("bytes8", "x"), F.col("a") == F.col("h")).drop("h")
-    both = both.join(bytes8.withColumnRenamed("bytes8", "y"), F.col("b") == F.col("h")).drop("h")
+def _estimate(x: str, y: str) -> Column:
+    """The similarity of two texts by the bytes of their coordinates."""
 
     def estimate(x: pa.Array, y: pa.Array) -> pa.Array:
         if not len(x):
@@ -195,8 +202,21 @@ def _verified(pairs: DataFrame, texts: DataFrame, documents: DataFrame, threshol
         return pa.array((((left == right).mean(axis=1)) - 1 / 256) / (1 - 1 / 256), pa.float64())
 
     estimate.__annotations__ = {"x": pa.Array, "y": pa.Array, "return": pa.Array}
-    rated = both.select("a", "b", F.arrow_udf(estimate, "double")("x", "y").alias("e"))
+    return F.arrow_udf(estimate, "double")(x, y)
+
+
+def _verified(pairs: DataFrame, texts: DataFrame, documents: DataFrame, threshold: float) -> DataFrame:
+    """The pairs (a, b) whose similarity reaches the threshold."""
+    bytes8 = texts.select("h", "bytes8")
+    both = pairs.join(bytes8.withColumnRenamed("bytes8", "x"), F.col("a") == F.col("h")).drop("h")
+    both = both.join(bytes8.withColumnRenamed("bytes8", "y"), F.col("b") == F.col("h")).drop("h")
+    rated = both.select("a", "b", _estimate("x", "y").alias("e"))
     rated = materialize(rated.filter(F.col("e") >= threshold - MARGIN), "rated-pairs")
+    return _settled(rated, texts, documents, threshold)
+
+
+def _settled(rated: DataFrame, texts: DataFrame, documents: DataFrame, threshold: float) -> DataFrame:
+    """The rated pairs (a, b, e) whose similarity reaches the threshold, by their shingles where e is too near to it."""
     sure = rated.filter(F.col("e") >= threshold + MARGIN).select("a", "b")
     unsure = rated.filter(F.col("e") < threshold + MARGIN).select("a", "b")
     if unsure.isEmpty():
@@ -206,21 +226,26 @@ def _verified(pairs: DataFrame, texts: DataFrame, documents: DataFrame, threshol
     firsts = texts.join(wanted, "h", "left_semi").select("h", F.col("id").alias("first"))
     known = only(documents, "doc_id", "text").withColumn("h", F.unhex(F.md5("text")))
     known = known.join(firsts, (known["h"] == firsts["h"]) & known["doc_id"].eqNullSafe(firsts["first"]), "left_semi")
-    known = materialize(known.select("h", "text"), "unsure-texts").dropDuplicates(["h"])
-    pair = unsure.join(known.select(F.col("h").alias("a"), F.col("text").alias("x")), "a")
-    pair = pair.join(known.select(F.col("h").alias("b"), F.col("text").alias("y")), "b")
 
-    def exact(x: pa.Array, y: pa.Array) -> pa.Array:
-        last: dict[str, np.ndarray] = {}
+    def cells(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for batch in batches:
+            yield pa.array([np.sort(distinct_cells(shingles(v.as_py()))).tobytes() for v in batch], pa.binary())
 
-        def of(text: str) -> np.ndarray:
-            if text not in last:
-                if len(last) > 16:
-                    last.clear()
-                last[text] = shingles(text)
-            return last[text]
+    cells.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
+    known = known.select("h", F.arrow_udf(cells, "binary")("text").alias("cells"))
+    known = materialize(known, "unsure-texts").dropDuplicates(["h"])
+    pair = unsure.join(known.select(F.col("h").alias("a"), F.col("cells").alias("x")), "a")
+    pair = pair.join(known.select(F.col("h").alias("b"), F.col("cells").alias("y")), "b")
 
-        return pa.array([similarity(of(p.as_py()), of(q.as_py())) for p, q in zip(x, y, strict=True)], pa.float64())
+    def exact(x: pa.Array, y: pa.Array) -> pa.Array:
+        out = []
+        for p, q in zip(x, y, strict=True):
+            left, right = np.frombuffer(p.as_py(), _U64), np.frombuffer(q.as_py(), _U64)
+            both = np.concatenate((left, right))
+            both.sort(kind="stable")
+            common = int((both[1:] == both[:-1]).sum())
+            out.append(common / max(len(both) - common, 1))
+        return pa.array(out, pa.float64())
 
     exact.__annotations__ = {"x": pa.Array, "y": pa.Array, "return": pa.Array}
     linked = pair.select("a", "b", F.arrow_udf(exact, "double")("x", "y").alias("s"))
@@ -247,6 +272,38 @@ def components(links: DataFrame) -> DataFrame:
     return edges.select(F.col("u").alias("h"), F.col("v").alias("root")).unionByName(roots.select("h", F.col("h").alias("root")))
 
 
+def _across(pairs: DataFrame, roots: DataFrame) -> DataFrame:
+    """The pairs (a, b, ...) whose texts are in different components."""
+    columns = pairs.columns
+    for side in ("a", "b"):
+        pairs = pairs.join(roots.select(F.col("h").alias(side), F.col("root").alias(f"{side}_root")), side, "left")
+    return pairs.filter(F.coalesce("a_root", "a") != F.coalesce("b_root", "b")).select(*columns)
+
+
+def _apart(buckets: DataFrame, roots: DataFrame, texts: DataFrame) -> DataFrame:
+    """(a, b, x, y) of every pair of texts that shares a bucket and no component, each pair once; x and y are bytes8.
+
+    Pairs inside a bucket's most frequent component are never made; a large bucket is dealt in parts of ``PART`` texts.
+    """
+    placed = buckets.select("h", "band", "key").join(roots, "h", "left").withColumn("root", F.coalesce("root", "h"))
+    found = placed.groupBy("key", "root").agg(F.count(F.lit(1)).alias("n"))
+    mixed = found.groupBy("key").agg(F.max(F.struct("n", "root")).alias("t"), F.sum("n").alias("n"), F.count(F.lit(1)).alias("k"))
+    mixed = mixed.filter("k > 1").select("key", F.col("t.root").alias("most"), F.ceil(F.col("n") / PART).cast("int").alias("parts"))
+    members = materialize(placed.join(mixed, "key").join(texts.select("h", "bands", "bytes8"), "h"), "mixed-buckets")
+    left = members.filter(F.col("root") != F.col("most")).select(
+        "key", "band", "most", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"),
+        F.col("h").alias("a"), F.col("root").alias("a_root"), F.col("bands").alias("a_bands"), F.col("bytes8").alias("x"),
+    )
+    right = members.select(
+        "key", F.pmod(F.xxhash64("h"), F.col("parts")).cast("int").alias("part"),
+        F.col("h").alias("b"), F.col("root").alias("b_root"), F.col("bands").alias("b_bands"), F.col("bytes8").alias("y"),
+    )
+    shared = F.array_position(F.zip_with("a_bands", "b_bands", lambda p, q: p == q), F.lit(True))
+    once = (F.col("a_root") != F.col("b_root")) & ((F.col("b_root") == F.col("most")) | (F.col("a") < F.col("b")))
+    both = left.join(right, ["key", "part"]).filter(once).filter(shared == F.col("band") + 1)
+    return both.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "x", "y")
+
+
 def classes(documents: DataFrame, *, threshold: float = SIMILARITY) -> tuple[DataFrame, DataFrame]:
     """((doc_id, h) of the documents, (h, id, n, class_id) of the distinct texts); id is a text's smallest doc_id."""
     drawn = materialize(sketches(documents), "sketches")
@@ -265,12 +322,23 @@ def classes(documents: DataFrame, *, threshold: float = SIMILARITY) -> tuple[Dat
         at = F.lit(BANDS * ROWS + 1) + (F.col("band") * 7) % (COORDINATES - BANDS * ROWS - more)
         key = F.xxhash64(F.lit(level), "coarse", F.substring(F.col("bytes8"), at, F.lit(more)))
         finer.append(_pairs(_leaders(crowd.select(key.alias("key"), "h"), F.xxhash64("key", "h"))))
-    pairs = finer[0].unionByName(finer[1]).distinct()
-    for side in ("a", "b"):
-        pairs = pairs.join(known.select(F.col("h").alias(side), F.col("root").alias(f"{side}_root")), side, "left")
-    apart = pairs.filter(F.coalesce("a_root", "a") != F.coalesce("b_root", "b")).select("a", "b")
+    apart = _across(finer[0].unionByName(finer[1]).distinct(), known)
     second = materialize(_verified(materialize(apart, "further-pairs"), texts, documents, threshold), "further-links")
-    roots = known if second.isEmpty() else components(first.unionByName(second))
+    links = first.unionByName(second)
+    roots = known if second.isEmpty() else materialize(components(links), "further-classes")
+    # All pairs that still share a bucket across components: each text's likeliest first, then those it leaves apart.
+    rated = _apart(led, roots, texts).select("a", "b", _estimate("x", "y").alias("e")).filter(F.col("e") >= threshold - MARGIN)
+    rated = materialize(rated, "rest-rated")
+    sides = rated.select(F.explode(F.array("a", "b")).alias("h"), "a", "b", "e")
+    likely = sides.groupBy("h").agg(F.max(F.struct("e", "a", "b")).alias("p")).select("p.*").distinct()
+    third = materialize(_settled(likely, texts, documents, threshold), "likely-links")
+    if not third.isEmpty():
+        links = links.unionByName(third)
+        roots = materialize(components(links), "likely-classes")
+    apart = materialize(_across(rated, roots), "rest-pairs")
+    fourth = materialize(_settled(apart, texts, documents, threshold), "rest-links")
+    if not fourth.isEmpty():
+        roots = components(links.unionByName(fourth))
     own = texts.select("h", "id", "n").join(roots, "h", "left").withColumn("root", F.coalesce("root", "h"))
     own = materialize(own, "classes")
     label = own.groupBy("root").agg(F.min("id").alias("class_id"), F.sum("n").alias("class_size"))

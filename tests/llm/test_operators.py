@@ -112,6 +112,27 @@ def test_near_duplicates(spark):
     assert left == {i for i in got if got[i] == i}
 
 
+def test_near_duplicates_inside_a_template_family(spark):
+    """A template with members at 0.77 to 0.8 of one another, in which pairs at 0.81 must still be found."""
+    p, columns = 13, 6
+    template, rows, pairs = [f"t{k}" for k in range(p * columns * 5 + 90)], [], []
+    for a in range(p):
+        for b in range(0, p - 1, 2):
+            for line in (b, b + 1):
+                words = list(template)
+                for j in range(columns):
+                    # The pair's texts share one change; any two others meet in one place at most.
+                    words[(j * p + (a + line * j) % p) * 5 + 2] = f"p{a}x{b}" if j == 0 else f"m{a}x{line}x{j}"
+                rows.append((len(rows), " ".join(words)))
+            pairs.append((len(rows) - 2, len(rows) - 1))
+    found = [neardup.shingles(t) for _, t in rows]
+    near = {(i, j) for j in range(len(rows)) for i in range(j) if neardup.similarity(found[i], found[j]) >= 0.8}
+    assert near == set(pairs)
+    assert min(neardup.similarity(found[0], f) for f in found) > 0.75
+    got = by_id(neardup.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)))
+    assert {i: got[i].class_id for i, _ in rows} == {k: i for i, j in pairs for k in (i, j)}
+
+
 def test_quality_rules(docs):
     got = by_id(quality_rules.judge(quality_rules.measure(docs)))
     for i, t in enumerate(texts()):
