@@ -2,7 +2,7 @@
 
 A source's mean repetition rate is (its target share) x (bytes of the mixture) / (its bytes). Each document's number
 of copies is the Poisson distribution with that mean, inverted at a number in [0, 1) hashed from the seed and the
-document: the same document gets the same count in any run, at any parallelism, and whatever else is in the corpus as
+document (a mean above ``MAX_RATE`` is the sum of as many hashed draws of equal, smaller means): the same document gets the same count in any run, at any parallelism, and whatever else is in the corpus as
 long as the rates stay. The copies are exploded and dealt to partitions by a hash of seed, document and copy number,
 then sorted by it, which is a uniform global shuffle.
 
@@ -27,7 +27,10 @@ SEED = 20
 TEMPERATURE = 0.5
 BROADCAST_SOURCES = 10_000
 SALTS = 64
+#: A source with a greater mean rate draws its counts as sums of draws of at most this mean.
 MAX_RATE = 500.0
+#: Copies of one document that are exploded at once.
+CHUNK = 10_000
 
 
 def _key(source: Column) -> Column:
@@ -50,7 +53,7 @@ def poisson_cdf(rate: Column) -> Column:
 def source_rates(
     documents: DataFrame, weights: dict[str, float] | None, temperature: float, epochs: float
 ) -> DataFrame:
-    """(_source, rate, cdf): the mean repetition rate of each source and the Poisson distribution with that mean."""
+    """(_source, rate, _draws, cdf): each source's mean rate, its number of draws and the distribution of one of them."""
     size = F.greatest(F.coalesce(F.octet_length("text"), F.lit(0)), F.lit(1)).cast("bigint")
     sizes = documents.groupBy(_key(F.col("source")).alias("_source")).agg(F.sum(size).alias("bytes"))
     sizes = materialize(sizes, "source-sizes")
@@ -63,13 +66,11 @@ def source_rates(
         sizes = sizes.join(F.broadcast(given), "_source")
     total = sizes.agg(F.sum("bytes").alias("b"), F.sum("weight").alias("w")).first()
     if not total.b or not total.w:
-        return sizes.select("_source", F.lit(0.0).alias("rate"), F.array(F.lit(1.0)).alias("cdf")).limit(0)
+        return sizes.select("_source", F.lit(0.0).alias("rate"), F.lit(1).alias("_draws"), F.array(F.lit(1.0)).alias("cdf")).limit(0)
     rate = F.col("weight") / F.lit(float(total.w)) * F.lit(float(total.b) * epochs) / F.col("bytes").cast("double")
     rates = sizes.select("_source", rate.alias("rate"))
-    most = rates.agg(F.max("rate")).first()[0]
-    if most > MAX_RATE:
-        raise ValueError(f"a source would be repeated {most:.0f} times; at most {MAX_RATE:.0f} are supported")
-    return rates.select("_source", "rate", poisson_cdf(F.col("rate")).alias("cdf"))
+    rates = rates.withColumn("_draws", F.greatest(F.ceil(F.col("rate") / MAX_RATE), F.lit(1)).cast("int"))
+    return rates.select("_source", "rate", "_draws", poisson_cdf(F.col("rate") / F.col("_draws")).alias("cdf"))
 
 
 def mix(
@@ -85,7 +86,7 @@ def mix(
     ``weights`` maps sources to target shares (any scale); without it a source's share is its bytes to the power
     ``temperature``. ``epochs`` is the mixture's expected size over the input's.
     """
-    docs = without(documents, ["copies", "copy_no", "shuffle_key", "_source", "_salt", "_u", "rate", "cdf"])
+    docs = without(documents, ["copies", "copy_no", "shuffle_key", "_source", "_salt", "_u", "_draws", "_chunk", "rate", "cdf"])
     rates = source_rates(docs, weights, temperature, epochs)
     who = F.coalesce(F.col("doc_id").cast("string"), F.md5("text"), F.lit(""))
     docs = docs.withColumns({"_source": _key(F.col("source")), "_u": unit(F.lit(seed), who)})
@@ -96,13 +97,18 @@ def mix(
         joined = docs.withColumn("_salt", F.pmod(F.xxhash64("_u"), F.lit(SALTS)).cast("int")).join(
             salted, ["_source", "_salt"]
         )
-    copies = F.size(F.filter("cdf", lambda c: c <= F.col("_u")))
+    drawn = lambda u: F.size(F.filter("cdf", lambda c: c <= u)).cast("bigint")
+    more = F.when(F.col("_draws") > 1, F.sequence(F.lit(1), F.col("_draws") - 1)).otherwise(F.array().cast("array<int>"))
+    copies = F.aggregate(
+        F.transform(more, lambda k: unit(F.lit(seed), who, k)), drawn(F.col("_u")), lambda n, u: n + drawn(u)
+    )
     out = (
         joined.withColumn("copies", copies)
         .filter(F.col("copies") > 0)
-        .withColumn("copy_no", F.explode(F.sequence(F.lit(0), F.col("copies") - 1)))
+        .withColumn("_chunk", F.explode(F.sequence(F.lit(0).cast("bigint"), F.expr(f"(copies - 1) div {CHUNK}"))))
+        .withColumn("copy_no", F.explode(F.sequence(F.col("_chunk") * CHUNK, F.least(F.col("copies"), (F.col("_chunk") + 1) * CHUNK) - 1)))
         .withColumn("shuffle_key", F.md5(F.concat_ws("|", F.lit(str(seed)), who, F.col("copy_no").cast("string"))))
-        .drop("_source", "_salt", "_u", "rate", "cdf")
+        .drop("_source", "_salt", "_u", "_draws", "_chunk", "rate", "cdf")
     )
     parts = int(documents.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return out.repartition(parts, "shuffle_key").sortWithinPartitions("shuffle_key")

@@ -195,6 +195,17 @@ def test_mixing_counts_follow_the_rates(spark):
     assert abs(n["a"] - 2000) < 200 and abs(n["b"] - 2000) < 200
 
 
+def test_mixing_repeats_a_tiny_source_beside_a_huge_one(spark):
+    rows = [(i, "x", "tiny") for i in range(20)] + [(100 + i, "y" * 10000, "huge") for i in range(64)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
+    got = mixing.mix(docs, weights={"tiny": 1.0, "huge": 1.0}).filter("source = 'tiny'").groupBy("doc_id")
+    got = got.agg(F.count("*").alias("n"), F.countDistinct("copy_no").alias("d"), F.max("copy_no").alias("m"), F.max("copies").alias("c"))
+    counts, mean = [r.n for r in got.collect() if r.n == r.d == r.c == r.m + 1], (640000 + 20) / 2 / 20
+    assert len(counts) == 20 and len(set(counts)) > 10
+    assert abs(sum(counts) / 20 - mean) < 5 * (mean / 20) ** 0.5
+    assert 0.3 * mean < sum((n - mean) ** 2 for n in counts) / 20 < 2.5 * mean
+
+
 def test_language_and_quality_are_learned(spark):
     frame = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     found = langid.identify(frame).filter("held_out and lang is not null and text is not null and lang_pred != 'und'")
