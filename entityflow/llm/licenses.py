@@ -4,7 +4,8 @@
 the templates, its (template, position) postings. Step one reads a text once and keeps the places of the base phrases,
 of the key phrases and of the index's words. Step two counts in how many documents each index word occurs (a table of
 at most the vocabulary's size). Step three takes each file's ``TOP_WORDS`` licence words of the highest inverse document
-frequency, turns their places into (template, start) by the postings' relative positions, keeps the starts on which at
+frequency and all index words of the templates whose key phrase stands in it, so that no standing key phrase goes
+without its votes (each holds two index words at least), turns their places into (template, start) by the postings' relative positions, keeps the starts on which at
 least ``MIN_SUPPORT`` of its words agree, and verifies that the template's key phrase stands where that start puts it.
 DataFrame functions only.
 
@@ -112,7 +113,7 @@ def read(documents: DataFrame) -> DataFrame:
     )
     both = bind(words, lambda ws: F.struct(_places(ws, phrases).alias("phrases"), rare(ws).alias("rare")))
     anywhere = text.rlike(r"(?i)(?<![0-9a-z\x{80}-\x{10FFFF}])(?:" + "|".join(anchors) + r")(?![0-9a-z\x{80}-\x{10FFFF}])")
-    docs = without(documents, [*RESULT, "_found", "_phrases", "_rare", "_pieces"])
+    docs = without(documents, [*RESULT, "_found", "_more", "_keyed", "_phrases", "_rare", "_pieces"])
     docs = docs.withColumn("n_words", bind(pieces, n_words))
     docs = docs.withColumn("_found", F.when(anywhere, both))
     none = F.array().cast("array<struct<at:bigint,phrase:string>>"), F.array().cast("array<struct<at:bigint,word:string>>")
@@ -146,8 +147,11 @@ def match(read_docs: DataFrame, idf: dict[str, float]) -> DataFrame:
         F.transform(places, lambda o: F.transform(table[o[name]], lambda p: pair(p["label"], o["at"] - p["at"])))
     )
     top = F.slice(F.array_sort(F.array_distinct(F.transform("_rare", lambda x: order[x["word"]]))), 1, TOP_WORDS)
-    docs = read_docs.withColumn("_top", top)
-    chosen = F.filter("_rare", lambda x: F.array_contains("_top", order[x["word"]]))
+    keyed = F.array_distinct(starts(F.filter("_phrases", lambda p: F.map_contains_key(keys, p["phrase"])), keys, "phrase"))
+    of = F.create_map(*[x for label in TEMPLATES for x in (F.lit(label), _strings(w for w, ps in index.items() if label in dict(ps)))])
+    more = F.array_distinct(F.flatten(F.transform("_keyed", lambda k: of[k["label"]])))
+    docs = read_docs.withColumns({"_top": top, "_keyed": keyed}).withColumn("_more", more)
+    chosen = F.filter("_rare", lambda x: F.array_contains("_top", order[x["word"]]) | F.array_contains("_more", x["word"]))
 
     def agreed(votes: Column) -> Column:
         """(label, start, number of votes) of each start; ``votes`` is sorted, and bound."""
@@ -164,8 +168,7 @@ def match(read_docs: DataFrame, idf: dict[str, float]) -> DataFrame:
 
     # A place and a template's word make one vote, so a start's votes are distinct words of the file at their places.
     voted = F.filter(bind(F.sort_array(starts(chosen, lists, "word")), agreed), lambda v: v["n"] >= MIN_SUPPORT)
-    keyed = F.array_distinct(starts(F.filter("_phrases", lambda p: F.map_contains_key(keys, p["phrase"])), keys, "phrase"))
-    docs = docs.withColumns({"_voted": voted, "_keyed": keyed})
+    docs = docs.withColumn("_voted", voted)
     docs = docs.withColumn("_sure", F.array_intersect(F.transform("_voted", lambda v: pair(v["label"], v["start"])), F.col("_keyed")))
     base = F.filter("_phrases", lambda p: p["phrase"].isin(list(BASE)))
     labels = F.create_map(*[F.lit(x) for kv in BASE.items() for x in kv])
@@ -188,7 +191,7 @@ def match(read_docs: DataFrame, idf: dict[str, float]) -> DataFrame:
             "score": F.when(F.size("_base") > 0, F.lit(1.0)).otherwise(F.coalesce(share, F.lit(0.0))),
         }
     )
-    return out.drop("_phrases", "_rare", "_top", "_voted", "_keyed", "_sure", "_base", "_names")
+    return out.drop("_phrases", "_rare", "_top", "_more", "_voted", "_keyed", "_sure", "_base", "_names")
 
 
 def scan_licenses(documents: DataFrame) -> DataFrame:

@@ -164,6 +164,15 @@ def test_licenses(spark, docs):
     assert "mit" in got[len(texts()) + 2].labels
 
 
+def test_licenses_of_many_notices_and_stray_words(spark):
+    full = [licenses.TEMPLATES[k][0] for k in ("mit", "bsd", "mpl", "epl", "unlicense", "isc", "cc")]
+    stray = "mozilla x eclipse x affero x creative x unencumbered x nc x lesser x commons x attribution "
+    rows = [(1, " and then ".join(full)), (2, stray + licenses.TEMPLATES["apache"][0]), (3, stray)]
+    got = by_id(licenses.scan_licenses(spark.createDataFrame(rows, "doc_id bigint, text string")))
+    assert [got[k].labels for k in (1, 2, 3)] == ["bsd,cc,epl,isc,mit,mpl,unlicense", "apache", ""]
+    assert got[2].score == 1.0
+
+
 def test_sharding(docs):
     got = sharding.assign(docs.unionByName(docs.filter("doc_id < 5"))).collect()
     slots = {}
