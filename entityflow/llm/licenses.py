@@ -13,7 +13,8 @@ A base phrase adds its label wherever its words stand consecutively; a verified
 The score is 1 for a base phrase, else the best start's share of its template's rare words.
 
 Scale: row expressions over the scan, plus one pre-aggregated count by word. Texts without any word of the phrases'
-first words skip step one by one pattern. Votes are counted by sorting, in O(n log n) of a text's licence words.
+first words skip the search for places by one pattern; their words are counted all the same. Votes are counted by
+sorting, in O(n log n) of a text's licence words.
 
 Cases: a null or empty text has no words, no place and empty labels. Repeated rows get equal results. No rows: no rows.
 Input columns named like a result column are replaced by it.
@@ -95,7 +96,10 @@ def _places(words: Column, phrases: list[str]) -> Column:
 
 
 def read(documents: DataFrame) -> DataFrame:
-    """``documents`` with n_words, _phrases (base and key phrases) and _rare (places of the index's words)."""
+    """``documents`` with n_words, _phrases (base and key phrases), _rare (places of the index's words) and _words.
+
+    _phrases and _rare are filled where a phrase can stand; _words, the distinct index words, for every text.
+    """
     lowered = F.translate(F.coalesce(F.col("text"), F.lit("")), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
     text = F.coalesce(F.col("text"), F.lit(""))
     pieces = F.split(text, JAVA_SEPARATORS)
@@ -111,20 +115,25 @@ def read(documents: DataFrame) -> DataFrame:
     rare = lambda ws: F.filter(
         F.transform(ws, lambda w, i: F.struct(i.cast("bigint").alias("at"), w.alias("word"))), lambda x: x["word"].isin(index)
     )
-    both = bind(words, lambda ws: F.struct(_places(ws, phrases).alias("phrases"), rare(ws).alias("rare")))
+    held = lambda ws: F.array_intersect(ws, _strings(index))
+    both = bind(words, lambda ws: F.struct(held(ws).alias("words"), _places(ws, phrases).alias("phrases"), rare(ws).alias("rare")))
     anywhere = text.rlike(r"(?i)(?<![0-9a-z\x{80}-\x{10FFFF}])(?:" + "|".join(anchors) + r")(?![0-9a-z\x{80}-\x{10FFFF}])")
-    docs = without(documents, [*RESULT, "_found", "_more", "_keyed", "_phrases", "_rare", "_pieces"])
+    docs = without(documents, [*RESULT, "_found", "_more", "_keyed", "_phrases", "_rare", "_words", "_pieces"])
     docs = docs.withColumn("n_words", bind(pieces, n_words))
     docs = docs.withColumn("_found", F.when(anywhere, both))
     none = F.array().cast("array<struct<at:bigint,phrase:string>>"), F.array().cast("array<struct<at:bigint,word:string>>")
     return docs.withColumns(
-        {"_phrases": F.coalesce("_found.phrases", none[0]), "_rare": F.coalesce("_found.rare", none[1])}
+        {
+            "_phrases": F.coalesce("_found.phrases", none[0]),
+            "_rare": F.coalesce("_found.rare", none[1]),
+            "_words": F.coalesce("_found.words", held(F.split(lowered, JAVA_SEPARATORS))),
+        }
     ).drop("_found")
 
 
 def inverse_frequencies(read_docs: DataFrame) -> dict[str, float]:
     """ln((1 + documents) / (1 + documents with the word)) of each index word; at most the vocabulary's size."""
-    words = read_docs.select(F.explode(F.array_distinct(F.col("_rare.word"))).alias("word")).groupBy("word").count()
+    words = read_docs.select(F.explode("_words").alias("word")).groupBy("word").count()
     n = read_docs.select("n_words").count()
     found = {r["word"]: r["count"] for r in words.collect()}
     return {w: math.log((1 + n) / (1 + found.get(w, 0))) for w in postings()}
@@ -191,7 +200,7 @@ def match(read_docs: DataFrame, idf: dict[str, float]) -> DataFrame:
             "score": F.when(F.size("_base") > 0, F.lit(1.0)).otherwise(F.coalesce(share, F.lit(0.0))),
         }
     )
-    return out.drop("_phrases", "_rare", "_top", "_more", "_voted", "_keyed", "_sure", "_base", "_names")
+    return out.drop("_phrases", "_rare", "_words", "_top", "_more", "_voted", "_keyed", "_sure", "_base", "_names")
 
 
 def scan_licenses(documents: DataFrame) -> DataFrame:

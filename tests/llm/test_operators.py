@@ -2,6 +2,7 @@
 
 import hashlib
 import json
+import math
 import random
 import re
 import zlib
@@ -164,6 +165,14 @@ def test_licenses(spark, docs):
     assert "mit" in got[len(texts()) + 2].labels
 
 
+def test_license_word_frequencies_count_every_text(spark):
+    prose = ["a person met the following conditions", "software is available; any person, person", "GNU person", "mit license", "", None]
+    rows = spark.createDataFrame(list(enumerate(prose)), "doc_id bigint, text string")
+    held = [set(WORD.findall(lowered(t))) for t in prose]
+    want = {w: math.log((1 + len(prose)) / (1 + sum(w in h for h in held))) for w in licenses.postings()}
+    assert licenses.inverse_frequencies(licenses.read(rows)) == want
+
+
 def test_licenses_of_many_notices_and_stray_words(spark):
     full = [licenses.TEMPLATES[k][0] for k in ("mit", "bsd", "mpl", "epl", "unlicense", "isc", "cc")]
     stray = "mozilla x eclipse x affero x creative x unencumbered x nc x lesser x commons x attribution "
