@@ -15,16 +15,18 @@ coordinates) and writes it; equal texts fall together by their MD5, pre-aggregat
 are compared with the bucket's leader first. (3) A pair's estimate from 256 coordinates settles it when it
 is six standard errors or more away from 0.8; else the shingles of both texts are counted. (4) Components of the links.
 (5) Buckets of more than two texts are cut into finer ones by 4 and by 10 more coordinates, whose members are compared
-with leaders drawn anew for each bucket; of these pairs only those across components are looked at. (6) Every pair that
-then still shares a bucket but no component is compared, each once, so no link of two texts that share a bucket depends
-on a leader. (7) Components of all links; labels join the documents.
+with leaders drawn anew for each bucket; of these pairs only those across components are looked at. (6) Buckets that
+still hold several components are compared whole, in blocks of ``PART`` by ``PART`` texts: each text is linked to the
+partner of the highest estimate if their shingles agree, then the texts with any likely partner that are still apart
+are compared exactly by products of shingle matrices. No link of two texts that share a bucket depends on a leader.
+(7) Components of all links; labels join the documents.
 
 Scale: two texts with J >= 0.8 share a band with probability 1 - 5e-5. Every text makes 25 rows of 24 bytes. Steps 2 and
-5 make a linear number of pairs and join most of a group; step 6 makes as many pairs as a bucket has across components,
-which for a family of texts just under 0.8 grows with the square of its size: no estimate tells them from 0.8. Large
-buckets are dealt in parts there, and only their estimates pass on. Leaders are minima, pre-aggregated; joins to them
-are equi-joins whose large side Spark can split. Components use large-star and small-star rounds over links alone, each
-written to the shared folder. Nothing is collected or broadcast by us.
+5 make a linear number of pairs and join most of a group. Step 6 makes no row for a pair: a block holds ``2 x PART``
+texts at most and returns one row a text. Its time alone grows with the square of a family of texts just under 0.8, as
+no estimate tells them from 0.8; its blocks spread over all tasks. Leaders are minima, pre-aggregated and written, so
+joins to them are equi-joins whose large side Spark can split. Components use large-star and small-star rounds over
+links alone, each written to the shared folder. Nothing is collected or broadcast by us.
 
 Cases: a null text belongs to a class of its own, doc_id. Equal texts are one class, empty ones too. A text without
 words is similar to nothing but its copies; a text of one to four words is one shingle. The class id is its smallest
@@ -41,7 +43,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from entityflow.llm.common import materialize, only, to_words, without
+from entityflow.llm.common import discard, materialize, only, to_words, without
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -51,8 +53,11 @@ BANDS, ROWS = 25, 5
 FINER = (4, 10)
 #: Six standard errors of a similarity of 0.8 over 256 coordinates.
 MARGIN = 0.15
-#: Texts of a large bucket that are dealt together when all its pairs across components are compared.
+#: Texts, and bytes of shingles, of a bucket that are dealt together when its components are compared.
 PART = 256
+PART_BYTES = 32 << 20
+#: Columns of a shingle matrix at a time.
+SLICE = 4096
 
 _SLICES = np.array([0.0, 1 / 16, 1 / 8, 1 / 4, 1 / 2, 1.0])
 _U64 = np.uint64
@@ -178,10 +183,9 @@ def sketches(documents: DataFrame) -> DataFrame:
 
 
 def _leaders(members: DataFrame, order: Column) -> DataFrame:
-    """``members`` (key, h, ...) of buckets with more than one text, with the bucket's leader and its size."""
+    """(key, leader, n) of the buckets with more than one text, written: joins to it can be split where a key is hot."""
     lead = members.groupBy("key").agg(F.min(F.struct(order.alias("o"), "h")).alias("l"), F.count(F.lit(1)).alias("n"))
-    lead = lead.filter(F.col("n") > 1).select("key", F.col("l.h").alias("leader"), "n")
-    return members.join(lead, "key")
+    return materialize(lead.filter(F.col("n") > 1).select("key", F.col("l.h").alias("leader"), "n"), "leaders")
 
 
 def _pairs(led: DataFrame) -> DataFrame:
@@ -215,13 +219,8 @@ def _verified(pairs: DataFrame, texts: DataFrame, documents: DataFrame, threshol
     return _settled(rated, texts, documents, threshold)
 
 
-def _settled(rated: DataFrame, texts: DataFrame, documents: DataFrame, threshold: float) -> DataFrame:
-    """The rated pairs (a, b, e) whose similarity reaches the threshold, by their shingles where e is too near to it."""
-    sure = rated.filter(F.col("e") >= threshold + MARGIN).select("a", "b")
-    unsure = rated.filter(F.col("e") < threshold + MARGIN).select("a", "b")
-    if unsure.isEmpty():
-        return sure
-    wanted = unsure.select(F.explode(F.array("a", "b")).alias("h")).distinct()
+def _cells(wanted: DataFrame, texts: DataFrame, documents: DataFrame) -> DataFrame:
+    """(h, cells) of the wanted texts (h), written: the sorted hashes of their shingles, one for each copy of a shingle."""
     # One row of each wanted text: its document with the smallest id, of which equal rows may repeat.
     firsts = texts.join(wanted, "h", "left_semi").select("h", F.col("id").alias("first"))
     known = only(documents, "doc_id", "text").withColumn("h", F.unhex(F.md5("text")))
@@ -232,8 +231,17 @@ def _settled(rated: DataFrame, texts: DataFrame, documents: DataFrame, threshold
             yield pa.array([np.sort(distinct_cells(shingles(v.as_py()))).tobytes() for v in batch], pa.binary())
 
     cells.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
-    known = known.select("h", F.arrow_udf(cells, "binary")("text").alias("cells"))
-    known = materialize(known, "unsure-texts").dropDuplicates(["h"])
+    known = known.dropDuplicates(["h"]).select("h", F.arrow_udf(cells, "binary")("text").alias("cells"))
+    return materialize(known, "shingles")
+
+
+def _settled(rated: DataFrame, texts: DataFrame, documents: DataFrame, threshold: float) -> DataFrame:
+    """The rated pairs (a, b, e) whose similarity reaches the threshold, by their shingles where e is too near to it."""
+    sure = rated.filter(F.col("e") >= threshold + MARGIN).select("a", "b")
+    unsure = rated.filter(F.col("e") < threshold + MARGIN).select("a", "b")
+    if unsure.isEmpty():
+        return sure
+    known = _cells(unsure.select(F.explode(F.array("a", "b")).alias("h")).distinct(), texts, documents)
     pair = unsure.join(known.select(F.col("h").alias("a"), F.col("cells").alias("x")), "a")
     pair = pair.join(known.select(F.col("h").alias("b"), F.col("cells").alias("y")), "b")
 
@@ -253,25 +261,37 @@ def _settled(rated: DataFrame, texts: DataFrame, documents: DataFrame, threshold
 
 
 def components(links: DataFrame) -> DataFrame:
-    """(h, root) of every node with a link, by rounds of large-star and small-star until the links rest."""
+    """(h, root) of every node with a link, by rounds of large-star and small-star until only stars are left.
+
+    Each node's least neighbour is written before the links join it, so that Spark can split the links of a hub.
+    """
     edges = materialize(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u != v").distinct(), "links")
-    state = edges.agg(F.count(F.lit(1)), F.sum(F.pmod(F.xxhash64("u", "v"), F.lit(1 << 40)))).first()
-    while state[0]:
+    while not _only_stars(edges):
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").filter(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = large.filter("u != v").distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        near = materialize(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "least")
+        large = both.join(near, "u").filter(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v"))
+        large = materialize(large.filter("u != v").distinct(), "large-star")
+        least = materialize(large.groupBy("u").agg(F.min("v").alias("m")), "least")
         small = large.join(least, "u").filter("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        edges = materialize(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "links")
-        new = edges.agg(F.count(F.lit(1)), F.sum(F.pmod(F.xxhash64("u", "v"), F.lit(1 << 40)))).first()
-        if new == state:
-            break
-        state = new
+        done = materialize(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "links")
+        discard(edges, near, large, least)
+        edges = done
     roots = edges.select(F.col("v").alias("h")).distinct()
     return edges.select(F.col("u").alias("h"), F.col("v").alias("root")).unionByName(roots.select("h", F.col("h").alias("root")))
 
 
+def _only_stars(edges: DataFrame) -> bool:
+    """Whether each u has one v, and no v is a u."""
+    sides = edges.select(F.explode(F.array(F.struct(F.col("u").alias("h"), F.lit(1).alias("up")), F.struct(F.col("v").alias("h"), F.lit(0).alias("up")))).alias("s"))
+    ends = sides.groupBy("s.h").agg(F.sum("s.up").alias("ups"), F.count(F.lit(1)).alias("n"))
+    return ends.filter((F.col("ups") > 1) | (F.col("ups") == 1) & (F.col("n") > 1)).isEmpty()
+
+
+def _stars(roots: DataFrame) -> DataFrame:
+    """Known components as links to their roots."""
+    return roots.filter("h != root").select(F.col("h").alias("a"), F.col("root").alias("b"))
+
+
 def _across(pairs: DataFrame, roots: DataFrame) -> DataFrame:
     """The pairs (a, b, ...) whose texts are in different components."""
     columns = pairs.columns
@@ -280,28 +300,120 @@ def _across(pairs: DataFrame, roots: DataFrame) -> DataFrame:
     return pairs.filter(F.coalesce("a_root", "a") != F.coalesce("b_root", "b")).select(*columns)
 
 
-def _apart(buckets: DataFrame, roots: DataFrame, texts: DataFrame) -> DataFrame:
-    """(a, b, x, y) of every pair of texts that shares a bucket and no component, each pair once; x and y are bytes8.
+def _mixed_buckets(buckets: DataFrame, roots: DataFrame, size: Column) -> tuple[DataFrame, DataFrame]:
+    """(members with their root, (key, most, lefts, rights)) of the buckets that hold several components.
+
+    ``most`` is the component with most members; ``lefts`` is the number of parts of the other components' members,
+    ``rights`` of all: of ``PART`` texts and ``PART_BYTES`` of ``size`` each.
+    """
+    placed = buckets.join(roots, "h", "left").withColumn("root", F.coalesce("root", "h"))
+    found = placed.groupBy("key", "root").agg(F.count(F.lit(1)).alias("n"), F.sum(size).alias("w"))
+    mixed = found.groupBy("key").agg(
+        F.max(F.struct("n", "root", "w")).alias("t"), F.sum("n").alias("n"), F.sum("w").alias("w"), F.count(F.lit(1)).alias("k")
+    )
+    parts = lambda n, w: F.ceil(F.greatest(n / PART, w / PART_BYTES)).cast("int")
+    mixed = mixed.filter("k > 1").select(
+        "key",
+        F.col("t.root").alias("most"),
+        parts(F.col("n") - F.col("t.n"), F.col("w") - F.col("t.w")).alias("lefts"),
+        parts(F.col("n"), F.col("w")).alias("rights"),
+    )
+    return placed, materialize(mixed, "mixed-buckets")
+
+
+def _blocks(placed: DataFrame, mixed: DataFrame, value: str, compare, schema: str) -> DataFrame:
+    """``compare`` applied to each block (key, left part, right part) of the mixed buckets.
 
-    Pairs inside a bucket's most frequent component are never made; a large bucket is dealt in parts of ``PART`` texts.
+    The members outside a bucket's largest component (left) meet all its members (right), part by part; a task holds one
+    block at a time. No row is made for a pair: only what ``compare`` returns leaves the block.
     """
-    placed = buckets.select("h", "band", "key").join(roots, "h", "left").withColumn("root", F.coalesce("root", "h"))
-    found = placed.groupBy("key", "root").agg(F.count(F.lit(1)).alias("n"))
-    mixed = found.groupBy("key").agg(F.max(F.struct("n", "root")).alias("t"), F.sum("n").alias("n"), F.count(F.lit(1)).alias("k"))
-    mixed = mixed.filter("k > 1").select("key", F.col("t.root").alias("most"), F.ceil(F.col("n") / PART).cast("int").alias("parts"))
-    members = materialize(placed.join(mixed, "key").join(texts.select("h", "bands", "bytes8"), "h"), "mixed-buckets")
-    left = members.filter(F.col("root") != F.col("most")).select(
-        "key", "band", "most", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"),
-        F.col("h").alias("a"), F.col("root").alias("a_root"), F.col("bands").alias("a_bands"), F.col("bytes8").alias("x"),
-    )
-    right = members.select(
-        "key", F.pmod(F.xxhash64("h"), F.col("parts")).cast("int").alias("part"),
-        F.col("h").alias("b"), F.col("root").alias("b_root"), F.col("bands").alias("b_bands"), F.col("bytes8").alias("y"),
-    )
-    shared = F.array_position(F.zip_with("a_bands", "b_bands", lambda p, q: p == q), F.lit(True))
-    once = (F.col("a_root") != F.col("b_root")) & ((F.col("b_root") == F.col("most")) | (F.col("a") < F.col("b")))
-    both = left.join(right, ["key", "part"]).filter(once).filter(shared == F.col("band") + 1)
-    return both.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "x", "y")
+    members = placed.join(mixed, "key")
+    deal = lambda parts: F.pmod(F.xxhash64("h"), F.col(parts)).cast("int")
+    every = lambda parts: F.explode(F.sequence(F.lit(0), F.col(parts) - 1))
+    columns = ["key", "lp", "rp", "is_left", "h", "root", value]
+    left = members.filter(F.col("root") != F.col("most")).withColumns({"is_left": F.lit(True), "lp": deal("lefts"), "rp": every("rights")})
+    right = members.withColumns({"is_left": F.lit(False), "rp": deal("rights"), "lp": every("lefts")})
+    dealt = left.select(*columns).unionByName(right.select(*columns))
+    dealt = dealt.repartition("key", "lp", "rp").sortWithinPartitions("key", "lp", "rp", F.desc("is_left"), "h")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            groups = np.stack([batch[c].to_numpy() for c in ("key", "lp", "rp")])
+            cuts = [0, *(np.flatnonzero((groups[:, 1:] != groups[:, :-1]).any(axis=0)) + 1).tolist(), batch.num_rows]
+            for low, high in zip(cuts, cuts[1:], strict=False):
+                if high > low:
+                    if held and any(held[-1][c][-1] != batch[c][low] for c in ("key", "lp", "rp")):
+                        yield from _compared(held, value, compare)
+                        held = []
+                    held.append(batch.slice(low, high - low))
+        if held:
+            yield from _compared(held, value, compare)
+
+    return dealt.mapInArrow(run, schema)
+
+
+def _compared(held: list[pa.RecordBatch], value: str, compare) -> Iterator[pa.RecordBatch]:
+    names = ("is_left", "h", "root", value)
+    sides, h, root, values = ([x for b in held for x in b[c].to_pylist()] for c in names)
+    n = sum(sides)
+    apart = np.frombuffer(b"".join(root), _U64).reshape(-1, 2)
+    apart = (apart[:n, None] != apart[None, n:]).any(axis=2)
+    if n and apart.any():
+        yield from compare(h[:n], h[n:], root[n:], values[:n], values[n:], apart)
+
+
+def _likeliest(threshold: float):
+    """Of a block of signatures: (h, other, e) for each text with a likely partner, the likeliest one."""
+
+    def compare(a, b, roots, x, y, apart) -> Iterator[pa.RecordBatch]:
+        left, right = (np.frombuffer(b"".join(v), np.uint8).reshape(-1, COORDINATES) for v in (x, y))
+        e = ((left[:, None] == right[None]).mean(axis=2) - 1 / 256) / (1 - 1 / 256)
+        e[~apart] = -1.0
+        out = [(a[i], b[j], float(e[i, j])) for i, j in enumerate(e.argmax(axis=1)) if e[i, j] >= threshold - MARGIN]
+        out += [(b[j], a[i], float(e[i, j])) for j, i in enumerate(e.argmax(axis=0)) if e[i, j] >= threshold - MARGIN]
+        if out:
+            h, other, values = zip(*out, strict=True)
+            yield pa.RecordBatch.from_arrays([pa.array(h, pa.binary()), pa.array(other, pa.binary()), pa.array(values)], ["h", "other", "e"])
+
+    return compare
+
+
+def common_cells(x: list[bytes], y: list[bytes]) -> np.ndarray:
+    """How many cells each text of ``x`` shares with each of ``y``: products of their incidence matrices, by slices."""
+    sides = [(np.frombuffer(b"".join(v), _U64), np.repeat(np.arange(len(v)), [len(c) // 8 for c in v])) for v in (x, y)]
+    shared = np.intersect1d(sides[0][0], sides[1][0])
+    total = np.zeros((len(x), len(y)))
+    placed = []
+    for values, owner in sides:
+        at = np.searchsorted(shared, values)
+        held = at < len(shared)
+        held[held] = shared[at[held]] == values[held]
+        order = np.argsort(at[held], kind="stable")
+        placed.append((at[held][order], owner[held][order]))
+    for low in range(0, len(shared), SLICE):
+        pieces = []
+        for (at, owner), n in zip(placed, (len(x), len(y)), strict=True):
+            first, last = np.searchsorted(at, (low, low + SLICE))
+            piece = np.zeros((n, min(SLICE, len(shared) - low)), np.float32)
+            piece[owner[first:last], at[first:last] - low] = 1.0
+            pieces.append(piece)
+        total += pieces[0] @ pieces[1].T
+    return total
+
+
+def _linked(threshold: float):
+    """Of a block of shingle cells: (a, b), for each text one link at most to each other component."""
+
+    def compare(a, b, roots, x, y, apart) -> Iterator[pa.RecordBatch]:
+        common = common_cells(x, y)
+        sizes = [np.array([len(c) // 8 for c in v], np.float64) for v in (x, y)]
+        near = apart & (common / np.maximum(sizes[0][:, None] + sizes[1][None] - common, 1) >= threshold)
+        out = [(a[i], b[j]) for i in np.flatnonzero(near.any(axis=1)) for j in {roots[j]: j for j in np.flatnonzero(near[i])}.values()]
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(v, pa.binary()) for v in zip(*out, strict=True)], ["a", "b"])
+
+    return compare
 
 
 def classes(documents: DataFrame, *, threshold: float = SIMILARITY) -> tuple[DataFrame, DataFrame]:
@@ -312,33 +424,42 @@ def classes(documents: DataFrame, *, threshold: float = SIMILARITY) -> tuple[Dat
     )
     texts = materialize(texts, "texts")
     members = texts.filter(F.col("bands").isNotNull()).select("h", F.posexplode("bands").alias("band", "key"))
-    led = materialize(_leaders(members, F.xxhash64("h")), "buckets")
-    first = materialize(_verified(_pairs(led), texts, documents, threshold), "first-links")
-    known = materialize(components(first), "first-classes")
+    lead = _leaders(members, F.xxhash64("h"))
+    led = materialize(members.join(lead, "key"), "buckets")
+    discard(lead)
+    links = materialize(_verified(_pairs(led), texts, documents, threshold), "first-links")
+    roots = materialize(components(links), "first-classes")
     # Finer buckets of those with more than two texts.
     crowd = led.filter(F.col("n") > 2).select("h", "band", F.col("key").alias("coarse")).join(texts.select("h", "bytes8"), "h")
-    finer = []
-    for level, more in enumerate(FINER):
-        at = F.lit(BANDS * ROWS + 1) + (F.col("band") * 7) % (COORDINATES - BANDS * ROWS - more)
-        key = F.xxhash64(F.lit(level), "coarse", F.substring(F.col("bytes8"), at, F.lit(more)))
-        finer.append(_pairs(_leaders(crowd.select(key.alias("key"), "h"), F.xxhash64("key", "h"))))
-    apart = _across(finer[0].unionByName(finer[1]).distinct(), known)
-    second = materialize(_verified(materialize(apart, "further-pairs"), texts, documents, threshold), "further-links")
-    links = first.unionByName(second)
-    roots = known if second.isEmpty() else materialize(components(links), "further-classes")
-    # All pairs that still share a bucket across components: each text's likeliest first, then those it leaves apart.
-    rated = _apart(led, roots, texts).select("a", "b", _estimate("x", "y").alias("e")).filter(F.col("e") >= threshold - MARGIN)
-    rated = materialize(rated, "rest-rated")
-    sides = rated.select(F.explode(F.array("a", "b")).alias("h"), "a", "b", "e")
-    likely = sides.groupBy("h").agg(F.max(F.struct("e", "a", "b")).alias("p")).select("p.*").distinct()
-    third = materialize(_settled(likely, texts, documents, threshold), "likely-links")
-    if not third.isEmpty():
-        links = links.unionByName(third)
-        roots = materialize(components(links), "likely-classes")
-    apart = materialize(_across(rated, roots), "rest-pairs")
-    fourth = materialize(_settled(apart, texts, documents, threshold), "rest-links")
-    if not fourth.isEmpty():
-        roots = components(links.unionByName(fourth))
+    at = lambda more: F.lit(BANDS * ROWS + 1) + (F.col("band") * 7) % (COORDINATES - BANDS * ROWS - more)
+    keys = [F.xxhash64(F.lit(k), "coarse", F.substring(F.col("bytes8"), at(more), F.lit(more))) for k, more in enumerate(FINER)]
+    crowd = materialize(crowd.select("h", F.explode(F.array(*keys)).alias("key")), "finer-buckets")
+    lead = _leaders(crowd, F.xxhash64("key", "h"))
+    apart = materialize(_across(_pairs(crowd.join(lead, "key")), roots), "further-pairs")
+    discard(crowd, lead)
+    more = materialize(_verified(apart, texts, documents, threshold), "further-links")
+    if not more.isEmpty():
+        roots = materialize(components(_stars(roots).unionByName(more)), "further-classes")
+    # What still shares a bucket but no component, compared in blocks: first each text with its likeliest partner ...
+    buckets = led.select("key", "h")
+    placed, mixed = _mixed_buckets(buckets, roots, F.lit(0))
+    signed = placed.join(texts.select("h", "bytes8"), "h")
+    likely = _blocks(signed, mixed, "bytes8", _likeliest(threshold), "h binary, other binary, e double")
+    likely = materialize(likely.groupBy("h").agg(F.max(F.struct("e", "other")).alias("p")).select("h", "p.*"), "likeliest")
+    rated = likely.select(F.least("h", "other").alias("a"), F.greatest("h", "other").alias("b"), "e").dropDuplicates(["a", "b"])
+    more = materialize(_settled(materialize(rated, "likely-pairs"), texts, documents, threshold), "likely-links")
+    if not more.isEmpty():
+        roots = materialize(components(_stars(roots).unionByName(more)), "likely-classes")
+    # ... then, exactly by their shingles, all texts with a likely partner that are still apart.
+    buckets = materialize(buckets.join(likely.select("h"), "h", "left_semi"), "rest-buckets")
+    placed, mixed = _mixed_buckets(buckets, roots, F.lit(0))
+    cells = _cells(placed.join(mixed, "key", "left_semi").select("h").distinct(), texts, documents)
+    buckets = materialize(buckets.join(mixed, "key", "left_semi").join(cells, "h"), "rest-members")
+    placed, mixed = _mixed_buckets(buckets, roots, F.octet_length("cells"))
+    more = materialize(_blocks(placed, mixed, "cells", _linked(threshold), "a binary, b binary"), "rest-links")
+    discard(led, buckets, cells)
+    if not more.isEmpty():
+        roots = components(_stars(roots).unionByName(more))
     own = texts.select("h", "id", "n").join(roots, "h", "left").withColumn("root", F.coalesce("root", "h"))
     own = materialize(own, "classes")
     label = own.groupBy("root").agg(F.min("id").alias("class_id"), F.sum("n").alias("class_size"))
