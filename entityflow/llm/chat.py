@@ -20,12 +20,15 @@ Cases: null and empty texts and texts that are no such JSON are plain messages;
 (or results) with one id in a conversation the first by turn, part and JSON is linked, the others have the error
 ``duplicate id``; exactly repeated rows are told apart by nothing, and all count as the first. A result without a call has the
 error ``no call``; a call without a result is not linked. Calls in a cycle have the error ``cycle`` and their own turn.
-A tool without a schema takes any object. No rows: no rows. Extra columns are not returned.
+A tool without a schema takes any object. JSON with NaN, Infinity or a number beyond doubles, or nested too deep to be
+read, is a plain message; half a surrogate pair is written as its escape. A very long text is one row. No rows: no rows. Extra columns are not returned.
 """
 
 from __future__ import annotations
 
 import json
+import math
+import re
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -37,28 +40,51 @@ from entityflow.llm.common import materialize, only
 RESULT = ["conv_id", "turn", "part", "kind", "call_id", "linked", "errors", "order_turn", "order_depth", "json"]
 
 _EVENT = "array<struct<kind:string,call_id:string,needs:array<string>,errors:array<string>,json:string>>"
+_SURROGATE = re.compile("[\ud800-\udfff]")
 _TYPES = {"string": str, "boolean": bool, "object": dict, "array": list, "null": type(None)}
 
 
 def canonical(value) -> str:
-    """Canonical JSON: keys sorted by code point, no spaces, non-ASCII characters as they are."""
-    return json.dumps(value, ensure_ascii=False, sort_keys=True, separators=(",", ":"))
+    """Canonical JSON: keys sorted by code point, no spaces, characters as they are but for halves of surrogate pairs."""
+    text = json.dumps(value, ensure_ascii=False, sort_keys=True, separators=(",", ":"), allow_nan=False)
+    return _SURROGATE.sub(lambda m: f"\\u{ord(m[0]):04x}", text)
 
 
-def _is(value, kind: str) -> bool:
-    number = isinstance(value, (int, float)) and not isinstance(value, bool)
-    if kind == "number":
-        return number
+def _plain(text: str) -> str:
+    """A name as UTF-8 can hold it."""
+    return _SURROGATE.sub(lambda m: f"\\u{ord(m[0]):04x}", text)
+
+
+def _finite(text: str) -> float:
+    value = float(text)
+    if not math.isfinite(value):
+        raise ValueError(f"{text} is no JSON number that a double holds")
+    return value
+
+
+def parse(text: str):
+    """The JSON value of a text; ValueError where it is none, or holds a number beyond doubles, NaN or Infinity."""
+    return json.loads(text, parse_float=_finite, parse_constant=_finite)
+
+
+def _is(value, kind) -> bool:
+    """Whether a value has a JSON schema's type, or one of a list of types; an unknown type has no values."""
+    if isinstance(kind, list):
+        return any(_is(value, k) for k in kind)
+    whole = isinstance(value, int) and not isinstance(value, bool)
     if kind == "integer":
-        return number and float(value).is_integer()
-    return isinstance(value, _TYPES[kind])
+        return whole or (isinstance(value, float) and value.is_integer())
+    if kind == "number":
+        return whole or isinstance(value, float)
+    return isinstance(value, _TYPES.get(kind, ()))
 
 
 def validate(value, schema: dict, at: str = "$") -> list[str]:
     """What ``value`` breaks in ``schema``, as texts in order of the path."""
     out = []
     if "type" in schema and not _is(value, schema["type"]):
-        return [f"{at}: not {schema['type']}"]
+        kind = schema["type"]
+        return [f"{at}: not {'/'.join(map(str, kind)) if isinstance(kind, list) else kind}"]
     if "enum" in schema and value not in schema["enum"]:
         out.append(f"{at}: not in enum")
     if isinstance(value, dict):
@@ -79,24 +105,28 @@ def events(role: str | None, text: str | None, schemas: dict[str, dict]) -> list
     """The events of one message."""
     plain = {"kind": "message", "call_id": None, "needs": [], "errors": [], "json": canonical({"role": role, "text": text})}
     try:
-        found = json.loads(text) if text and text.lstrip().startswith("{") else None
+        found = parse(text) if text and text.lstrip().startswith("{") else None
+        return _tool_events(found, schemas) or [plain]
     except (ValueError, RecursionError):
         return [plain]
+
+
+def _tool_events(found, schemas: dict[str, dict]) -> list[dict]:
     if not isinstance(found, dict):
-        return [plain]
+        return []
     calls = found.get("tool_calls")
     if isinstance(calls, list) and calls and all(isinstance(c, dict) and isinstance(c.get("id"), str) for c in calls):
         out = []
         for c in calls:
-            errors = validate(c.get("arguments"), {"type": "object"} | schemas.get(str(c.get("name")), {}))
-            needs = [str(n) for n in c["depends_on"]] if isinstance(c.get("depends_on"), list) else []
+            errors = [_plain(e) for e in validate(c.get("arguments"), {"type": "object"} | schemas.get(str(c.get("name")), {}))]
+            needs = [_plain(str(n)) for n in c["depends_on"]] if isinstance(c.get("depends_on"), list) else []
             body = {"arguments": c.get("arguments"), "id": c["id"], "name": c.get("name")} | ({"depends_on": needs} if needs else {})
-            out.append({"kind": "call", "call_id": c["id"], "needs": needs, "errors": errors, "json": canonical(body)})
+            out.append({"kind": "call", "call_id": _plain(c["id"]), "needs": needs, "errors": errors, "json": canonical(body)})
         return out
     if isinstance(found.get("tool_call_id"), str) and "content" in found:
         body = canonical({"content": found["content"], "id": found["tool_call_id"]})
-        return [{"kind": "result", "call_id": found["tool_call_id"], "needs": [], "errors": [], "json": body}]
-    return [plain]
+        return [{"kind": "result", "call_id": _plain(found["tool_call_id"]), "needs": [], "errors": [], "json": body}]
+    return []
 
 
 def read(messages: DataFrame, schemas: dict[str, dict]) -> DataFrame:
@@ -202,15 +232,40 @@ def link(messages: DataFrame, *, schemas: dict[str, dict] | None = None) -> Data
     return plain.select(*RESULT).unionByName(rest.select(*RESULT)).withColumn("errors", F.array_join("errors", "; "))
 
 
-#: The tool that ``from_turns`` calls.
-ANSWER = {"answer": {"type": "object", "required": ["prompt"], "additionalProperties": False, "properties": {"prompt": {"type": "string"}}}}
+#: Turns of a chain of calls in ``from_turns``.
+CHAIN = 8
+#: The tool that ``from_turns`` calls: a prompt of text, and a limit that must be a whole number.
+ANSWER = {
+    "answer": {
+        "type": "object",
+        "required": ["prompt"],
+        "additionalProperties": False,
+        "properties": {"prompt": {"type": "string"}, "limit": {"type": ["integer", "null"]}},
+    }
+}
 
 
 def from_turns(conversations: DataFrame) -> DataFrame:
-    """Conversations without tools as tool dialogues: a user's turn calls ``answer``, the next turn is the result."""
+    """Conversations without tools as tool dialogues: a user's turn calls ``answer``, the next turn is the result.
+
+    A call needs the one before it within a chain of ``CHAIN`` turns. Made to occur in whole tables: a prompt that ends in
+    a question mark needs the next call too, which makes a cycle with it; a prompt of more than 100 characters has an
+    argument that its schema does not know, and one with a digit a limit that is no whole number.
+    """
     turn = lambda t: F.concat_ws(":", F.lit("turn"), t.cast("string"))
-    call = F.struct(turn(F.col("turn")).alias("id"), F.lit("answer").alias("name"), F.struct(F.col("text").alias("prompt")).alias("arguments"))
+    t, prompt = F.col("turn"), F.coalesce("text", F.lit(""))
+    before = F.when((t >= 2) & (t % CHAIN >= 2), turn(t - 2))
+    after = F.when(F.rtrim(prompt).endswith("?") & (t % CHAIN < CHAIN - 2), turn(t + 2))
+    arguments = F.struct(
+        F.col("text").alias("prompt"),
+        F.when(prompt.rlike("[0-9]"), 0.5).alias("limit"),
+        F.when(F.length(prompt) > 100, F.length(prompt)).alias("length"),
+    )
+    call = F.struct(
+        turn(t).alias("id"), F.lit("answer").alias("name"), arguments.alias("arguments"),
+        F.array_compact(F.array(before, after)).alias("depends_on"),
+    )
     asked = F.to_json(F.struct(F.array(call).alias("tool_calls")))
-    said = F.to_json(F.struct(turn(F.col("turn") - 1).alias("tool_call_id"), F.coalesce("text", F.lit("")).alias("content")))
+    said = F.to_json(F.struct(turn(t - 1).alias("tool_call_id"), prompt.alias("content")))
     text = F.when(F.col("role") == "user", asked).when(F.col("role") == "assistant", said).otherwise(F.col("text"))
     return only(conversations, "conv_id", "turn", "role", "text").withColumn("text", text)

@@ -7,11 +7,13 @@ of the original text, for the few texts that match.
 
 Scale: no shuffle; the documents stream through an Arrow UDF. What is broadcast is one block of benchmark items of at
 most ``block_bytes`` of text, by a running sum of their sizes. A benchmark within that bound (the usual case) is one
-block and one automaton; a larger one is scanned block by block, and the matched ranges of the blocks are united, so
-memory stays bounded and no window is left out. A single item larger than the bound is a block of its own.
+block, one automaton and one scan. An automaton takes some 100 bytes of memory a byte of text, so a larger benchmark is
+read block by block: a scan for each, with one block on the driver and one automaton in a task at a time, writes the
+matched ranges of the texts that match; these are united and joined to the documents by the text's MD5. No window is left
+out, and the rows are the same. A single item larger than the bound is a block of its own.
 
 Cases: a null or empty text has no words, is never contaminated and hits no item. An item without words has no
-window. Items that share an item_id count once; an item with a null id marks words as hit but is not listed, as it has
+window. A very long text is scanned as one sequence of words, in memory of its own size. Items that share an item_id count once; an item with a null id marks words as hit but is not listed, as it has
 no name. An empty benchmark leaves every document clean. Equal rows get equal results. Input columns named like a
 result column are replaced by it.
 """
@@ -19,13 +21,15 @@ result column are replaced by it.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from fractions import Fraction
+from itertools import chain
 
 import ahocorasick
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from entityflow.llm.common import WORD_IN_TEXT, only, to_words, without
+from entityflow.llm.common import WORD_IN_TEXT, materialize, only, to_words, without
 
 WINDOW = 13
 BLOCK_BYTES = 1 << 20
@@ -93,12 +97,12 @@ def _scanner(items, window: int):
     return hits
 
 
-def _unite(starts: pa.Array, ends: pa.Array) -> pa.Array:
+def _unite(runs: pa.Array) -> pa.Array:
     """Word ranges of several blocks as disjoint ranges in order."""
     out = []
-    for one, other in zip(starts.to_pylist(), ends.to_pylist(), strict=True):
+    for found in runs.to_pylist():
         ranges: list[list[int]] = []
-        for start, end in sorted(zip(one, other, strict=True)):
+        for start, end in sorted((r["start"], r["end"]) for r in found):
             if ranges and start <= ranges[-1][1] + 1:
                 ranges[-1][1] = max(ranges[-1][1], end)
             else:
@@ -107,6 +111,9 @@ def _unite(starts: pa.Array, ends: pa.Array) -> pa.Array:
     return pa.array(out, pa.struct([("starts", pa.list_(pa.int32())), ("ends", pa.list_(pa.int32()))]))
 
 
+_unite.__annotations__ = {"runs": pa.Array, "return": pa.Array}
+
+
 def _to_spans(text: pa.Array, starts: pa.Array, ends: pa.Array) -> pa.Array:
     """Word ranges as character offsets [first, last) of the original text."""
     out = []
@@ -119,18 +126,44 @@ def _to_spans(text: pa.Array, starts: pa.Array, ends: pa.Array) -> pa.Array:
     return pa.array(out, pa.list_(pa.struct([("first", pa.int64()), ("last", pa.int64())])))
 
 
-def _blocks(benchmark: DataFrame, block_bytes: int) -> list[list[tuple[str | None, str | None]]]:
+def _blocks(benchmark: DataFrame, block_bytes: int) -> Iterator[list[tuple[str | None, str | None]]]:
     """The items in lists of at most ``block_bytes`` of text each, read one after another."""
     rows = benchmark.select(F.col("item_id").cast("string").alias("item_id"), "text").filter(F.col("text").isNotNull())
-    blocks, size = [[]], 0
+    block, size = [], 0
     for row in rows.toLocalIterator():
         n = len(row.text.encode("utf-8", "surrogatepass"))
-        if blocks[-1] and size + n > block_bytes:
-            blocks.append([])
-            size = 0
-        blocks[-1].append((row.item_id, row.text))
+        if block and size + n > block_bytes:
+            yield block
+            block, size = [], 0
+        block.append((row.item_id, row.text))
         size += n
-    return blocks
+    yield block
+
+
+def _in_blocks(docs: DataFrame, blocks: Iterator[list], window: int) -> DataFrame:
+    """``docs`` with _hit, where the items are too many for one automaton: one scan a block, united by the text's MD5."""
+    context, found = docs.sparkSession.sparkContext, None
+    for block in blocks:
+        items = context.broadcast(block)
+        hit = docs.select(F.md5("text").alias("_h"), _scanner(items, window)(F.col("text")).alias("hit"))
+        hit = hit.filter(F.size("hit.starts") > 0).select("_h", "hit.starts", "hit.ends", "hit.items").dropDuplicates(["_h"])
+        hit = materialize(hit, "block-hits")
+        items.unpersist()
+        found = hit if found is None else found.unionByName(hit)
+    runs = F.arrays_zip(F.col("starts").alias("start"), F.col("ends").alias("end")).cast("array<struct<start:int,end:int>>")
+    found = found.select("_h", runs.alias("runs"), "items").groupBy("_h").agg(
+        F.flatten(F.collect_list("runs")).alias("runs"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items")
+    )
+    found = found.select("_h", F.arrow_udf(_unite, _RUNS)("runs").alias("r"), "items")
+    none = _scanner(context.broadcast([]), window)(F.col("text"))
+    out = docs.withColumns({"_h": F.md5("text"), "_none": none}).join(found, "_h", "left")
+    hit = F.struct(
+        F.col("_none.n_words").alias("n_words"),
+        F.coalesce("r.starts", "_none.starts").alias("starts"),
+        F.coalesce("r.ends", "_none.ends").alias("ends"),
+        F.coalesce("items", "_none.items").alias("items"),
+    )
+    return out.withColumn("_hit", hit).drop("_h", "_none", "r", "items")
 
 
 def decontaminate(
@@ -144,29 +177,17 @@ def decontaminate(
 ) -> DataFrame:
     """``documents`` with n_words, n_hit, n_items, item_ids, spans (if asked for) and contaminated.
 
-    A text is contaminated if at least ``min_share`` of its words, and one at least, lie in windows of the benchmark.
+    The spans are [first, last) in characters of the original text. A text is contaminated if at least ``min_share`` of its words, and one at least, lie in windows of the benchmark.
     """
     benchmark = only(benchmark, "item_id", "text")
-    docs = without(documents, [*RESULT, "_hit", "_hit0"])
-    context = documents.sparkSession.sparkContext
-    parts: list[Column] = []
-    for k, block in enumerate(_blocks(benchmark, block_bytes)):
-        docs = docs.withColumn(f"_hit{k}", _scanner(context.broadcast(block), window)(F.col("text")))
-        parts.append(F.col(f"_hit{k}"))
-    if len(parts) == 1:
-        docs = docs.withColumn("_hit", parts[0])
+    docs = without(documents, [*RESULT, "_hit", "_h", "_none", "r", "items"])
+    blocks = _blocks(benchmark, block_bytes)
+    first, second = next(blocks), next(blocks, None)
+    if second is None:
+        items = documents.sparkSession.sparkContext.broadcast(first)
+        docs = docs.withColumn("_hit", _scanner(items, window)(F.col("text")))
     else:
-        joined = F.arrow_udf(_unite, _RUNS)(F.concat(*[p["starts"] for p in parts]), F.concat(*[p["ends"] for p in parts]))
-        items = F.array_sort(F.array_distinct(F.concat(*[p["items"] for p in parts])))
-        docs = docs.withColumn("_runs", joined).withColumn(
-            "_hit",
-            F.struct(
-                parts[0]["n_words"].alias("n_words"),
-                F.col("_runs.starts").alias("starts"),
-                F.col("_runs.ends").alias("ends"),
-                items.alias("items"),
-            ),
-        )
+        docs = _in_blocks(docs, chain([first, second], blocks), window)
     n_hit = F.aggregate(
         F.zip_with("_hit.starts", "_hit.ends", lambda s, e: (e - s + 1).cast("bigint")),
         F.lit(0).cast("bigint"),
@@ -182,6 +203,6 @@ def decontaminate(
     )
     if spans:
         out = out.withColumn("spans", F.arrow_udf(_to_spans, _SPANS)(F.col("text"), F.col("_hit.starts"), F.col("_hit.ends")))
-    share = F.lit(round(1 / min_share)).cast("bigint")
-    out = out.withColumn("contaminated", (F.col("n_hit") > 0) & (F.col("n_hit") * share >= F.col("n_words")))
-    return out.drop("_hit", "_runs", *[f"_hit{k}" for k in range(len(parts))])
+    share = Fraction(str(min_share))
+    enough = F.col("n_hit") * share.denominator >= F.col("n_words") * share.numerator
+    return out.withColumn("contaminated", (F.col("n_hit") > 0) & enough).drop("_hit")

@@ -10,15 +10,17 @@ The trigram models (add-half smoothed counts in ``2 ** BITS`` cells a language)
 
 Scale: fitting reads the labels' columns once for a count, then shuffles only the sampled rows into ``FIT_TASKS``
 tasks, each of which returns one count table; the driver adds ``FIT_TASKS`` tables of a known size. Prediction is an
-Arrow UDF over the scan, without a shuffle, with one model of ``languages x 2 ** BITS`` floats broadcast.
+Arrow UDF over the scan, without a shuffle, with one model of ``languages x 2 ** BITS`` floats broadcast; beyond
+``MAX_LANGUAGES`` languages each has half, a quarter, ... of the cells, so the model keeps its bound and no language goes.
 
 Cases: a null text, or one without a letter, is ``und`` with score 0. Rows without lang or text train nothing. Without
 any training row everything is ``und``. A null doc_id hashes as the empty text. Ties go to the language first in
-alphabetical order. Input columns named like a result column are replaced by it.
+alphabetical order. Equal texts get equal results; a very long text is one bag, in memory of its size. Input columns named like a result column are replaced by it.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -50,24 +52,25 @@ def has_letter(text: str | None) -> bool:
     return bool(text) and any(map(str.isalpha, text))
 
 
-def trigrams(text: str) -> np.ndarray:
+def trigrams(text: str, bits: int = BITS) -> np.ndarray:
     """Hashed byte trigrams of the lower-cased words with a space at both ends."""
     words = text.lower().encode("utf-8", "surrogatepass").translate(_LETTERS).split()
     b = np.frombuffer(b" " + b" ".join(words) + b" ", np.uint8).astype(np.uint32)
     packed = (b[:-2] << 16 | b[1:-1] << 8 | b[2:]) * np.uint32(2654435761)
-    return packed >> np.uint32(32 - BITS)
+    return packed >> np.uint32(32 - bits)
 
 
 @dataclass
 class Model:
     languages: list[str]
     log_p: np.ndarray  # cells x languages
+    bits: int = BITS
 
     def infer(self, text: str | None, penalty: float = PENALTY) -> tuple[str, float, list[str], list[float]]:
         """(prediction, score, selected languages, their proportions)."""
         if not self.languages or not has_letter(text):
             return "und", 0.0, [], []
-        cells, counts = np.unique(trigrams(text), return_counts=True)
+        cells, counts = np.unique(trigrams(text, self.bits), return_counts=True)
         log_p, counts = self.log_p[cells], counts.astype(np.float64)
         single = counts @ log_p
         best = int(np.argmax(single))
@@ -100,10 +103,16 @@ class Model:
         return share, float(counts @ np.log(p @ share))
 
 
+def cell_bits(languages: int) -> int:
+    """log2 of the cells of a language, so that all tables together stay within ``MAX_LANGUAGES`` tables of 2 ** BITS."""
+    return BITS - max(0, math.ceil(math.log2(max(1, languages) / MAX_LANGUAGES)))
+
+
 def fit(labelled: DataFrame, *, sample_rows: int = SAMPLE_ROWS) -> Model:
     """Count trigrams by language over a hashed sample of the rows (doc_id, text, lang) given."""
     named = labelled.filter(F.col("lang").isNotNull())
-    n = named.count()
+    seen = named.agg(F.count(F.lit(1)).alias("n"), F.count_distinct("lang").alias("languages")).first()
+    n, bits = seen.n, cell_bits(seen.languages)
     share = min(1.0, sample_rows / n) if n else 1.0
     who = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
     sample = named.filter((unit(F.lit("langid"), who) < share) & F.col("text").isNotNull()).select("lang", "text")
@@ -112,8 +121,8 @@ def fit(labelled: DataFrame, *, sample_rows: int = SAMPLE_ROWS) -> Model:
         tables: dict[str, np.ndarray] = {}
         for batch in batches:
             for lang, text in zip(batch["lang"].to_pylist(), batch["text"], strict=True):
-                table = tables.setdefault(lang, np.zeros(1 << BITS, np.int64))
-                np.add.at(table, trigrams(text.as_py()), 1)
+                table = tables.setdefault(lang, np.zeros(1 << bits, np.int64))
+                np.add.at(table, trigrams(text.as_py(), bits), 1)
         blobs = [t.astype(np.uint32).tobytes() for t in tables.values()]
         yield pa.RecordBatch.from_arrays([pa.array(list(tables), pa.string()), pa.array(blobs, pa.binary())], ["lang", "counts"])
 
@@ -121,13 +130,11 @@ def fit(labelled: DataFrame, *, sample_rows: int = SAMPLE_ROWS) -> Model:
     for row in sample.repartition(FIT_TASKS).mapInArrow(count, "lang string, counts binary").toLocalIterator():
         table = np.frombuffer(bytes(row.counts), np.uint32).astype(np.int64)
         total[row.lang] = total[row.lang] + table if row.lang in total else table
-        if len(total) > MAX_LANGUAGES:
-            raise ValueError(f"more than {MAX_LANGUAGES} languages; the model's size is bounded by that number")
     languages = sorted(total)
     if not languages:
-        return Model([], np.zeros((1 << BITS, 0), np.float32))
+        return Model([], np.zeros((1 << bits, 0), np.float32), bits)
     counts = np.stack([total[k] for k in languages], axis=1).astype(np.float64) + 0.5
-    return Model(languages, np.log(counts / counts.sum(axis=0)).astype(np.float32))
+    return Model(languages, np.log(counts / counts.sum(axis=0)).astype(np.float32), bits)
 
 
 def identify(documents: DataFrame, *, sample_rows: int = SAMPLE_ROWS, penalty: float = PENALTY) -> DataFrame:

@@ -11,7 +11,8 @@ Scale: the sampled labels, at most a few times ``SAMPLE_ROWS`` by construction,
 from the scan; the weights come back as one array of ``2 ** BITS`` floats. Scoring is an Arrow UDF over the scan.
 
 Cases: a null or empty text has no features and gets the logistic function of the intercept. Labels that are null or
-whose document is missing train nothing; a doc_id labelled twice trains twice. Without labels every score is 0.5. A null
+whose document is missing train nothing; a doc_id with both labels trains with both, a doc_id with several texts with the
+least of them. Without labels every score is 0.5. A null
 doc_id hashes as the empty text. Equal texts get equal scores. Input columns named like a result column are replaced.
 """
 
@@ -19,7 +20,7 @@ from __future__ import annotations
 
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -52,11 +53,17 @@ def features(text: str | None) -> tuple[np.ndarray, np.ndarray]:
     return cells.astype(np.int64), values / np.sqrt(values @ values)
 
 
-def train(rows: list[tuple[str | None, int]], epochs: int = EPOCHS) -> np.ndarray:
-    """Weights of 2 ** BITS cells and the intercept, by FTRL-proximal over the rows in order."""
+def train(rows: Iterable[tuple[str | None, int]], epochs: int = EPOCHS) -> np.ndarray | None:
+    """Weights of 2 ** BITS cells and the intercept, by FTRL-proximal over the rows in order; None without rows.
+
+    Only the rows' features are held, each text's at most twice as many as its words.
+    """
     n, z, bias_n, bias_z = np.zeros(1 << BITS), np.zeros(1 << BITS), 0.0, 0.0
     seen = [(*features(text), float(y)) for text, y in rows]
 
+    if not seen:
+        return None
+
     def weights(zs, ns):
         return np.where(np.abs(zs) <= L1, 0.0, -(zs - np.sign(zs) * L1) / ((BETA + np.sqrt(ns)) / ALPHA + L2))
 
@@ -85,19 +92,22 @@ def fit(documents: DataFrame, labels: DataFrame, *, sample_rows: int = SAMPLE_RO
     """Train on a hashed sample of the labelled rows (labels: doc_id, quality) outside the held-out fold."""
     labels = only(labels, "doc_id", "quality")
     marked = labels.filter(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull() & (fold(F.col("doc_id"), FOLDS) != HELD_OUT))
+    marked = marked.select("doc_id", F.col("quality").cast("int").alias("y")).distinct()
     n = marked.count()
     share = min(1.0, sample_rows / n) if n else 1.0
     sample = marked.filter(unit(F.lit("quality"), F.col("doc_id")) < share)
     texts = only(documents, "doc_id", "text").join(F.broadcast(sample), "doc_id")
     order = unit(F.lit("order"), F.col("doc_id"))
-    texts = texts.select(order.alias("at"), "doc_id", "text", F.col("quality").cast("int").alias("y"))
+    # One text an id, so that an id that repeats in the documents does not grow the sample.
+    texts = texts.groupBy("doc_id", "y").agg(F.min("text").alias("text")).select(order.alias("at"), "doc_id", "text", "y")
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = [(r["text"], r["y"]) for batch in batches for r in batch.to_pylist()]
-        if rows:
-            yield pa.RecordBatch.from_arrays([pa.array([train(rows).tobytes()], pa.binary())], ["weights"])
+        rows = ((t.as_py(), y.as_py()) for batch in batches for t, y in zip(batch["text"], batch["y"], strict=True))
+        found = train(rows)
+        if found is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([found.tobytes()], pa.binary())], ["weights"])
 
-    one = texts.repartition(1).sortWithinPartitions("at", "doc_id", "text", "y").mapInArrow(learn, "weights binary")
+    one = texts.repartition(1).sortWithinPartitions("at", "doc_id", "y").mapInArrow(learn, "weights binary")
     found = one.collect()
     return np.frombuffer(bytes(found[0].weights), np.float32) if found else np.zeros((1 << BITS) + 1, np.float32)
 

@@ -18,9 +18,10 @@ def _read(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFra
 def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents", "doc_id", "text")
     items = _read(spark, sf_dir, "benchmark", "item_id", "text")
-    found = decontaminate.decontaminate(docs, items, spans=False)
+    found = decontaminate.decontaminate(docs, items)
     digest = F.sha2(F.array_join("item_ids", ","), 256)
-    return found.select("doc_id", "n_words", "n_hit", "n_items", digest.alias("items_sha256"), "contaminated")
+    spans = F.array_join(F.transform("spans", lambda s: F.concat_ws("-", s["first"], s["last"])), ",")
+    return found.select("doc_id", "n_words", "n_hit", "n_items", digest.alias("items_sha256"), "contaminated", spans.alias("spans"))
 
 
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,22 +1,25 @@
 """Operator 8: sharding with a hierarchical weighted hash tree (law ``key``).
 
-Shards are leaves of a tree: region, rack, shard. Every document draws an exponential race time for each leaf,
--ln(hash) / weight; a subtree's draw is the least of its leaves', which is the draw of an exponential with the
-subtree's total weight, so at each level a child wins in proportion to its weight. The document descends to the least
-region, within it to the least rack, within that to the least shard. As a subtree's draw depends on its own leaves
-alone, a changed weight moves documents only into or out of the subtrees that hold that leaf, and one more shard
-takes documents only into itself.
+Shards are leaves of a tree: region, rack, shard; a subtree's weight is the sum of its leaves'. A document descends from
+the root: at each level every child draws an exponential time -ln(hash of document and child) / weight, and the least
+wins, so each child gets documents in proportion to its weight, and only the children on the way are drawn. A changed
+weight changes the draws of the nodes above that leaf alone: documents move only into or out of those subtrees, and
+inside them only along the changed nodes.
+
+The law: one more shard opens a region of its own, whatever the tree, so all other draws stay as they were and the new
+shard takes documents only into itself.
 
 The slot numbers a shard's documents without gaps: each shard is cut into hash buckets, rows are numbered within a
-bucket and the buckets' offsets are added, so no task has to sort a whole shard.
+bucket and the buckets' offsets are added, so no task has to sort a whole shard. Rows that repeat an id and text get
+places by the number of the repetition, hashed, so repetitions made by a mixture do not stand next to each other.
 
-Scale: the shard is a row expression. One count by (shard, bucket), pre-aggregated, makes a table of
-shards x buckets rows, which is broadcast: buckets are chosen as one for each ``ROWS_PER_BUCKET`` rows of a shard, so the
-table has about one row for each ``ROWS_PER_BUCKET`` documents and its count is checked against ``MAX_OFFSETS``. One
-shuffle by (shard, bucket) brings rows to their place.
+Scale: the shard is a row expression of about 22 hashes. One count by (shard, bucket), pre-aggregated, makes a table of
+shards x buckets rows, one for each ``ROWS_PER_BUCKET`` rows of a shard and one a shuffle partition at least; up to
+``MAX_OFFSETS`` of them are broadcast, more are joined. One shuffle by (shard, bucket) brings rows to their place.
 
-Cases: a null doc_id hashes as the empty text. Rows that repeat an id share a shard and get different slots. Null and
-empty texts have size 16 and checksum 0. No rows: no rows. Input columns named like a result column are replaced.
+Cases: a null doc_id hashes as the empty text. Rows that repeat an id share a shard and get different slots; which of
+rows equal in all columns gets which is not told apart. Null and empty texts have size 16 and checksum 0; a very long
+text is a row like any other. No rows: no rows. Input columns named like a result column are replaced.
 """
 
 from __future__ import annotations
@@ -24,56 +27,78 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from entityflow.llm.common import without
+from entityflow.llm.common import bind, without
 
 SHARDS = 40
 SHARDS_PER_RACK = 5
 RACKS_PER_REGION = 4
 ROWS_PER_BUCKET = 200_000
-MIN_BUCKETS = 16
 MAX_OFFSETS = 2_000_000
 RESULT = ["size", "text_crc32", "law", "shard", "slot", "grown_shard"]
 
 
-def tree(shards: int, weights: dict[int, float] | None = None) -> list[tuple[int, int, int, float]]:
+Leaf = tuple[int, int, int, float]
+
+
+def tree(shards: int, weights: dict[int, float] | None = None) -> list[Leaf]:
     """(region, rack, shard, weight) of each leaf; shard numbers never change their place."""
     weights = weights or {}
     per_region = SHARDS_PER_RACK * RACKS_PER_REGION
     return [(s // per_region, s // SHARDS_PER_RACK, s, float(weights.get(s, 1.0))) for s in range(shards)]
 
 
-def descend(doc_id: Column, leaves: list[tuple[int, int, int, float]]) -> Column:
-    """The shard that the document reaches in the tree."""
+def grown(leaves: list[Leaf], shard: int, weight: float = 1.0) -> list[Leaf]:
+    """The tree with one more shard in a region and a rack of its own."""
+    region, rack = (1 + max((x[k] for x in leaves), default=-1) for k in (0, 1))
+    return [*leaves, (region, rack, shard, weight)]
+
+
+def _children(leaves: list[Leaf], level: int) -> dict[int, list[tuple[int, float]]]:
+    """Parent to its (child, weight) pairs on a level: 0 regions (of the root), 1 racks, 2 shards; weightless ones go."""
+    out: dict[int, dict[int, float]] = {}
+    for leaf in leaves:
+        if leaf[3] > 0:
+            of = out.setdefault(leaf[level - 1] if level else 0, {})
+            of[leaf[level]] = of.get(leaf[level], 0.0) + leaf[3]
+    return {parent: sorted(of.items()) for parent, of in out.items()}
+
+
+def descend(doc_id: Column, leaves: list[Leaf]) -> Column:
+    """The shard that the document reaches in the tree: one draw for each child of the nodes on its way."""
     key = F.coalesce(doc_id.cast("string"), F.lit(""))
-    kind = "array<struct<region:int,rack:int,shard:int,weight:double>>"
-    literal = "array(" + ",".join(f"named_struct('region',{g},'rack',{r},'shard',{s},'weight',{w}D)" for g, r, s, w in leaves if w > 0) + ")"
 
-    def race(leaf: Column) -> Column:
-        bits = F.shiftrightunsigned(F.xxhash64(F.concat_ws("|", key, leaf["shard"].cast("string"))), 11)
-        draw = (bits.cast("double") + F.lit(0.5)) / F.lit(float(1 << 53))
-        return F.struct((-F.log(draw) / leaf["weight"]).alias("time"), leaf["region"].alias("region"), leaf["rack"].alias("rack"), leaf["shard"].alias("shard"))
+    def draw(level: int, child: Column) -> Column:
+        bits = F.shiftrightunsigned(F.xxhash64(key, F.lit(level), child), 11)
+        return -F.log((bits.cast("double") + F.lit(0.5)) / F.lit(float(1 << 53)))
+
+    def winner(level: int, children: Column) -> Column:
+        times = F.transform(children, lambda c: F.struct((draw(level, c["id"]) / c["weight"]).alias("time"), c["id"].alias("id")))
+        return F.array_min(times)["id"]
 
-    def level(draws: Column, name: str, then) -> Column:
-        won = F.array_min(F.transform(draws, lambda d: F.struct(d["time"].alias("time"), d[name].alias("at"))))["at"]
-        return F.transform(F.array(won), lambda at: then(F.filter(draws, lambda d: d[name] == at)))[0]
+    def table(level: int) -> Column:
+        lists = [
+            f"{parent}, array({','.join(f'named_struct({chr(39)}id{chr(39)},{c},{chr(39)}weight{chr(39)},{w!r}D)' for c, w in of)})"
+            for parent, of in _children(leaves, level).items()
+        ]
+        return F.expr(f"map({','.join(lists)})")
 
-    draws = F.transform(F.expr(literal).cast(kind), race)
-    shard = lambda left: F.array_min(F.transform(left, lambda d: F.struct(d["time"].alias("time"), d["shard"].alias("at"))))["at"]
-    in_region = lambda left: F.transform(F.array(left), lambda x: level(x, "rack", shard))[0]
-    return F.transform(F.array(draws), lambda d: level(d, "region", in_region))[0]
+    region = winner(0, F.element_at(table(0), F.lit(0)))
+    rack = bind(region, lambda node: winner(1, F.element_at(table(1), node)))
+    return bind(rack, lambda node: winner(2, F.element_at(table(2), node)))
 
 
 def assign(documents: DataFrame, *, shards: int = SHARDS, weights: dict[int, float] | None = None) -> DataFrame:
     """``documents`` with size, text_crc32, law, shard, slot and grown_shard (the shard if there were one more)."""
     text = F.coalesce(F.col("text"), F.lit("")).cast("binary")
-    docs = without(documents, [*RESULT, "_bucket", "_mix", "_first"])
+    leaves = tree(shards, weights)
+    docs = without(documents, [*RESULT, "_bucket", "_mix", "_nth", "_row", "_first"])
     docs = docs.withColumns(
         {
             "size": (F.octet_length(text) + 16).cast("bigint"),
             "text_crc32": F.crc32(text),
             "law": F.lit("key"),
-            "shard": descend(F.col("doc_id"), tree(shards, weights)),
-            "grown_shard": descend(F.col("doc_id"), tree(shards + 1, weights)),
+            "shard": descend(F.col("doc_id"), leaves),
+            "grown_shard": descend(F.col("doc_id"), grown(leaves, shards)),
         }
     )
     return number(docs, shards)
@@ -83,14 +108,19 @@ def number(docs: DataFrame, shards: int) -> DataFrame:
     """Add slot, gapless from 0 in each shard; ``docs`` has doc_id, size, text_crc32 and shard."""
     rows = docs.sparkSession.conf.get("spark.sql.shuffle.partitions")
     n = docs.select("doc_id").count()
-    buckets = max(MIN_BUCKETS, -(-int(rows) // shards), -(-n // (ROWS_PER_BUCKET * shards)))
-    if shards * buckets > MAX_OFFSETS:
-        raise ValueError(f"{shards} shards of {buckets} buckets exceed {MAX_OFFSETS} offsets; raise ROWS_PER_BUCKET")
+    buckets = max(1, -(-int(rows) // shards), -(-n // (ROWS_PER_BUCKET * shards)))
     mix = F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "text_crc32", "size")
     docs = docs.withColumn("_mix", mix).withColumn("_bucket", F.pmod(F.col("_mix"), F.lit(buckets)).cast("int"))
     counts = docs.groupBy("shard", "_bucket").agg(F.count(F.lit(1)).alias("_n"))
     before = Window.partitionBy("shard").orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select("shard", "_bucket", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_first"))
-    within = Window.partitionBy("shard", "_bucket").orderBy("_mix", "doc_id", "text_crc32", "size")
-    out = docs.withColumn("slot", F.row_number().over(within)).join(F.broadcast(offsets), ["shard", "_bucket"])
-    return out.withColumn("slot", F.col("slot") - 1 + F.col("_first")).drop("_mix", "_bucket", "_first")
+    # Any order of the repetitions does, if a task that runs again finds the same one: by all that tells rows apart.
+    tell = F.xxhash64(*[c for c in docs.columns if c not in ("_bucket", "shard")])
+    repeated = Window.partitionBy("shard", "_bucket", "_mix").orderBy("_row")
+    within = Window.partitionBy("shard", "_bucket").orderBy("_nth", "_mix", "_row")
+    placed = docs.withColumn("_row", tell).repartition("shard", "_bucket")
+    placed = placed.withColumn("_nth", F.xxhash64("_mix", F.row_number().over(repeated)))
+    placed = placed.withColumn("slot", F.row_number().over(within))
+    small = shards * buckets <= MAX_OFFSETS
+    out = placed.join(F.broadcast(offsets) if small else offsets, ["shard", "_bucket"])
+    return out.withColumn("slot", F.col("slot") - 1 + F.col("_first")).drop("_mix", "_bucket", "_first", "_nth", "_row")

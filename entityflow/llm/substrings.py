@@ -14,8 +14,9 @@ windows (at most 101), which are named by their hash and counted; this settles t
 Scale: no row a byte. Step 1 yields about one row of 32 bytes for 50 bytes, step 3 rows only where contexts of one name
 differ. Classes are pre-aggregated, joins are equi-joins whose large side Spark can split. What is gathered for one
 document is bounded by its length. Nothing is collected or broadcast; each table goes once the next ones are written. Places are
-named by pairs of 64-bit hashes, windows by 96 bits; a document is carried as one 64-bit hash of its id and text, so of 37 corpora of
-10^9 documents one is expected to have a pair that shares it, and is cut at each other's places too.
+named by pairs of 64-bit hashes, windows by 96 bits. A document is carried as a 64-bit hash of its id and text; one
+aggregate makes sure that no two share it, else the hash is salted anew. Periodic texts (runs of blanks, dashes) make
+one row for up to ``REACH`` windows of a class, not a row a byte. A text's arrays take some 50 bytes a byte of it.
 
 Cases: a null text is the empty one; texts under 200 bytes have no window. Equal rows get equal results and count as
 occurrences of each other. A null doc_id is an id. No rows: no rows. Columns named like a result column are replaced.
@@ -29,7 +30,7 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from entityflow.llm.common import discard, materialize, only, without
@@ -93,7 +94,23 @@ def sample(data: bytes, width: int):
     last = np.append(first[1:] - 1, len(place) - 1)
     ahead = (place[first] - first).astype(_U64)
     context = _mixed(_mixed(windows[first] * _SEED + windows[last]) + ((last - first).astype(_U64) << _U64(20)) + ahead)
-    return grams[place[first]], context, first, last
+    return _collapsed(grams[place[first]], context, first, last)
+
+
+def _collapsed(name: np.ndarray, context: np.ndarray, first: np.ndarray, last: np.ndarray):
+    """The sampled places with runs of one class, as periodic texts have them, drawn together: the run's first place
+    stays, the others become places of up to ``REACH`` windows, so that the class still occurs twice."""
+    again = np.append(False, (name[1:] == name[:-1]) & (context[1:] == context[:-1]))
+    if again.sum() < 2:
+        return name, context, first, last
+    # A place starts a row unless it goes on in a run whose row has windows left to take.
+    keep = ~again | np.append(False, ~again[:-1])
+    run = np.cumsum(keep)
+    begin = np.flatnonzero(keep)[run - 1]
+    step = max(1, int((last - first).max()) + 1)
+    keep |= (np.arange(len(keep)) - begin) % max(1, REACH // step) == 0
+    at = np.flatnonzero(keep)
+    return name[at], context[at], first[at], last[np.append(at[1:], len(keep)) - 1]
 
 
 def _signed(x: np.ndarray) -> pa.Array:
@@ -163,13 +180,25 @@ def cut(data: bytes, starts: list[tuple[int, int]], width: int) -> tuple[bytes,
     return b"".join(kept), removed, spans
 
 
+def document_key(docs: DataFrame, data: Column) -> Column:
+    """A 64-bit key that no two different (doc_id, text) share: of hashes by salt the first that is found to tell all apart."""
+    who = F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))
+    hashed = docs.select(F.md5(F.concat_ws("|", who, F.md5(data))).alias("whole"))
+    for salt in range(16):
+        key = F.xxhash64(F.lit(salt), "whole")
+        seen = hashed.groupBy(key.alias("key")).agg(F.min("whole").alias("least"), F.max("whole").alias("most"))
+        if seen.filter("least <> most").isEmpty():
+            return F.xxhash64(F.lit(salt), F.md5(F.concat_ws("|", who, F.md5(data))))
+    raise ArithmeticError("no salt tells all documents apart")
+
+
 def remove_repeats(documents: DataFrame, *, width: int = WIDTH, texts: bool = True) -> DataFrame:
     """``documents`` with n_bytes, n_removed, n_spans, kept_sha256 and, if asked for, kept (the bytes that are left)."""
     if not 0 < width <= REACH:
         raise ValueError(f"width must be from 1 to {REACH}")
     docs = without(documents, [*RESULT, "_key", "_runs", "_cut"])
     data = F.coalesce(F.col("text"), F.lit("")).cast("binary")
-    key = F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.md5(data))
+    key = document_key(docs, data)
     keyed = only(docs, "doc_id", "text").select(key.alias("key"), data.alias("data"))
     anchors = materialize(_anchors(keyed, width), "sampled-places")
     # Most names occur once and can't be repeated: only the others go on.

@@ -193,14 +193,6 @@ def test_sharding(docs):
     assert all(sorted(s) == list(range(len(s))) for s in slots.values())
 
 
-def test_sharding_moves_only_into_the_changed_subtree(spark):
-    ids = spark.range(3000).select(F.col("id").alias("doc_id"))
-    before, after = sharding.tree(40), sharding.tree(40, {7: 3.0})
-    moved = ids.select(sharding.descend(F.col("doc_id"), before).alias("a"), sharding.descend(F.col("doc_id"), after).alias("b"))
-    gone = moved.filter("a != b").collect()
-    assert gone and all(r.b == 7 for r in gone)
-
-
 def test_mixing(docs):
     once, again = (sorted((str(r.doc_id), r.copies, r.copy_no) for r in mixing.mix(d).collect()) for d in (docs, docs.repartition(5)))
     assert once == again
