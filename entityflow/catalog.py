@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from entityflow.functions import text
-from entityflow.operators import events, graph, matching, resolve, stewardship
+from entityflow.operators import budget, clusters, enrich, events, graph, linkage, matching, resolve, stewardship, sync
 from entityflow.session import table
+from entityflow.sources import policies
 
 FLAGSHIP = "resolve_source_priority"
 _QUERIES: dict = {}
@@ -37,23 +38,37 @@ _OBS = f"""obs AS (
     epoch_us(o_orderdate) AS observed_us, epoch_us(o_orderdate) + o_orderkey % 7 * {DAY} AS recorded_us,
     CASE arm WHEN 0 THEN epoch_us(o_orderdate) + 90 * {DAY} END AS expires_us
   FROM orders, (VALUES (0), (1)) a(arm))"""
-_RANK = "CASE source WHEN 'user' THEN 1 WHEN 'salesforce' THEN 2 WHEN 'hubspot' THEN 3 WHEN 'enrichment' THEN 4 ELSE 5 END"
+_RANK = "CASE source WHEN 'user' THEN 1 WHEN 'salesforce' THEN 2 WHEN 'hubspot' THEN 3 WHEN 'enrichment' THEN 4 END"
+_BY_RANK = "CASE WHEN ranked THEN coalesce(rank, 9) ELSE 0 END, CASE WHEN ranked OR sources = 1 THEN 0 ELSE -confidence END"
 _ORDERS = {
-    "most_recent": "observed_us DESC, id DESC",
+    "most_recent": "CASE WHEN sources > 1 AND ranked THEN coalesce(rank, 9) ELSE 0 END, observed_us DESC, id DESC",
     "manual": "observed_us DESC, id DESC",
     "never_overwrite": "observed_us, id",
     "most_confident": "confidence DESC, observed_us DESC, id DESC",
-    "source_priority": f"{_RANK}, observed_us DESC, id DESC",
-    "human_wins": f"kind = 'user' DESC, CASE WHEN kind = 'user' THEN 0 ELSE {_RANK} END, observed_us DESC, id DESC",
+    "source_priority": f"{_BY_RANK}, observed_us DESC, id DESC",
+    "human_wins": f"kind = 'user' DESC, CASE WHEN human THEN 0 ELSE 1 END * ({_BY_RANK.split(', CASE')[0]}), CASE WHEN human OR ranked OR sources = 1 THEN 0 ELSE -confidence END, observed_us DESC, id DESC",
+}
+_REVIEW = {"manual": "true", "most_recent": "sources > 1", "source_priority": "NOT ranked AND sources > 1", "human_wins": "NOT human AND NOT ranked AND sources > 1"}
+_FOUND = "concat('source priority: ', source)"
+_BY_RANK_REASON = f"CASE WHEN ranked THEN {_FOUND} WHEN sources = 1 THEN 'single source, most recent' ELSE 'no ranked source present: highest confidence, escalated' END"
+_REASON = {
+    "manual": "'manual policy: escalated to review'",
+    "never_overwrite": "'first value sticks'",
+    "most_confident": "printf('highest confidence (%.2f)', confidence)",
+    "most_recent": "CASE WHEN sources = 1 THEN 'most recent within source' WHEN ranked THEN concat('most_recent across sources: fell back to ranking (', source, ')') ELSE 'most_recent across sources: clocks are not comparable, escalated' END",
+    "source_priority": _BY_RANK_REASON,
+    "human_wins": f"CASE WHEN human THEN 'human edit' ELSE {_BY_RANK_REASON} END",
 }
-_REVIEW = {"manual": "true", "most_recent": "v > 1 AND s > 1"}
 
 
-def _resolve_sql(strategy: str, rows: str = "obs", order: str | None = None) -> str:
-    return f"""WITH {_OBS}, r AS (SELECT *, row_number() OVER (PARTITION BY entity_id, field ORDER BY {order or _ORDERS[strategy]}) AS k FROM {rows} WHERE value IS NOT NULL),
-    n AS (SELECT entity_id, field, count(*) AS n, count(DISTINCT value) AS v, count(DISTINCT source) AS s FROM {rows} WHERE value IS NOT NULL GROUP BY ALL)
-    SELECT entity_id, field, value, source, n::BIGINT AS n_candidates, v > 1 AS conflicted, {_REVIEW.get(strategy, "false")} AS needs_review
-    FROM r JOIN n USING (entity_id, field) WHERE k = 1"""
+def _resolve_sql(strategy: str, rows: str = "obs", ok: str = "true", rank: str = _RANK, fields: str = "true") -> str:
+    return f"""WITH {_OBS}, l AS (SELECT *, {ok} AS ok, {rank} AS rank FROM {rows} WHERE value IS NOT NULL AND {fields}),
+    n AS (SELECT entity_id, field, count(*) AS n, count(DISTINCT value) AS v, bool_or(ok) AS any_ok FROM l GROUP BY ALL),
+    c AS (SELECT l.*, n, v FROM l JOIN n USING (entity_id, field) WHERE ok OR NOT any_ok),
+    s AS (SELECT entity_id, field, count(DISTINCT source) AS sources, count(rank) > 0 AS ranked, bool_or(kind = 'user') AS human FROM c GROUP BY ALL),
+    r AS (SELECT *, row_number() OVER (PARTITION BY entity_id, field ORDER BY {_ORDERS[strategy]}) AS k FROM c JOIN s USING (entity_id, field))
+    SELECT entity_id, field, value, source, n::BIGINT AS n_candidates, v > 1 AS conflicted, {_REVIEW.get(strategy, "false")} AS needs_review, {_REASON[strategy]} AS reason
+    FROM r WHERE k = 1"""
 
 
 def _obs(spark, sf_dir):
@@ -75,11 +90,61 @@ def resolve_as_of(spark, sf_dir):
     return resolve.resolve(resolve.live(_obs(spark, sf_dir), AT_US), "most_recent")
 
 
-@_query(_resolve_sql("never_overwrite", order="source = 'salesforce' DESC, observed_us, id"))
+@_query(_resolve_sql("never_overwrite", ok="source = 'salesforce'"))
 def resolve_eligible_sources(spark, sf_dir):
     return resolve.resolve(_obs(spark, sf_dir), "never_overwrite", eligible=F.col("source") == "salesforce")
 
 
+_UNRANKED = "CASE source WHEN 'user' THEN 1 WHEN 'warehouse' THEN 2 END"
+
+
+@_query(_resolve_sql("source_priority", rank=_UNRANKED))
+def resolve_unranked_sources(spark, sf_dir):
+    return resolve.resolve(_obs(spark, sf_dir), "source_priority", ranking=("user", "warehouse"))
+
+
+@_query(_resolve_sql("most_recent", rank="NULL"))
+def resolve_incomparable_clocks(spark, sf_dir):
+    return resolve.resolve(_obs(spark, sf_dir), "most_recent", ranking=())
+
+
+_ONE = "CASE source WHEN 'enrichment' THEN 1 END"
+
+
+@_query(_resolve_sql("human_wins", rank=_ONE))
+def resolve_human_fallback(spark, sf_dir):
+    """No human edit, then the fallback; a fallback of manual counts as source priority."""
+    return resolve.resolve(_obs(spark, sf_dir), "human_wins", ranking=("enrichment",), fallback="manual")
+
+
+_MIRROR = "kind = 'user' OR source IN ('user', 'enrichment', 'hubspot')"
+
+
+@_query(f"""SELECT * FROM ({_resolve_sql("source_priority", ok=_MIRROR, rank="CASE source WHEN 'hubspot' THEN 1 END", fields="field = 'status'")})
+    UNION ALL SELECT * FROM ({_resolve_sql("human_wins", rank="CASE source WHEN 'salesforce' THEN 1 WHEN 'hubspot' THEN 2 WHEN 'enrichment' THEN 3 END", fields="field = 'priority'")})""")
+def resolve_by_policy(spark, sf_dir):
+    """A policy for one field, the default for the other."""
+    own = policies.FieldPolicy("status", master="hubspot", direction="hubspot_to_sf", strategy="source_priority", source_ranking=("hubspot",))
+    return resolve.resolve_by_policy(_obs(spark, sf_dir), policies.PolicySet({"contact": {"status": own}}).frame(spark))
+
+
+@_query(f"""WITH x AS ({_resolve_sql("most_recent")}) SELECT entity_id, field, value, source, n_candidates, needs_review, reason, {AT_US}::BIGINT AS resolved_us, false AS reviewed FROM x WHERE conflicted""")
+def conflict_log(spark, sf_dir):
+    return resolve.conflict_log(resolve.resolve(_obs(spark, sf_dir), "most_recent"), AT_US)
+
+
+@_query(f"""WITH {_OBS}, x AS (SELECT * FROM ({_resolve_sql("human_wins")})) SELECT o.id, expires_us IS NULL OR expires_us > {AT_US} AS live,
+    (expires_us IS NULL OR expires_us > {AT_US}) AND o.value = x.value AND o.source = x.source AS current, reason FROM obs o JOIN x USING (entity_id, field)""")
+def provenance(spark, sf_dir):
+    obs = _obs(spark, sf_dir)
+    return resolve.provenance(obs, resolve.resolve(obs, "human_wins"), AT_US).select("id", "live", "current", "reason")
+
+
+@_query(f"""WITH {_OBS} SELECT id, coalesce(expires_us, CASE field WHEN 'priority' THEN observed_us + 30 * {DAY} END) AS expires_us FROM obs""")
+def apply_ttls(spark, sf_dir):
+    return resolve.apply_ttls(_obs(spark, sf_dir), {"priority": 30, "status": None}).select("id", "expires_us")
+
+
 @_query(f"WITH {_OBS} SELECT * FROM {_LIVE}")
 def observations_live(spark, sf_dir):
     return resolve.live(_obs(spark, sf_dir), AT_US)
@@ -129,15 +194,16 @@ def norm_company(spark, sf_dir):
     return table(spark, sf_dir, "part").select("p_partkey", text.normalize_company(F.expr(raw)).alias("company"))
 
 
-@_query("""SELECT page_id, nullif(trim(regexp_replace(regexp_replace(regexp_replace(lower(trim(url)), '^[a-z][a-z0-9+.-]*://', ''), '[/?#].*$', '', 's'), '^www\\.', ''), '.'), '') AS domain FROM pages""")
+@_query("""SELECT page_id, nullif(trim(regexp_replace(regexp_replace(regexp_replace(lower(trim(url)), '^[a-z]+://', ''), '[/?].*$', '', 's'), '^www\\.', ''), '.'), '') AS domain FROM pages""")
 def norm_domain(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", text.normalize_domain(F.col("url")).alias("domain"))
 
 
-@_query("SELECT page_id, strip_accents(left(url, 40) || ' Élan Müller') AS folded FROM pages")
+@_query("SELECT doc_id, md5(strip_accents(text)) AS folded, length(strip_accents(text)) AS n FROM documents")
 def strip_accents(spark, sf_dir):
-    raw = F.concat(F.substring("url", 1, 40), F.lit(" Élan Müller"))
-    return table(spark, sf_dir, "pages").select("page_id", text.strip_accents(raw).alias("folded"))
+    """Whole texts; their digest, as they are long."""
+    folded = table(spark, sf_dir, "documents").select("doc_id", text.strip_accents(F.col("text")).alias("t"))
+    return folded.select("doc_id", F.md5("t").alias("folded"), F.length("t").cast("bigint").alias("n"))
 
 
 _PAIRS = "SELECT l.n_nationkey AS l, r.n_nationkey AS r, l.n_name AS a, r.n_name AS b FROM nation l JOIN nation r ON l.n_regionkey = r.n_regionkey AND l.n_nationkey < r.n_nationkey"
@@ -161,11 +227,12 @@ def similarities(spark, sf_dir):
 
 
 def _rules():
-    return {"brand": F.concat_ws("|", "p_name", "p_brand"), "kind": F.concat_ws("|", "p_name", "p_type", "p_size")}
+    c = F.col
+    return {"brand": matching.composite(c("p_name"), c("p_brand")), "kind": matching.composite(c("p_name"), c("p_type"), c("p_size"))}
 
 
 _KEYED = "k AS (SELECT p_partkey AS key, 'brand' AS rule, p_name || '|' || p_brand AS block FROM part UNION ALL SELECT p_partkey, 'kind', p_name || '|' || p_type || '|' || p_size FROM part)"
-_MAX_BLOCK = 12
+_MAX_BLOCK = matching.MAX_BLOCK
 _CANDIDATES = f"""{_KEYED}, z AS (SELECT rule, block FROM k GROUP BY 1, 2 HAVING count(*) BETWEEN 2 AND {_MAX_BLOCK}), u AS (SELECT k.* FROM k JOIN z USING (rule, block)),
     c AS (SELECT x.key AS l, y.key AS r, string_agg(DISTINCT x.rule, ',' ORDER BY x.rule) AS rules FROM u x JOIN u y ON x.rule = y.rule AND x.block = y.block AND x.key < y.key GROUP BY 1, 2)"""
 
@@ -226,7 +293,7 @@ def fs_supervised(spark, sf_dir):
 _DECISIONS = "d AS (SELECT (doc_id % 1000) / 1000 AS s, quality = 1 AS y FROM labels WHERE quality IS NOT NULL)"
 
 
-@_query(f"""WITH {_DECISIONS}, b AS (SELECT y, CASE WHEN s >= 0.999 THEN '0.999-1.0' WHEN s >= 0.995 THEN '0.995-0.999' WHEN s >= 0.99 THEN '0.99-0.995'
+@_query(f"""WITH {_DECISIONS}, b AS (SELECT y, CASE WHEN s >= 0.999 THEN '0.999+' WHEN s >= 0.995 THEN '0.995-0.999' WHEN s >= 0.99 THEN '0.990-0.995'
     ELSE printf('%.2f-%.2f', least(floor(s * 20 + 1e-9) / 20, 0.94), least(floor(s * 20 + 1e-9) / 20, 0.94) + 0.05) END AS band FROM d)
     SELECT band, count(*) AS decisions, round(count(*) FILTER (y) / count(*), 6) AS precision,
     CASE WHEN count(*) >= 500 AND count(*) FILTER (y) / count(*) >= 0.999 THEN 'PROMOTE' ELSE 'HOLD' END AS verdict FROM b GROUP BY 1""")
@@ -358,15 +425,15 @@ def reconcile(spark, sf_dir):
     return stewardship.reconcile(known, remote).withColumn("rate", F.round("rate", 6))
 
 
-_MERGES = "m AS (SELECT c_custkey AS merged_id, c_custkey // 2 AS surviving_id, c_custkey AS decided_us, c_custkey % 5 = 0 AS reverted FROM customer WHERE c_custkey % 3 > 0)"
+_MERGES = "m AS (SELECT c_custkey AS merged_id, c_custkey // 2 AS surviving_id, c_custkey AS decided_us, c_custkey % 5 = 0 OR c_custkey % 3 = 0 AS reverted FROM customer)"
 
 
 @_query(f"""WITH RECURSIVE {_MERGES}, l AS (SELECT merged_id AS id, surviving_id AS up FROM m WHERE NOT reverted),
     c AS (SELECT id, up FROM l UNION ALL SELECT c.id, l.up FROM c JOIN l ON l.id = c.up) SELECT id, up AS canonical FROM c WHERE up NOT IN (SELECT id FROM l)""")
 def canonical_chain(spark, sf_dir):
     key = F.col("c_custkey")
-    merges = table(spark, sf_dir, "customer").filter(key % 3 > 0).select(
-        key.alias("merged_id"), F.expr("c_custkey div 2").alias("surviving_id"), key.alias("decided_us"), (key % 5 == 0).alias("reverted")
+    merges = table(spark, sf_dir, "customer").select(
+        key.alias("merged_id"), F.expr("c_custkey div 2").alias("surviving_id"), key.alias("decided_us"), ((key % 5 == 0) | (key % 3 == 0)).alias("reverted")
     )
     return stewardship.canonical(merges)
 
@@ -379,9 +446,10 @@ def reenrich_topk(spark, sf_dir):
     return stewardship.reenrichment(entities.agg(F.count(F.lit(1)).alias("engagement"), F.max(seen).alias("enriched_us")), AT_US)
 
 
-@_query("""SELECT user_id AS key, count(*) AS attempts, least(300, pow(2, least(count(*) - 1, 30)))::BIGINT AS backoff, count(*) >= 5 AS dead FROM events WHERE event_id % 3 = 0 GROUP BY 1""")
+@_query("""SELECT user_id AS key, count(*) AS attempts, least(300, pow(2, least(count(*) - 1, 30)))::BIGINT AS backoff, count(*) >= 5 AS dead FROM events GROUP BY 1""")
 def retries(spark, sf_dir):
-    return stewardship.retries(table(spark, sf_dir, "events").filter("event_id % 3 = 0").select(F.col("user_id").alias("key")))
+    """Every event taken as a failed delivery of its user's record."""
+    return stewardship.retries(table(spark, sf_dir, "events").select(F.col("user_id").alias("key")))
 
 
 @_query(f"WITH {_SCORED} SELECT l, r, round(score, 6) AS score, round(1 - 2 * abs(score - 0.5), 6) AS priority FROM s ORDER BY priority DESC, l, r LIMIT 50")
@@ -407,7 +475,7 @@ def distribution_shift(spark, sf_dir):
 @_query(f"""WITH {_CANDIDATES} SELECT l, r, CASE WHEN contains(rules, 'kind') THEN 'kind' ELSE 'brand' END AS rule, CASE WHEN contains(rules, 'kind') THEN 0.99 ELSE 0.95 END::DOUBLE AS confidence FROM c""")
 def deterministic_matches(spark, sf_dir):
     rules = {n: (c, {"brand": 0.95, "kind": 0.99}[n]) for n, c in _rules().items()}
-    return matching.deterministic_matches(_parts(spark, sf_dir), rules, _MAX_BLOCK)
+    return matching.deterministic_matches(_parts(spark, sf_dir), rules)
 
 
 _TRUTH = "t AS (SELECT x.p_partkey AS l, y.p_partkey AS r FROM part x JOIN part y ON x.p_name = y.p_name AND x.p_size = y.p_size AND x.p_partkey < y.p_partkey)"
@@ -439,6 +507,401 @@ def norm_linkedin(spark, sf_dir):
     return table(spark, sf_dir, "customer").select("c_custkey", text.normalize_linkedin(F.expr(raw)).alias("slug"))
 
 
+# ---------------------------------------------------------------- people: customers two by two as copies of one person
+
+_FIRST = ("william", "robert", "katherine", "michael", "elizabeth", "thomas")
+_NICK = ("bill", "bob", "kate", "mike", "liz", "tom")
+_LAST = ("smith", "jones", "garcia", "nguyen", "fischer", "okafor")
+
+
+def _pick(values, at: str) -> str:
+    return "CASE " + at + " " + " ".join(f"WHEN {k} THEN '{v}'" for k, v in enumerate(values)) + " END"
+
+
+def _people(spark, sf_dir):
+    """Raw records: p is the person; mails, phones, names, companies and profiles in several spellings."""
+    p = table(spark, sf_dir, "customer").selectExpr("c_custkey AS c", "c_custkey div 2 AS p")
+    return p.selectExpr(
+        "c AS key", "p", "if(c % 4 < 2, 'salesforce', 'hubspot') AS source", "cast(c AS string) AS source_record_id",
+        """CASE WHEN c % 7 = 0 THEN NULL WHEN p % 11 = 0 THEN concat(' Info@acme', p % 50, '.com') WHEN p % 2 = 1 THEN concat('P.', p, '+x@GoogleMail.com')
+           ELSE concat('p', p, '@acme', p % 50, '.com') END AS email""",
+        "concat('(415) 555-', lpad(cast(p % 10000 AS string), 4, '0')) AS phone", "c % 3 <> 0 AS phone_verified",
+        f"initcap(if(c % 2 = 0, {_pick(_FIRST, 'p % 6')}, {_pick(_NICK, 'p % 6')})) AS first_name", f"upper({_pick(_LAST, '(p div 6) % 6')}) AS last_name",
+        "concat('The Acme ', p % 50, if(c % 2 = 0, ' Inc.', ' Holdings Ltd')) AS company",
+        "if(p % 5 = 0, concat('https://www.linkedin.com/in/P', p, '/'), NULL) AS linkedin", "if(p % 13 = 0, concat('x', p), NULL) AS external_id",
+    )
+
+
+_PEOPLE = f"""raw AS (SELECT c_custkey AS c, c_custkey // 2 AS p FROM customer),
+    people AS (SELECT c AS key, p, CASE WHEN c % 4 < 2 THEN 'salesforce' ELSE 'hubspot' END AS source,
+    CASE WHEN c % 7 = 0 THEN NULL WHEN p % 11 = 0 THEN 'info@acme' || (p % 50) || '.com' WHEN p % 2 = 1 THEN 'p' || p || '@gmail.com' ELSE 'p' || p || '@acme' || (p % 50) || '.com' END AS email,
+    '+1415555' || lpad((p % 10000)::VARCHAR, 4, '0') AS phone_e164, c % 3 <> 0 AS phone_verified, {_pick(_FIRST, 'p % 6')} AS first_name_canonical, CASE WHEN c % 2 = 0 THEN {_pick(_FIRST, 'p % 6')} ELSE {_pick(_NICK, 'p % 6')} END AS first_name,
+    {_pick(_LAST, '(p // 6) % 6')} AS last_name, 'acme ' || (p % 50) AS normalized_company, CASE WHEN p % 5 = 0 THEN 'p' || p END AS linkedin, CASE WHEN p % 13 = 0 THEN 'x' || p END AS external_id FROM raw)"""
+_FREE = f"split_part(email, '@', 2) IN {text.FREEMAIL_DOMAINS}"
+
+
+@_query(f"""WITH {_PEOPLE} SELECT key, email, split_part(email, '@', 2) AS email_domain, coalesce({_FREE}, false) AS email_is_freemail, first_name, first_name_canonical, last_name, left(first_name, 1) AS first_initial,
+    normalized_company, CASE WHEN NOT coalesce({_FREE}, false) THEN split_part(email, '@', 2) END AS domain, phone_e164, linkedin FROM people""")
+def normalize_record(spark, sf_dir):
+    names = ["email", "email_domain", "email_is_freemail", "first_name", "first_name_canonical", "last_name", "first_initial", "normalized_company", "domain", "phone_e164", "linkedin"]
+    return text.normalize_record(_people(spark, sf_dir)).select("key", *names)
+
+
+@_query(None)
+def phonetic_codes(spark, sf_dir):
+    words = table(spark, sf_dir, "part").select("p_partkey", F.explode(F.split("p_name", " ")).alias("word"))
+    return words.select("p_partkey", "word", text.double_metaphone(F.col("word")).alias("codes"))
+
+
+@_query(f"SELECT c_custkey, {_pick(_FIRST + _FIRST, 'c_custkey % 12')} AS canonical, false AS initial FROM customer")
+def canonical_first_name(spark, sf_dir):
+    raw = F.initcap(F.expr(_pick(_NICK + _FIRST, "c_custkey % 12")))
+    return table(spark, sf_dir, "customer").select("c_custkey", text.canonical_first_name(raw).alias("canonical"), text.is_initial_of(F.substring(raw, 1, 2), raw).alias("initial"))
+
+
+@_query("""SELECT doc_id, md5(coalesce(nullif(trim(regexp_replace(regexp_replace(strip_accents(lower(text)), '[''`]', '', 'g'), '[^a-z0-9]+', ' ', 'g')), ''), '-')) AS name FROM documents""")
+def norm_name(spark, sf_dir):
+    """Whole texts as names; their digest."""
+    return table(spark, sf_dir, "documents").select("doc_id", F.md5(F.coalesce(text.normalize_name(F.col("text")), F.lit("-"))).alias("name"))
+
+
+@_query("SELECT doc_id, left(sha256('\"' || replace(replace(text, '\\', '\\\\'), '\"', '\\\"') || '\"'), 32) AS hash FROM documents WHERE text IS NOT NULL")
+def hash_value(spark, sf_dir):
+    return table(spark, sf_dir, "documents").filter("text is not null").select("doc_id", text.hash_value(F.col("text")).alias("hash"))
+
+
+_SURE = {"same_external_id": ("source || '|' || external_id", 1.0), "normalized_email": ("CASE WHEN split_part(email, '@', 1) <> 'info' THEN email END", 0.99), "linkedin_url": ("linkedin", 0.97), "verified_phone_and_last_name": ("CASE WHEN phone_verified THEN phone_e164 || '|' || last_name END", 0.95)}
+_SURE_KEYS = " UNION ALL ".join(f"SELECT key, '{n}' AS rule, {c}::DOUBLE AS confidence, {k} AS block FROM people" for n, (k, c) in _SURE.items())
+
+
+@_query(f"""WITH {_PEOPLE}, k AS ({_SURE_KEYS}), j AS (SELECT x.key AS l, y.key AS r, x.rule, x.confidence FROM k x JOIN k y ON x.rule = y.rule AND x.block = y.block AND x.key < y.key)
+    SELECT l, r, arg_max(rule, confidence) AS rule, max(confidence) AS confidence FROM j GROUP BY 1, 2""")
+def deterministic_rules(spark, sf_dir):
+    return matching.deterministic_matches(text.normalize_record(_people(spark, sf_dir)), matching.deterministic_rules())
+
+
+@_query(f"WITH {_PEOPLE}, k AS ({_SURE_KEYS}) SELECT rule, block, key FROM k WHERE block IS NOT NULL")
+def deterministic_key_index(spark, sf_dir):
+    return matching.key_index(text.normalize_record(_people(spark, sf_dir)), {n: c for n, (c, _) in matching.deterministic_rules().items()})
+
+
+@_query(None)
+def match_people(spark, sf_dir):
+    """Deterministic rules, five blocking rules, EM, scores and guarded clusters of the people."""
+    from entityflow.plans.pipeline import match
+
+    return match(_people(spark, sf_dir).drop("key", "p")).clusters
+
+
+_TWO = ("company_and_first_initial", "email_local_part")
+_TWO_KEYS = "SELECT key, 'company_and_first_initial' AS rule, normalized_company || '|' || left(first_name, 1) AS block FROM people UNION ALL SELECT key, 'email_local_part', split_part(email, '@', 1) FROM people"
+_TWO_PAIRS = f"""{_PEOPLE}, k AS ({_TWO_KEYS}), z AS (SELECT rule, block FROM k WHERE block IS NOT NULL GROUP BY 1, 2 HAVING count(*) BETWEEN 2 AND {_MAX_BLOCK}), u AS (SELECT k.* FROM k JOIN z USING (rule, block)),
+    c AS (SELECT DISTINCT x.key AS l, y.key AS r FROM u x JOIN u y ON x.rule = y.rule AND x.block = y.block AND x.key < y.key)"""
+_SET = "len(list_intersect(list_distinct(string_split(a.{f}, ' ')), list_distinct(string_split(b.{f}, ' ')))) / len(list_distinct(list_concat(string_split(a.{f}, ' '), string_split(b.{f}, ' '))))"
+_REACHED = {"exact": "a.{f} = b.{f}", "jw": "jaro_winkler_similarity(a.{f}, b.{f}) >= {t}", "token_set": _SET + " >= {t}", "local_part": "split_part(a.{f}, '@', 1) = split_part(b.{f}, '@', 1)", "else": "true"}
+
+
+def _level_sql(c) -> str:
+    tests = " ".join(f"WHEN {_REACHED[x.kind].format(f=c.field, t=x.at)} THEN {k}" for k, x in enumerate(c.levels))
+    return f"CASE WHEN a.{c.field} IS NULL OR b.{c.field} IS NULL THEN -1 {tests} END AS l_{c.field}, a.{c.field} AS v_{c.field}"
+
+
+_COMPARED = linkage.default_comparisons()
+_LEVELS_SQL = f"lv AS (SELECT l, r, {', '.join(map(_level_sql, _COMPARED))} FROM c JOIN people a ON a.key = l JOIN people b ON b.key = r)"
+_TF_SQL = ", ".join(f"tf_{c.field} AS (SELECT {c.field} AS v, count(*) / (SELECT count({c.field}) FROM people) AS f FROM people WHERE {c.field} IS NOT NULL GROUP BY 1)" for c in _COMPARED)
+_SUM_SQL = " + ".join(
+    f"CASE l_{c.field} {' '.join(f'WHEN {k} THEN {x.weight!r}::DOUBLE' for k, x in enumerate(c.levels))} ELSE 0 END + CASE WHEN l_{c.field} = 0 THEN log2({c.levels[0].u!r}::DOUBLE / greatest(t_{c.field}.f * t_{c.field}.f, 1e-12)) ELSE 0 END"
+    for c in _COMPARED
+)
+_JOIN_SQL = " ".join(f"LEFT JOIN tf_{c.field} t_{c.field} ON t_{c.field}.v = v_{c.field}" for c in _COMPARED)
+
+
+def _people_pairs(spark, sf_dir):
+    held = text.normalize_record(_people(spark, sf_dir))
+    return held, matching.candidate_pairs(held, {n: c for n, c in matching.blocking_rules().items() if n in _TWO}).select("l", "r")
+
+
+@_query(f"""WITH {_TWO_PAIRS}, {_LEVELS_SQL}, {_TF_SQL}, w AS (SELECT l, r, concat_ws(',', {", ".join(f"l_{c.field}" for c in _COMPARED)}) AS levels, {linkage.Model().prior_weight!r}::DOUBLE + {_SUM_SQL} AS weight FROM lv {_JOIN_SQL})
+    SELECT l, r, levels, round(weight, 6) AS weight, round(pow(2, weight) / (1 + pow(2, weight)), 6) AS score FROM w""")
+def fs_people(spark, sf_dir):
+    """All comparisons with their levels and the rarity of the agreeing values."""
+    held, pairs = _people_pairs(spark, sf_dir)
+    rated = linkage.score_pairs(pairs, held, linkage.Model())
+    return rated.select("l", "r", F.array_join(F.col("levels").cast("array<string>"), ",").alias("levels"), F.round("weight", 6).alias("weight"), F.round("score", 6).alias("score"))
+
+
+@_query(f"WITH {_TWO_PAIRS}, {_LEVELS_SQL} SELECT concat_ws(',', {', '.join(f'l_{c.field}' for c in _COMPARED)}) AS levels, count(*) AS n FROM lv GROUP BY 1")
+def level_patterns(spark, sf_dir):
+    held, pairs = _people_pairs(spark, sf_dir)
+    found = linkage.patterns(pairs, held, linkage.Model())
+    return found.groupBy(F.array_join(F.col("levels").cast("array<string>"), ",").alias("levels")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@_query("WITH " + _PEOPLE + ", t AS (" + " UNION ALL ".join(f"SELECT '{c.field}' AS field, {c.field} AS value FROM people WHERE {c.field} IS NOT NULL" for c in _COMPARED) + """)
+    SELECT field, value, round(count(*) / sum(count(*)) OVER (PARTITION BY field), 9) AS share FROM t GROUP BY 1, 2""")
+def linkage_term_frequencies(spark, sf_dir):
+    held = text.normalize_record(_people(spark, sf_dir))
+    return linkage.term_frequencies(held, linkage.Model()).withColumn("share", F.round("share", 9))
+
+
+def _fitted_sql(c, k: int) -> str:
+    n = len(c.levels)
+    sums = lambda y: f"(count(*) FILTER ({y} AND l_{c.field} = {k}) + 1) / (count(*) FILTER ({y} AND l_{c.field} >= 0) + {n})"
+    return f"SELECT '{c.field}' AS field, '{c.levels[k].name}' AS level, round({sums('y')}, 6) AS m, round({sums('NOT y')}, 6) AS u FROM yl"
+
+
+@_query(f"WITH {_TWO_PAIRS}, {_LEVELS_SQL}, yl AS (SELECT *, l // 2 = r // 2 AS y FROM lv) " + " UNION ALL ".join(_fitted_sql(c, k) for c in _COMPARED for k in range(len(c.levels))))
+def fs_people_supervised(spark, sf_dir):
+    """The weights table after training with the true pairs as labels."""
+    held, pairs = _people_pairs(spark, sf_dir)
+    model = linkage.fit_supervised(pairs.withColumn("is_match", F.expr("l div 2 = r div 2")), held)
+    return linkage.weights_frame(spark, model).select("field", "level", F.round("m", 6).alias("m"), F.round("u", 6).alias("u"))
+
+
+@_query(None)
+def fs_people_em(spark, sf_dir):
+    """The weights table after unsupervised training."""
+    held, pairs = _people_pairs(spark, sf_dir)
+    return linkage.weights_frame(spark, linkage.fit_em(pairs, held))
+
+
+@_query(f"""WITH {_TWO_PAIRS} SELECT (SELECT count(*) FROM people) AS records, (SELECT count(*) FROM c) AS pairs_generated, (SELECT count(*) * (count(*) - 1) // 2 FROM people) AS pairs_all,
+    round(1 - (SELECT count(*) FROM c) / (SELECT count(*) * (count(*) - 1) // 2 FROM people), 6) AS reduction_ratio""")
+def reduction_ratio(spark, sf_dir):
+    return matching.reduction_ratio(*_people_pairs(spark, sf_dir)).withColumn("reduction_ratio", F.round("reduction_ratio", 6))
+
+
+@_query(f"WITH {_TWO_PAIRS}, t AS (SELECT x.key AS l, y.key AS r FROM people x JOIN people y ON x.p = y.p AND x.key < y.key) SELECT l, r FROM t ANTI JOIN c USING (l, r)")
+def missed_pairs(spark, sf_dir):
+    one, two = (_people(spark, sf_dir).select(F.col("key").alias(k), "p") for k in ("l", "r"))
+    return matching.missed_pairs(_people_pairs(spark, sf_dir)[1], one.join(two, "p").filter("l < r"))
+
+
+# ---------------------------------------------------------------- decisions
+
+
+def _decided(spark, sf_dir):
+    d = table(spark, sf_dir, "labels").filter("quality is not null")
+    return d.select(F.col("doc_id").alias("id"), (F.col("doc_id") % 1000 / 1000).alias("score"), (F.col("quality") == 1).alias("label"))
+
+
+@_query(f"""WITH {_DECISIONS.replace("SELECT ", "SELECT doc_id AS id, ", 1)}, w AS (SELECT s, row_number() OVER o AS n, sum(y::INT) OVER o AS p, (SELECT count(*) FILTER (y) FROM d) AS all_p FROM d WINDOW o AS (ORDER BY s DESC, id))
+    SELECT s AS threshold, round(p / n, 6) AS precision FROM w WHERE p / all_p >= 0.8 ORDER BY n LIMIT 1""")
+def precision_at_recall(spark, sf_dir):
+    return matching.precision_at_recall(_decided(spark, sf_dir), 0.8).withColumn("precision", F.round("precision", 6))
+
+
+@_query(f"""WITH {_DECISIONS}, b AS (SELECT y, CASE WHEN s >= 0.999 THEN '0.999+' WHEN s >= 0.995 THEN '0.995-0.999' WHEN s >= 0.99 THEN '0.990-0.995'
+    ELSE printf('%.2f-%.2f', least(floor(s * 20 + 1e-9) / 20, 0.94), least(floor(s * 20 + 1e-9) / 20, 0.94) + 0.05) END AS band FROM d), g AS (SELECT band, count(*) AS n, count(*) FILTER (y) / count(*) AS p FROM b GROUP BY 1)
+    SELECT band, CASE WHEN n < 20 THEN printf('%s: only %d adjudicated decisions, need 20', band, n) WHEN p < 0.5 THEN printf('%s: measured precision %.5f is below 0.50000: %d destroyed records per 100000 merges', band, p, round((1 - p) * 100000)::BIGINT)
+    ELSE printf('%s: precision %.5f over %d decisions', band, p, n) END AS reason FROM g""")
+def promotion_report(spark, sf_dir):
+    d = _decided(spark, sf_dir).select(F.col("score").alias("model_score"), F.col("label").alias("human_match"))
+    return matching.promotion_report(d, min_decisions=20, min_precision=0.5).select("band", "reason")
+
+
+# ---------------------------------------------------------------- clusters
+
+
+def _strong(spark, sf_dir):
+    links = _edges(spark, sf_dir)
+    return links, graph.components(links.filter("score >= 0.8"))
+
+
+@_query(f"""WITH RECURSIVE {_COMPONENTS}, n AS (SELECT component, count(*) AS size FROM g GROUP BY 1),
+    i AS (SELECT x.component, count(*) FILTER (score >= 0.8) AS k FROM s JOIN g x ON x.node = l JOIN g y ON y.node = r AND x.component = y.component GROUP BY 1)
+    SELECT component, size, round(coalesce(k, 0) / (size * (size - 1) / 2), 6) AS cohesion FROM n LEFT JOIN i USING (component)""")
+def cohesion(spark, sf_dir):
+    links, members = _strong(spark, sf_dir)
+    return clusters.cohesion(members, links).withColumn("cohesion", F.round("cohesion", 6))
+
+
+@_query(f"""WITH RECURSIVE {_COMPONENTS} SELECT x.component AS cluster, round(min(score), 6) AS weakest FROM s JOIN g x ON x.node = l JOIN g y ON y.node = r AND x.component = y.component GROUP BY 1""")
+def weakest_edges(spark, sf_dir):
+    links, members = _strong(spark, sf_dir)
+    return clusters.weakest_edges(members.withColumnRenamed("component", "cluster"), links).withColumn("weakest", F.round("weakest", 6))
+
+
+@_query(None)
+def resolve_clusters(spark, sf_dir):
+    """Components under guards, failing ones divided."""
+    links = _edges(spark, sf_dir)
+    return clusters.resolve_clusters(links.select(F.col("a").cast("string").alias("a"), F.col("b").cast("string").alias("b"), "score"))
+
+
+@_query(f"WITH RECURSIVE {_MERGES}, l AS (SELECT merged_id AS id, surviving_id AS up FROM m WHERE NOT reverted), c AS (SELECT id, up FROM l UNION ALL SELECT c.id, l.up FROM c JOIN l ON l.id = c.up) SELECT up AS survivor, id FROM c WHERE up NOT IN (SELECT id FROM l)")
+def merged_into(spark, sf_dir):
+    return stewardship.merged_into(_merges(spark, sf_dir))
+
+
+def _merges(spark, sf_dir):
+    key = F.col("c_custkey")
+    return table(spark, sf_dir, "customer").select(
+        key.alias("merged_id"), F.expr("c_custkey div 2").alias("surviving_id"), key.alias("decided_us"), ((key % 5 == 0) | (key % 3 == 0)).alias("reverted")
+    )
+
+
+@_query(f"""WITH RECURSIVE {_MERGES}, l AS (SELECT merged_id AS id, surviving_id AS up FROM m WHERE NOT reverted), c AS (SELECT id, up FROM l UNION ALL SELECT c.id, l.up FROM c JOIN l ON l.id = c.up),
+    t AS (SELECT id, up FROM c WHERE up NOT IN (SELECT id FROM l)) SELECT o_orderkey AS source_record_id, coalesce(t.up, o_custkey) AS canonical FROM orders LEFT JOIN t ON t.id = o_custkey""")
+def links_for(spark, sf_dir):
+    links = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("entity_id"), F.lit("crm").alias("source"), F.col("o_orderkey").alias("source_record_id"))
+    return stewardship.links_for(links, _merges(spark, sf_dir)).select("source_record_id", "canonical")
+
+
+@_query(f"WITH {_MERGES} SELECT merged_id, reverted OR merged_id % 7 = 0 AS reverted, CASE WHEN NOT reverted AND merged_id % 7 = 0 THEN 'not the same' END AS revert_reason FROM m")
+def unmerge(spark, sf_dir):
+    merges = _merges(spark, sf_dir)
+    undo = merges.filter("merged_id % 7 = 0").select("merged_id", F.lit("not the same").alias("reason"))
+    return stewardship.unmerge(merges, undo, AT_US).select("merged_id", "reverted", "revert_reason")
+
+
+# ---------------------------------------------------------------- sync
+
+#: Events are taken in two batches: what came before this moment is known already.
+_SPLIT = "(SELECT epoch_us(min(ts)) + (epoch_us(max(ts)) - epoch_us(min(ts))) // 2 FROM events)"
+_COUNTED = f"""cnt AS (SELECT *, count(*) OVER (PARTITION BY source, record_id ORDER BY received_us RANGE BETWEEN {5 * _MIN} PRECEDING AND CURRENT ROW) AS n FROM ev),
+    trip AS (SELECT source, record_id, min(seq) AS first_seq FROM cnt WHERE n > 10 AND record_id % 5 > 0 GROUP BY 1, 2),
+    br AS (SELECT ev.*, ev.record_id % 5 = 0 OR coalesce(seq >= first_seq, false) AS stopped, ev.record_id % 5 > 0 AND coalesce(seq = first_seq, false) AS trips FROM ev LEFT JOIN trip USING (source, record_id))"""
+
+
+def _held(spark, sf_dir):
+    """Every fifth record is in quarantine already."""
+    return _events(spark, sf_dir).filter("record_id % 5 = 0").select("source", "record_id").distinct()
+
+
+@_query(f"WITH {_EVENTS}, {_COUNTED} SELECT seq, stopped, trips FROM br")
+def breaker(spark, sf_dir):
+    events_ = _events(spark, sf_dir)
+    none = events_.filter("false").select("source", "record_id", F.col("received_us").alias("seen_us"))
+    return sync.breaker(events_, none, _held(spark, sf_dir))
+
+
+_THEIRS = {"salesforce": {"view_": "view", "click_": "click"}, "hubspot": {"view_": "view", "purchase_": "purchase"}}
+_HASH = "left(sha256(coalesce('\"' || replace(replace({v}, '\\', '\\\\'), '\"', '\\\"') || '\"', 'null')), 32)"
+_LOGGED = f"""wl AS (SELECT source AS target, record_id, field, {_HASH.format(v='value')} AS value_hash, received_us - {2 * _MIN} AS written_us FROM one WHERE seq % 3 = 0)"""
+
+
+@_query(f"""WITH {_EVENTS}, {_COUNTED}, {_LOGGED}, x AS (SELECT br.*, seq % 4 = 1 AND source = 'hubspot' AS mine,
+    EXISTS (SELECT 1 FROM wl WHERE target = br.source AND wl.record_id = br.record_id AND wl.field = br.field AND value_hash = {_HASH.format(v='br.value')} AND written_us BETWEEN received_us - {5 * _MIN} AND received_us) AS echo,
+    CASE WHEN source = 'salesforce' AND field IN ('view', 'click') THEN field || '_' WHEN source = 'hubspot' AND field IN ('view', 'purchase') THEN field || '_' END AS ours FROM br)
+    SELECT seq, ours, CASE WHEN stopped THEN 'quarantined' WHEN mine THEN 'echo_actor' WHEN echo THEN 'echo_log' WHEN ours IS NULL THEN 'unmapped' ELSE 'kept' END AS outcome FROM x""")
+def ingest_class(spark, sf_dir):
+    """What becomes of each event: stopped, our own by actor or by the write log, of an unknown field, or kept."""
+    e = _events(spark, sf_dir).withColumns({"actor": F.when((F.col("seq") % 4 == 1) & (F.col("source") == "hubspot"), "me"), "kind": F.lit("crm")})
+    log = e.filter("seq < 1000000000 and seq % 3 = 0").select(F.col("source").alias("target"), "record_id", "field", text.hash_value(F.col("value")).alias("value_hash"), (F.col("received_us") - 2 * _MIN).alias("written_us"))
+    none = e.filter("false").select("source", "record_id", F.col("received_us").alias("seen_us"))
+    found = sync.ingest_class(e, log, none, _held(spark, sf_dir), _THEIRS, {"hubspot": "me"})
+    return found.select("seq", "ours", "outcome")
+
+
+@_query(f"""WITH {_EVENTS}, sp AS (SELECT {_SPLIT} AS t), b AS (SELECT ev.* FROM ev, sp WHERE received_us < t), a AS (SELECT ev.* FROM ev, sp WHERE received_us >= t),
+    k AS (SELECT source, record_id, field, max({{'o': observed_us, 's': 1::BIGINT, 'h': {_HASH.format(v='value')}}}) AS p0, arg_max(seq, {{'o': observed_us, 's': seq}}) AS id FROM b GROUP BY 1, 2, 3),
+    kk AS (SELECT k.source, k.record_id, k.field, k.id, {{'o': b.observed_us, 's': 1::BIGINT, 'h': {_HASH.format(v='b.value')}}} AS p0 FROM k JOIN b ON b.seq = k.id),
+    w AS (SELECT a.*, {_HASH.format(v='value')} AS h, max({{'o': observed_us, 's': -seq, 'h': {_HASH.format(v='value')}}}) OVER (PARTITION BY source, record_id, field ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS p1 FROM a),
+    j AS (SELECT w.*, id, CASE WHEN p1 IS NULL THEN p0 WHEN p0 IS NULL THEN p1 WHEN p0 > p1 THEN p0 ELSE p1 END AS p FROM w LEFT JOIN kk USING (source, record_id, field))
+    SELECT seq, CASE WHEN observed_us = p.o AND h = p.h THEN 'DUPLICATE' WHEN observed_us <= p.o THEN 'SUPERSEDED' ELSE 'APPLIED' END AS result,
+    CASE WHEN observed_us <= p.o AND NOT (observed_us = p.o AND h = p.h) AND p.s = 1 THEN id END AS superseded_by FROM j""")
+def ordering(spark, sf_dir):
+    """The later half of the events placed after the newest of the earlier half."""
+    e = _events(spark, sf_dir).withColumn("entity_id", F.col("record_id"))
+    ends = table(spark, sf_dir, "events").agg(F.min(F.unix_micros(F.col("ts").cast("timestamp"))).alias("a"), F.max(F.unix_micros(F.col("ts").cast("timestamp"))).alias("b")).first()
+    at = ends.a + (ends.b - ends.a) // 2
+    known = stewardship.latest(e.filter(F.col("received_us") < at).withColumn("id", F.col("seq")))
+    return sync.ordering(e.filter(F.col("received_us") >= at), known).select("seq", "result", "superseded_by")
+
+
+@_query(f"""WITH remote AS ({_resolve_sql("source_priority")}), known AS ({_resolve_sql("never_overwrite")}) SELECT r.entity_id AS record_id, r.field, k.value AS known, r.value FROM remote r LEFT JOIN known k USING (entity_id, field) WHERE r.value IS DISTINCT FROM k.value""")
+def discrepancies(spark, sf_dir):
+    known, remote = (resolve.resolve(_obs(spark, sf_dir), s).withColumnRenamed("entity_id", "record_id") for s in ("never_overwrite", "source_priority"))
+    return sync.discrepancies(remote, known)
+
+
+@_query("""WITH r AS (SELECT 's' || o_custkey % 40 AS source, year(o_orderdate) AS run_us, count(*) FILTER (o_orderstatus = 'F') / count(*) AS rate FROM orders GROUP BY 1, 2)
+    SELECT source, run_us, round(rate, 6) AS rate, coalesce(lag(rate) OVER w > 0 AND rate > 1.2 * lag(rate) OVER w, false) AS alert FROM r WINDOW w AS (PARTITION BY source ORDER BY run_us)""")
+def alert_if_rising(spark, sf_dir):
+    rate = (F.count_if(F.col("o_orderstatus") == "F") / F.count(F.lit(1))).alias("rate")
+    rates = table(spark, sf_dir, "orders").groupBy(F.concat(F.lit("s"), F.col("o_custkey") % 40).alias("source"), F.year("o_orderdate").cast("bigint").alias("run_us")).agg(rate)
+    return stewardship.alert_if_rising(rates, factor=1.2).withColumn("rate", F.round("rate", 6))
+
+
+# ---------------------------------------------------------------- budgets and enrichment
+
+
+@_query("""SELECT c_custkey, CASE c_custkey % 4 WHEN 0 THEN c_custkey WHEN 1 THEN greatest(0, 1000 - c_custkey) END AS used, CASE c_custkey % 4 WHEN 0 THEN 5000 WHEN 1 THEN 1000 END::BIGINT AS "limit" FROM customer""")
+def usage_headers(spark, sf_dir):
+    c = table(spark, sf_dir, "customer")
+    headers = F.when(F.col("c_custkey") % 4 == 1, F.create_map(F.lit("X-HubSpot-RateLimit-Daily"), F.lit("1000"), F.lit("x-hubspot-ratelimit-daily-remaining"), F.col("c_custkey").cast("string")))
+    headers = headers.when(F.col("c_custkey") % 4 == 0, F.create_map(F.lit("Sforce-Limit-Info"), F.concat(F.lit("api-usage="), F.col("c_custkey").cast("string"), F.lit("/5000"))))
+    headers = headers.otherwise(F.create_map(F.lit("Sforce-Limit-Info"), F.lit("nothing")))
+    seen = budget.usage(F.when(F.col("c_custkey") % 4 == 1, "hubspot").otherwise("salesforce"), headers)
+    return c.select("c_custkey", seen["used"].alias("used"), seen["limit"].alias("limit"))
+
+
+@_query("""SELECT CASE WHEN event_id % 2 = 0 THEN 'salesforce' ELSE 'hubspot' END AS provider, CASE event_id % 4 WHEN 0 THEN 'REALTIME' WHEN 1 THEN 'INCREMENTAL' WHEN 2 THEN 'ENRICHMENT' ELSE 'BACKFILL' END AS priority, sum(1 + event_id % 3)::BIGINT AS calls FROM events GROUP BY 1, 2""")
+def usage_by_class(spark, sf_dir):
+    return budget.usage_by_class(_requests(spark, sf_dir))
+
+
+def _requests(spark, sf_dir):
+    e = F.col("event_id")
+    kind = F.element_at(F.array(*[F.lit(p) for p in budget.SHARES]), (e % 4 + 1).cast("int"))
+    return table(spark, sf_dir, "events").select(F.when(e % 2 == 0, "salesforce").otherwise("hubspot").alias("provider"), e.alias("seq"), kind.alias("priority"), (1 + e % 3).alias("calls"))
+
+
+@_query(None)
+def admit_requests(spark, sf_dir):
+    """Every event as a request of one to three calls, against daily limits that run out."""
+    limits = spark.createDataFrame([("salesforce", 5000), ("hubspot", 3000)], "provider string, daily_limit bigint")
+    return budget.admit(_requests(spark, sf_dir), limits)
+
+
+_SCORES = """b AS (SELECT provider, field, count(value) AS returned, count(*) FILTER (lower(trim(value)) = lower(p_type)) AS correct, count(value) / count(*) AS coverage, sum(cost)::DOUBLE AS cost FROM claims JOIN part ON p_partkey = key GROUP BY 1, 2)"""
+
+
+@_query(f"WITH {_CLAIMS}, {_SCORES} SELECT provider, round(cost, 4) AS cost, correct::BIGINT AS correct, round(cost / correct, 6) AS per_correct FROM b")
+def cost_per_correct_field(spark, sf_dir):
+    found = enrich.cost_per_correct_field(_scores(spark, sf_dir))
+    return found.withColumns({"cost": F.round("cost", 4), "per_correct": F.round("per_correct", 6)})
+
+
+@_query(f"WITH {_CLAIMS}, {_SCORES} SELECT field, provider, row_number() OVER (PARTITION BY field ORDER BY correct / returned DESC, coverage DESC, provider) AS place FROM b")
+def rank_providers(spark, sf_dir):
+    return enrich.by_field(_scores(spark, sf_dir)).select("field", "provider", F.col("place").cast("bigint").alias("place"))
+
+
+def _scores(spark, sf_dir):
+    gold = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("key"), F.lit("type").alias("field"), F.col("p_type").alias("value"))
+    return matching.bake_off(_claims(spark, sf_dir), gold)
+
+
+@_query(f"WITH {_CLAIMS}, {_SCORES} SELECT field, string_agg(provider, ',' ORDER BY correct / returned DESC, coverage DESC, provider) AS ranking FROM b WHERE correct > 0 GROUP BY 1")
+def recommended_policy(spark, sf_dir):
+    return enrich.recommended_policy(_scores(spark, sf_dir)).withColumn("ranking", F.array_join("ranking", ","))
+
+
+@_query("SELECT p_partkey, p_size AS a, (p_size * (80 + p_partkey % 40)) / 100.0 AS b, abs(p_size - (p_size * (80 + p_partkey % 40)) / 100.0) / greatest(p_size, (p_size * (80 + p_partkey % 40)) / 100.0, 1) <= 0.2 AS equal FROM part")
+def tolerant_equal(spark, sf_dir):
+    """Numbers count as equal within a fifth of the larger."""
+    b = F.col("p_size") * (80 + F.col("p_partkey") % 40) / 100
+    return table(spark, sf_dir, "part").select("p_partkey", F.col("p_size").alias("a"), b.alias("b"), enrich.tolerant_equal(F.col("p_size").cast("string"), b.cast("string")).alias("equal"))
+
+
+@_query("SELECT p_partkey, 'alpha' AS source, p_type AS value, 0.8::DOUBLE AS confidence, 1717200000000000 + 90 * 86400000000 AS expires_us FROM part WHERE p_partkey % 5 > 0 AND p_type IS NOT NULL")
+def enrich_records(spark, sf_dir):
+    """A provider that knows most parts, its answers as observations with a shelf life."""
+    part = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("key"), "p_type")
+    known = part.filter("key % 5 > 0").select("key", F.lit("job_title").alias("field"), F.col("p_type").alias("value"))
+    told = enrich.claims_as_observations(enrich.StaticProvider("alpha", known).enrich(part), AT_US)
+    return told.select(F.col("entity_id").alias("p_partkey"), "source", "value", "confidence", "expires_us")
+
+
+@_query("SELECT 'alpha' AS provider, round(count(*) FILTER (p_partkey % 5 > 0) / count(*), 6) AS coverage FROM part")
+def provider_coverage(spark, sf_dir):
+    part = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("key"), "p_type")
+    known = part.filter("key % 5 > 0").select("key", F.lit("job_title").alias("field"), F.col("p_type").alias("value"))
+    return enrich.coverage(enrich.StaticProvider("alpha", known).enrich(part)).withColumn("coverage", F.round("coverage", 6))
+
+
 def queries():
     return dict(_QUERIES)
 

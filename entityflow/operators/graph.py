@@ -2,18 +2,10 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from entityflow.session import shared_dir
-
-
-def _kept(df: DataFrame) -> DataFrame:
-    path = f"{shared_dir(df.sparkSession)}/graph-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+from entityflow.session import materialize
 
 
 def edges(scored: DataFrame) -> DataFrame:
@@ -22,31 +14,57 @@ def edges(scored: DataFrame) -> DataFrame:
     return scored.filter("a <> b").groupBy(a.alias("a"), b.alias("b")).agg(F.max("score").alias("score"))
 
 
-def components(links: DataFrame) -> DataFrame:
-    """(node, component): each node's least reachable node, by label hooking and pointer jumping.
+def components(links: DataFrame, nodes: DataFrame | None = None) -> DataFrame:
+    """(node, component): each node's least reachable node, by rounds of large-star and small-star.
 
-    A round takes the least label among neighbours, pre-aggregated, then jumps to that label's label, so rounds grow
-    with the logarithm of the longest path; each is written to the shared folder.
+    A round links every node's larger neighbours, then its smaller ones, to the least of them, until only stars are left;
+    rounds grow with the logarithm of the size. Least neighbours are pre-aggregated and written, so that the join of a
+    hub's links to them can be split. ``nodes`` (key) adds nodes without a link as components of their own.
     """
-    both = _kept(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    labels = _kept(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("label")).select(F.col("a").alias("node"), "label"))
+    ends = links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u <> v").distinct()
+    edges_ = materialize(ends, "links")
     while True:
-        near = both.join(labels, both["b"] == labels["node"]).groupBy("a").agg(F.min("label").alias("near"))
-        moved = labels.join(near, labels["node"] == near["a"]).select("node", "label", F.least("label", "near").alias("new"))
-        hooks = moved.groupBy(F.col("label").alias("root")).agg(F.min("new").alias("to"))
-        moved = moved.join(hooks, moved["label"] == hooks["root"]).select("node", F.least("new", "to").alias("new"), "label")
-        top = labels.select(F.col("node").alias("t"), F.col("label").alias("up"))
-        moved = moved.join(top, moved["new"] == top["t"], "left").select("node", F.least("new", "up").alias("new"), "label")
-        moved = _kept(moved)
-        labels = moved.select("node", F.col("new").alias("label"))
-        if moved.filter("new <> label").isEmpty():
-            return labels.withColumnRenamed("label", "component")
+        sides = edges_.select(F.explode(F.array(F.struct(F.col("u").alias("x"), F.lit(1).alias("up")), F.struct(F.col("v").alias("x"), F.lit(0).alias("up")))).alias("s"))
+        mixed = sides.groupBy("s.x").agg(F.sum("s.up").alias("ups"), F.count(F.lit(1)).alias("n"))
+        if mixed.filter("ups > 1 or (ups = 1 and n > 1)").isEmpty():
+            break
+        both = edges_.unionByName(edges_.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        near = materialize(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "near")
+        large = both.join(near, "u").filter(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v"))
+        large = materialize(large.filter("u <> v").distinct(), "large")
+        least = materialize(large.groupBy("u").agg(F.min("v").alias("m")), "least")
+        small = large.join(least, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        edges_ = materialize(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "links")
+    roots = edges_.select(F.col("v").alias("node")).distinct()
+    out = edges_.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots.select("node", F.col("node").alias("component")))
+    # Links of a node with itself, and nodes without any, are components of one.
+    single = links.filter("a = b").select(F.col("a").alias("node"))
+    single = single if nodes is None else single.unionByName(nodes.select(F.col("key").alias("node")))
+    alone = single.distinct().join(out.select("node"), "node", "left_anti")
+    return out.unionByName(alone.select("node", F.col("node").alias("component")))
+
+
+def neighbours(links: DataFrame) -> DataFrame:
+    """(node, neighbour, score): every edge from both ends."""
+    ends = lambda x, y: links.select(F.col(x).alias("node"), F.col(y).alias("neighbour"), "score")
+    return ends("a", "b").unionByName(ends("b", "a"))
+
+
+def nodes(links: DataFrame) -> DataFrame:
+    return links.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+
+
+def pair_scores(pairs: DataFrame, links: DataFrame) -> DataFrame:
+    """``pairs`` (a, b) in either order with their edge's score; null where there is none."""
+    low, high = F.least("a", "b"), F.greatest("a", "b")
+    known = links.select(F.col("a").alias("_a"), F.col("b").alias("_b"), "score")
+    return pairs.join(known, (low == F.col("_a")) & (high == F.col("_b")), "left").drop("_a", "_b")
 
 
 def verdicts(links: DataFrame, *, threshold: float = 0.80, max_size: int = 10, cohesion: float = 0.7, contradiction: float = 0.2) -> DataFrame:
     """(component, size, cohesion, verdict): size, then density, then an inner pair scored as a contradiction."""
     strong = links.filter(F.col("score") >= threshold)
-    members = _kept(components(strong))
+    members = materialize(components(strong), "members")
     sizes = members.groupBy("component").agg(F.count(F.lit(1)).alias("size"))
     a, b = (members.select(F.col("node").alias(n), F.col("component").alias(f"c_{n}")) for n in ("a", "b"))
     inner = links.join(a, "a").join(b, "b").filter("c_a = c_b").groupBy(F.col("c_a").alias("component"))

@@ -4,24 +4,78 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from entityflow.functions.text import ROLE_LOCAL_PARTS
+
 MAX_BLOCK = 1000
+#: Records of a large block that are dealt together.
+PART = 1000
+
+
+def composite(*parts: Column) -> Column:
+    """The parts as one key; null if any of them is null or empty."""
+    texts = [p.cast("string") for p in parts]
+    full = F.forall(F.array(*texts), lambda x: F.coalesce(x, F.lit("")) != "")
+    return F.when(full, F.concat_ws("|", *texts))
+
+
+def blocking_rules() -> dict[str, Column]:
+    """The five blocking keys over the columns of ``normalize_record``."""
+    c = F.col
+    return {
+        "domain_and_surname": composite(c("email_domain"), c("last_name_dm")),
+        "company_and_first_initial": composite(c("normalized_company"), c("first_initial")),
+        "phone": composite(c("phone_e164")),
+        "full_name_phonetic": composite(c("first_name_dm"), c("last_name_dm")),
+        "email_local_part": composite(F.split_part(c("email"), F.lit("@"), F.lit(1))),
+    }
+
+
+def deterministic_rules() -> dict[str, tuple[Column, float]]:
+    """The four sure rules (key, confidence), surest first: fixed values. Role addresses and unverified phones have no key."""
+    local = F.split_part(F.col("email"), F.lit("@"), F.lit(1))
+    person = F.col("email").contains("@") & ~local.isin(*ROLE_LOCAL_PARTS)
+    return {
+        "same_external_id": (composite(F.col("source"), F.col("external_id")), 1.0),
+        "normalized_email": (F.when(person, F.col("email")), 0.99),
+        "linkedin_url": (composite(F.col("linkedin")), 0.97),
+        "verified_phone_and_last_name": (F.when(F.col("phone_verified"), composite(F.col("phone_e164"), F.col("last_name"))), 0.95),
+    }
+
+
+def key_index(records: DataFrame, rules: dict[str, Column]) -> DataFrame:
+    """(rule, block, key): which records share which key; a record without a rule's key has no row for it."""
+    blocks = F.array(*[F.struct(F.lit(n).alias("rule"), F.nullif(c, F.lit("")).alias("block")) for n, c in rules.items()])
+    keyed = records.select("key", F.explode(blocks).alias("b")).filter("b.block is not null")
+    return keyed.select("b.rule", "b.block", "key")
 
 
-def candidate_pairs(records: DataFrame, rules: dict[str, Column], max_block: int = MAX_BLOCK) -> DataFrame:
+def _paired(keyed: DataFrame, sizes: DataFrame) -> DataFrame:
+    """(l, r, rule) of the keys that share a block of ``sizes`` (rule, block, n), each pair once a rule.
+
+    A block of more than ``PART`` records is dealt in parts, and its pairs are made part against part, so that a large
+    block is spread over as many keys of the join as it has pairs of parts.
+    """
+    used = keyed.join(sizes.select("rule", "block", F.ceil(F.col("n") / PART).cast("int").alias("parts")), ["rule", "block"])
+    part = F.pmod(F.xxhash64("key"), F.col("parts")).cast("int")
+    used = used.withColumn("part", part)
+    every = F.sequence(F.lit(0), F.col("parts") - 1)
+    left = used.select("rule", "block", F.col("key").alias("l"), F.col("part").alias("x"), F.explode(every).alias("y"))
+    right = used.select("rule", "block", F.col("key").alias("r"), F.col("part").alias("y"), F.explode(every).alias("x"))
+    return left.join(right, ["rule", "block", "x", "y"]).filter("l < r").select("l", "r", "rule")
+
+
+def candidate_pairs(records: DataFrame, rules: dict[str, Column], max_block: int | None = MAX_BLOCK) -> DataFrame:
     """(l, r, rules): distinct pairs of ``key`` that share a blocking key of at most ``max_block`` records.
 
-    Larger blocks are left out by definition of the operator; ``block_stats`` reports them. A block's pairs come from
-    an equi-join on (rule, block), so Spark can split it; sizes are pre-aggregated.
+    Larger blocks are left out by definition of the operator, and ``block_stats`` reports them; None leaves out none.
+    Sizes are pre-aggregated.
     """
-    blocks = F.array(*[F.struct(F.lit(n).alias("rule"), F.nullif(c, F.lit("")).alias("block")) for n, c in rules.items()])
-    keyed = records.select("key", F.explode(blocks).alias("b")).select("key", "b.rule", "b.block").filter("block is not null")
-    sizes = keyed.groupBy("rule", "block").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n").between(2, max_block))
-    used = keyed.join(sizes.select("rule", "block"), ["rule", "block"])
-    left, right = used.withColumnRenamed("key", "l"), used.withColumnRenamed("key", "r")
-    pairs = left.join(right, ["rule", "block"]).filter("l < r")
+    keyed = key_index(records, rules)
+    sizes = keyed.groupBy("rule", "block").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+    pairs = _paired(keyed, sizes if max_block is None else sizes.filter(F.col("n") <= max_block))
     return pairs.groupBy("l", "r").agg(F.array_join(F.array_sort(F.collect_set("rule")), ",").alias("rules"))
 
 
@@ -63,10 +117,10 @@ def decide(score: Column, *, auto: float = 0.995, review: float = 0.80, enabled:
 
 
 def score_band(score: Column) -> Column:
-    """Three fine bands above 0.99; below it steps of 0.05, whose last label is 0.94-0.99."""
+    """Three fine bands from 0.99 on; below it steps of 0.05, whose last label is 0.94-0.99."""
     low = F.least(F.floor(score * 20 + 1e-9) / 20, F.lit(0.94))
     coarse = F.format_string("%.2f-%.2f", low, low + 0.05)
-    return F.when(score >= 0.999, "0.999-1.0").when(score >= 0.995, "0.995-0.999").when(score >= 0.99, "0.99-0.995").otherwise(coarse)
+    return F.when(score >= 0.999, "0.999+").when(score >= 0.995, "0.995-0.999").when(score >= 0.99, "0.990-0.995").otherwise(coarse)
 
 
 def precision_by_band(decisions: DataFrame, *, min_decisions: int = 500, min_precision: float = 0.999) -> DataFrame:
@@ -100,9 +154,12 @@ def bake_off(claims: DataFrame, gold: DataFrame) -> DataFrame:
     )
 
 
-def deterministic_matches(records: DataFrame, rules: dict[str, tuple[Column, float]], max_block: int = MAX_BLOCK) -> DataFrame:
-    """(l, r, rule, confidence): the surest rule of each pair that shares a key; of equals the rule named first."""
-    pairs = candidate_pairs(records, {n: c for n, (c, _) in rules.items()}, max_block)
+def deterministic_matches(records: DataFrame, rules: dict[str, tuple[Column, float]]) -> DataFrame:
+    """(l, r, rule, confidence): the surest rule of each pair that shares a key; of equals the rule named first.
+
+    No block is too large here: large ones are dealt in parts.
+    """
+    pairs = candidate_pairs(records, {n: c for n, (c, _) in rules.items()}, None)
     best = F.array(*[F.when(F.array_contains(F.split("rules", ","), n), F.struct(F.lit(x).alias("c"), F.lit(-k).alias("k"), F.lit(n).alias("n"))) for k, (n, (_, x)) in enumerate(rules.items())])
     won = F.array_max(best)
     return pairs.select("l", "r", won["n"].alias("rule"), won["c"].alias("confidence"))
@@ -127,3 +184,62 @@ def term_frequencies(records: DataFrame, column: str) -> DataFrame:
     values = records.select(F.nullif(F.col(column).cast("string"), F.lit("")).alias("value")).filter("value is not null")
     total = max(1, values.count())
     return values.groupBy("value").agg(F.count(F.lit(1)).alias("n")).withColumn("share", F.col("n") / total)
+
+
+def missed_pairs(pairs: DataFrame, truth: DataFrame) -> DataFrame:
+    """The true pairs (l, r) that blocking does not make."""
+    return truth.select("l", "r").join(pairs.select("l", "r"), ["l", "r"], "left_anti")
+
+
+def reduction_ratio(records: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(records, pairs_generated, pairs_all, reduction_ratio): the share of all pairs that blocking leaves out."""
+    counted = records.agg(F.count(F.lit(1)).alias("records")).crossJoin(pairs.agg(F.count(F.lit(1)).alias("pairs_generated")))  # one row each
+    every = F.expr("records * (records - 1) div 2")
+    ratio = F.when(F.col("pairs_all") == 0, 0.0).otherwise(1 - F.col("pairs_generated") / F.col("pairs_all"))
+    return counted.withColumn("pairs_all", every).withColumn("reduction_ratio", ratio)
+
+
+def destroyed_records(precision: Column, merges: Column) -> Column:
+    """How many records that many merges destroy at a precision."""
+    return (1.0 - precision) * merges
+
+
+def f1(precision: Column, recall: Column) -> Column:
+    return F.coalesce(F.try_divide(2 * precision * recall, precision + recall), F.lit(0.0))
+
+
+def bands(scores: DataFrame, column: str = "score") -> DataFrame:
+    """(band, n) of the scores."""
+    return scores.filter(F.col(column).isNotNull()).groupBy(score_band(F.col(column)).alias("band")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def promotion_report(decisions: DataFrame, *, min_decisions: int = 500, min_precision: float = 0.999) -> DataFrame:
+    """(band, decisions, precision, verdict, reason) of every band, best first; without a decision one HOLD row."""
+    found = precision_by_band(decisions, min_decisions=min_decisions, min_precision=min_precision)
+    n, p = F.col("decisions"), F.col("precision")
+    few = F.format_string(f"%s: only %d adjudicated decisions, need {min_decisions}", "band", n)
+    lost = F.round(destroyed_records(p, F.lit(100_000)), 0).cast("bigint")
+    low = F.format_string(f"%s: measured precision %.5f is below {min_precision:.5f}: %d destroyed records per 100000 merges", "band", p, lost)
+    good = F.format_string("%s: precision %.5f over %d decisions", "band", p, n)
+    return found.withColumn("reason", F.when(n < min_decisions, few).when(p < min_precision, low).otherwise(good))
+
+
+def precision_at_recall(scored: DataFrame, target: float) -> DataFrame:
+    """(threshold, precision) at the highest score whose recall reaches ``target``; ``scored`` has id, score and label.
+
+    Rows are counted by score first; within the decisive score they go by id. The histogram of distinct scores is summed
+    by a window over score blocks, so no task sorts all rows: scores are cut into 4096 ranges, whose totals precede.
+    """
+    block = F.floor(F.col("score") * 4096)
+    rows = scored.select(block.alias("block"), "score", "id", F.col("label").cast("int").alias("y"))
+    totals = rows.groupBy("block").agg(F.count(F.lit(1)).alias("n"), F.sum("y").alias("p"))
+    above = Window.orderBy(F.desc("block")).rowsBetween(Window.unboundedPreceding, -1)  # 4097 rows at most
+    before = totals.select("block", F.coalesce(F.sum("n").over(above), F.lit(0)).alias("n0"), F.coalesce(F.sum("p").over(above), F.lit(0)).alias("p0"))
+    everything = totals.agg(F.sum("n").alias("all"), F.sum("p").alias("positives"))
+    inside = Window.partitionBy("block").orderBy(F.desc("score"), "id").rowsBetween(Window.unboundedPreceding, 0)
+    run = rows.join(F.broadcast(before), "block").withColumns(
+        {"n": F.col("n0") + F.count(F.lit(1)).over(inside), "p": F.col("p0") + F.sum("y").over(inside)}
+    )
+    hit = run.join(F.broadcast(everything)).filter((F.col("positives") > 0) & (F.col("p") / F.col("positives") >= target))
+    won = hit.agg(F.min_by(F.struct("score", (F.col("p") / F.col("n")).alias("precision")), "n").alias("w"))
+    return won.select(F.coalesce("w.score", F.lit(1.0)).alias("threshold"), F.coalesce("w.precision", F.lit(0.0)).alias("precision"))

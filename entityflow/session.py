@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -40,3 +41,10 @@ def shared_dir(spark: SparkSession) -> str:
         folder = "file://" + tempfile.mkdtemp(prefix="entityflow-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
+
+
+def materialize(df: DataFrame, what: str) -> DataFrame:
+    """Write ``df`` once as Parquet in the shared folder and read it back: cuts the lineage, survives a lost executor."""
+    path = f"{shared_dir(df.sparkSession)}/{what}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
