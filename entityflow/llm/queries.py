@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from entityflow.llm import chat, decontaminate, langid, licenses, mixing, neardup, quality_model, quality_rules, sharding, substrings
+from entityflow.llm import chat, decontaminate, langid, licenses, mixing, neardup, oracles, quality_model, quality_rules, sharding, substrings
 from entityflow.llm.common import materialize
 
 
@@ -89,4 +89,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(oracles.SQL)
