@@ -585,14 +585,6 @@ def deterministic_key_index(spark, sf_dir):
     return matching.key_index(text.normalize_record(_people(spark, sf_dir)), {n: c for n, (c, _) in matching.deterministic_rules().items()})
 
 
-@_query(None)
-def match_people(spark, sf_dir):
-    """Deterministic rules, five blocking rules, EM, scores and guarded clusters of the people."""
-    from entityflow.plans.pipeline import match
-
-    return match(_people(spark, sf_dir).drop("key", "p")).clusters
-
-
 _TWO = ("company_and_first_initial", "email_local_part")
 _TWO_KEYS = "SELECT key, 'company_and_first_initial' AS rule, normalized_company || '|' || left(first_name, 1) AS block FROM people UNION ALL SELECT key, 'email_local_part', split_part(email, '@', 1) FROM people"
 _TWO_PAIRS = f"""{_PEOPLE}, k AS ({_TWO_KEYS}), z AS (SELECT rule, block FROM k WHERE block IS NOT NULL GROUP BY 1, 2 HAVING count(*) BETWEEN 2 AND {_MAX_BLOCK}), u AS (SELECT k.* FROM k JOIN z USING (rule, block)),

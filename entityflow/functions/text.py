@@ -159,17 +159,21 @@ def jaro(a: str, b: str) -> float:
 
 
 def _jaro_winkler(a: pa.Array, b: pa.Array) -> pa.Array:
+    known: dict[tuple, float | None] = {}  # equal pairs of a batch are compared once
     out = []
-    for x, y in zip(a.to_pylist(), b.to_pylist(), strict=True):
-        if x is None or y is None:
-            out.append(None)
-            continue
-        j = jaro(x, y)
-        same = next((k for k in range(min(4, len(x), len(y))) if x[k] != y[k]), min(4, len(x), len(y)))
-        out.append(j + 0.1 * same * (1 - j) if j >= 0.7 else j)
+    for pair in zip(a.to_pylist(), b.to_pylist(), strict=True):
+        if pair not in known:
+            known[pair] = None if None in pair else boosted_jaro(*pair)
+        out.append(known[pair])
     return pa.array(out, pa.float64())
 
 
+def boosted_jaro(x: str, y: str) -> float:
+    j = jaro(x, y)
+    same = next((k for k in range(min(4, len(x), len(y))) if x[k] != y[k]), min(4, len(x), len(y)))
+    return j + 0.1 * same * (1 - j) if j >= 0.7 else j
+
+
 _jaro_winkler.__annotations__ = {"a": pa.Array, "b": pa.Array, "return": pa.Array}
 
 

@@ -34,11 +34,11 @@ class Level:
     def weight(self) -> float:
         return math.log2(max(self.m, _LEAST) / max(self.u, _LEAST))
 
-    def reached(self, a: Column, b: Column) -> Column:
+    def reached(self, a: Column, b: Column, similarity: Column) -> Column:
         local = lambda c: F.split_part(c, F.lit("@"), F.lit(1))
         return {
             "exact": lambda: a == b,
-            "jw": lambda: jaro_winkler(a, b) >= self.at,
+            "jw": lambda: similarity >= self.at,
             "token_set": lambda: token_set_ratio(a, b) >= self.at,
             "local_part": lambda: local(a) == local(b),
             "else": lambda: F.lit(True),
@@ -53,9 +53,11 @@ class Comparison:
 
     def level(self, a: Column, b: Column) -> Column:
         """The first level that is reached; ``NULL`` where a side is null or empty."""
+        # One expression for all levels, so that Python compares a pair once.
+        similarity = jaro_winkler(a, b) if any(x.kind == "jw" for x in self.levels) else F.lit(0.0)
         out = F.when(F.nullif(a, F.lit("")).isNull() | F.nullif(b, F.lit("")).isNull(), NULL)
         for k, level in enumerate(self.levels[:-1]):
-            out = out.when(level.reached(a, b), k)
+            out = out.when(level.reached(a, b, similarity), k)
         return out.otherwise(len(self.levels) - 1)
 
 
