@@ -287,17 +287,26 @@ def _only_stars(edges: DataFrame) -> bool:
     return ends.filter((F.col("ups") > 1) | (F.col("ups") == 1) & (F.col("n") > 1)).isEmpty()
 
 
-def _stars(roots: DataFrame) -> DataFrame:
-    """Known components as links to their roots."""
-    return roots.filter("h != root").select(F.col("h").alias("a"), F.col("root").alias("b"))
+def _merged(roots: DataFrame, more: DataFrame) -> DataFrame:
+    """(h, root) of known components that further links join: only the links between their roots go through rounds."""
+    links = _rooted(more, roots).select(F.col("a_root").alias("a"), F.col("b_root").alias("b")).distinct()
+    top = components(links)
+    moved = roots.join(top.select(F.col("h").alias("root"), F.col("root").alias("top")), "root", "left")
+    fresh = top.join(roots, "h", "left_anti")
+    return moved.select("h", F.coalesce("top", "root").alias("root")).unionByName(fresh.select("h", "root"))
 
 
-def _across(pairs: DataFrame, roots: DataFrame) -> DataFrame:
-    """The pairs (a, b, ...) whose texts are in different components."""
-    columns = pairs.columns
+def _rooted(pairs: DataFrame, roots: DataFrame) -> DataFrame:
+    """The pairs (a, b, ...) with a_root and b_root; a text without a link is its own root."""
     for side in ("a", "b"):
         pairs = pairs.join(roots.select(F.col("h").alias(side), F.col("root").alias(f"{side}_root")), side, "left")
-    return pairs.filter(F.coalesce("a_root", "a") != F.coalesce("b_root", "b")).select(*columns)
+        pairs = pairs.withColumn(f"{side}_root", F.coalesce(f"{side}_root", side))
+    return pairs
+
+
+def _across(pairs: DataFrame, roots: DataFrame) -> DataFrame:
+    """The pairs (a, b, ...) whose texts are in different components."""
+    return _rooted(pairs, roots).filter("a_root != b_root").select(*pairs.columns)
 
 
 def _mixed_buckets(buckets: DataFrame, roots: DataFrame, size: Column) -> tuple[DataFrame, DataFrame]:
@@ -424,7 +433,8 @@ def classes(documents: DataFrame, *, threshold: float = SIMILARITY) -> tuple[Dat
     )
     texts = materialize(texts, "texts")
     members = texts.filter(F.col("bands").isNotNull()).select("h", F.posexplode("bands").alias("band", "key"))
-    lead = _leaders(members, F.xxhash64("h"))
+    # The order of the leaders is that of the components' labels: links to leaders are nearly stars from the start.
+    lead = _leaders(members, F.col("h"))
     led = materialize(members.join(lead, "key"), "buckets")
     discard(lead)
     links = materialize(_verified(_pairs(led), texts, documents, threshold), "first-links")
@@ -439,7 +449,7 @@ def classes(documents: DataFrame, *, threshold: float = SIMILARITY) -> tuple[Dat
     discard(crowd, lead)
     more = materialize(_verified(apart, texts, documents, threshold), "further-links")
     if not more.isEmpty():
-        roots = materialize(components(_stars(roots).unionByName(more)), "further-classes")
+        roots = materialize(_merged(roots, more), "further-classes")
     # What still shares a bucket but no component, compared in blocks: first each text with its likeliest partner ...
     buckets = led.select("key", "h")
     placed, mixed = _mixed_buckets(buckets, roots, F.lit(0))
@@ -449,7 +459,7 @@ def classes(documents: DataFrame, *, threshold: float = SIMILARITY) -> tuple[Dat
     rated = likely.select(F.least("h", "other").alias("a"), F.greatest("h", "other").alias("b"), "e").dropDuplicates(["a", "b"])
     more = materialize(_settled(materialize(rated, "likely-pairs"), texts, documents, threshold), "likely-links")
     if not more.isEmpty():
-        roots = materialize(components(_stars(roots).unionByName(more)), "likely-classes")
+        roots = materialize(_merged(roots, more), "likely-classes")
     # ... then, exactly by their shingles, all texts with a likely partner that are still apart.
     buckets = materialize(buckets.join(likely.select("h"), "h", "left_semi"), "rest-buckets")
     placed, mixed = _mixed_buckets(buckets, roots, F.lit(0))
@@ -459,7 +469,7 @@ def classes(documents: DataFrame, *, threshold: float = SIMILARITY) -> tuple[Dat
     more = materialize(_blocks(placed, mixed, "cells", _linked(threshold), "a binary, b binary"), "rest-links")
     discard(led, buckets, cells)
     if not more.isEmpty():
-        roots = components(_stars(roots).unionByName(more))
+        roots = _merged(roots, more)
     own = texts.select("h", "id", "n").join(roots, "h", "left").withColumn("root", F.coalesce("root", "h"))
     own = materialize(own, "classes")
     label = own.groupBy("root").agg(F.min("id").alias("class_id"), F.sum("n").alias("class_size"))
