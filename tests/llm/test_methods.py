@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from entityflow.llm import chat, decontaminate, langid, mixing, quality_model, quality_rules, sharding, substrings
+from entityflow.llm import chat, decontaminate, langid, mixing, neardup, quality_model, quality_rules, sharding, substrings
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
@@ -259,3 +259,11 @@ def test_document_keys_tell_documents_apart(spark):
     data = F.coalesce(F.col("text"), F.lit("")).cast("binary")
     rows = docs.select("doc_id", "text", substrings.document_key(docs, data).alias("k")).collect()
     assert len({r.k for r in rows}) == 3
+
+
+def test_further_links_join_known_components(spark):
+    key = lambda n: bytearray(bytes([n]) * 16)
+    roots = spark.createDataFrame([(key(h), key(r)) for h, r in ((1, 1), (2, 1), (3, 1), (5, 5), (6, 5))], "h binary, root binary")
+    more = spark.createDataFrame([(key(a), key(b)) for a, b in ((3, 6), (6, 9), (10, 11))], "a binary, b binary")
+    found = sorted((row.h[0], row.root[0]) for row in neardup._merged(roots, more).collect())
+    assert found == [(1, 1), (2, 1), (3, 1), (5, 1), (6, 1), (9, 1), (10, 10), (11, 10)]
