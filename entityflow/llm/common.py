@@ -47,12 +47,17 @@ def shared_dir(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
-def materialize(df: DataFrame, what: str) -> DataFrame:
+def materialize(df: DataFrame, what: str, rows: int | None = None, per_file: int = 1 << 17) -> DataFrame:
     """Write ``df`` once as Parquet in the shared folder and read it back: cuts the lineage, survives a lost executor.
 
-    What earlier tables were shuffled by is of no more use then; the driver's collector lets Spark delete it.
+    With a bound of its rows it goes to a file for each ``per_file`` rows, and to one for each core at least, not to one
+    for each shuffle partition. Give none where ``df`` ends in a join: a task that takes several partitions of a
+    sort-merge join keeps the memory of every one. What earlier tables were shuffled by is of no more use then; the driver's
+    collector lets Spark delete it.
     """
     spark = df.sparkSession
+    if rows is not None:
+        df = df.coalesce(max(spark.sparkContext.defaultParallelism, -(-rows // per_file)))
     gc.collect()
     spark.sparkContext._jvm.System.gc()
     path = f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"

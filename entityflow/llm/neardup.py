@@ -56,6 +56,8 @@ MARGIN = 0.15
 #: Texts, and bytes of shingles, of a bucket that are dealt together when its components are compared.
 PART = 256
 PART_BYTES = 32 << 20
+#: Texts whose shingles go to one file.
+TEXTS_PER_FILE = 1 << 12
 #: Columns of a shingle matrix at a time.
 SLICE = 4096
 
@@ -182,10 +184,10 @@ def sketches(documents: DataFrame) -> DataFrame:
     return docs.select("doc_id", "h", F.col("s.bands").alias("bands"), F.col("s.bytes8").alias("bytes8"))
 
 
-def _leaders(members: DataFrame, order: Column) -> DataFrame:
+def _leaders(members: DataFrame, order: Column, rows: int) -> DataFrame:
     """(key, leader, n) of the buckets with more than one text, written: joins to it can be split where a key is hot."""
     lead = members.groupBy("key").agg(F.min(F.struct(order.alias("o"), "h")).alias("l"), F.count(F.lit(1)).alias("n"))
-    return materialize(lead.filter(F.col("n") > 1).select("key", F.col("l.h").alias("leader"), "n"), "leaders")
+    return materialize(lead.filter(F.col("n") > 1).select("key", F.col("l.h").alias("leader"), "n"), "leaders", rows)
 
 
 def _pairs(led: DataFrame) -> DataFrame:
@@ -219,8 +221,8 @@ def _verified(pairs: DataFrame, texts: DataFrame, documents: DataFrame, threshol
     return _settled(rated, texts, documents, threshold)
 
 
-def _cells(wanted: DataFrame, texts: DataFrame, documents: DataFrame) -> DataFrame:
-    """(h, cells) of the wanted texts (h), written: the sorted hashes of their shingles, one for each copy of a shingle."""
+def _cells(wanted: DataFrame, texts: DataFrame, documents: DataFrame, rows: int) -> DataFrame:
+    """(h, cells) of the wanted texts (h), ``rows`` at most, written: the sorted hashes of their shingles, one a copy."""
     # One row of each wanted text: its document with the smallest id, of which equal rows may repeat.
     firsts = texts.join(wanted, "h", "left_semi").select("h", F.col("id").alias("first"))
     known = only(documents, "doc_id", "text").withColumn("h", F.unhex(F.md5("text")))
@@ -232,16 +234,17 @@ def _cells(wanted: DataFrame, texts: DataFrame, documents: DataFrame) -> DataFra
 
     cells.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
     known = known.dropDuplicates(["h"]).select("h", F.arrow_udf(cells, "binary")("text").alias("cells"))
-    return materialize(known, "shingles")
+    return materialize(known, "shingles", rows, TEXTS_PER_FILE)
 
 
 def _settled(rated: DataFrame, texts: DataFrame, documents: DataFrame, threshold: float) -> DataFrame:
     """The rated pairs (a, b, e) whose similarity reaches the threshold, by their shingles where e is too near to it."""
     sure = rated.filter(F.col("e") >= threshold + MARGIN).select("a", "b")
     unsure = rated.filter(F.col("e") < threshold + MARGIN).select("a", "b")
-    if unsure.isEmpty():
+    number = unsure.count()
+    if not number:
         return sure
-    known = _cells(unsure.select(F.explode(F.array("a", "b")).alias("h")).distinct(), texts, documents)
+    known = _cells(unsure.select(F.explode(F.array("a", "b")).alias("h")).distinct(), texts, documents, 2 * number)
     pair = unsure.join(known.select(F.col("h").alias("a"), F.col("cells").alias("x")), "a")
     pair = pair.join(known.select(F.col("h").alias("b"), F.col("cells").alias("y")), "b")
 
@@ -260,20 +263,22 @@ def _settled(rated: DataFrame, texts: DataFrame, documents: DataFrame, threshold
     return sure.unionByName(linked.filter(F.col("s") >= threshold).select("a", "b"))
 
 
-def components(links: DataFrame) -> DataFrame:
+def components(links: DataFrame, rows: int | None = None) -> DataFrame:
     """(h, root) of every node with a link, by rounds of large-star and small-star until only stars are left.
 
-    Each node's least neighbour is written before the links join it, so that Spark can split the links of a hub.
+    ``rows`` is a bound of the links, for the number of files. Each node's least neighbour is written before the links
+    join it, so that Spark can split the links of a hub.
     """
-    edges = materialize(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u != v").distinct(), "links")
+    edges = materialize(links.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u != v").distinct(), "links", rows)
     while not _only_stars(edges):
+        ends = 2 * edges.count()
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        near = materialize(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "least")
+        near = materialize(both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m")), "least", ends)
         large = both.join(near, "u").filter(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = materialize(large.filter("u != v").distinct(), "large-star")
-        least = materialize(large.groupBy("u").agg(F.min("v").alias("m")), "least")
+        large = materialize(large.filter("u != v").distinct(), "large-star", ends)
+        least = materialize(large.groupBy("u").agg(F.min("v").alias("m")), "least", ends)
         small = large.join(least, "u").filter("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        done = materialize(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "links")
+        done = materialize(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "links", 2 * ends)
         discard(edges, near, large, least)
         edges = done
     roots = edges.select(F.col("v").alias("h")).distinct()
@@ -287,10 +292,10 @@ def _only_stars(edges: DataFrame) -> bool:
     return ends.filter((F.col("ups") > 1) | (F.col("ups") == 1) & (F.col("n") > 1)).isEmpty()
 
 
-def _merged(roots: DataFrame, more: DataFrame) -> DataFrame:
-    """(h, root) of known components that further links join: only the links between their roots go through rounds."""
+def _merged(roots: DataFrame, more: DataFrame, rows: int | None = None) -> DataFrame:
+    """(h, root) of known components that further links (``rows`` at most) join: only those between their roots go through rounds."""
     links = _rooted(more, roots).select(F.col("a_root").alias("a"), F.col("b_root").alias("b")).distinct()
-    top = components(links)
+    top = components(links, rows)
     moved = roots.join(top.select(F.col("h").alias("root"), F.col("root").alias("top")), "root", "left")
     fresh = top.join(roots, "h", "left_anti")
     return moved.select("h", F.coalesce("top", "root").alias("root")).unionByName(fresh.select("h", "root"))
@@ -309,7 +314,7 @@ def _across(pairs: DataFrame, roots: DataFrame) -> DataFrame:
     return _rooted(pairs, roots).filter("a_root != b_root").select(*pairs.columns)
 
 
-def _mixed_buckets(buckets: DataFrame, roots: DataFrame, size: Column) -> tuple[DataFrame, DataFrame]:
+def _mixed_buckets(buckets: DataFrame, roots: DataFrame, size: Column, rows: int) -> tuple[DataFrame, DataFrame]:
     """(members with their root, (key, most, lefts, rights)) of the buckets that hold several components.
 
     ``most`` is the component with most members; ``lefts`` is the number of parts of the other components' members,
@@ -327,7 +332,7 @@ def _mixed_buckets(buckets: DataFrame, roots: DataFrame, size: Column) -> tuple[
         parts(F.col("n") - F.col("t.n"), F.col("w") - F.col("t.w")).alias("lefts"),
         parts(F.col("n"), F.col("w")).alias("rights"),
     )
-    return placed, materialize(mixed, "mixed-buckets")
+    return placed, materialize(mixed, "mixed-buckets", rows)
 
 
 def _blocks(placed: DataFrame, mixed: DataFrame, value: str, compare, schema: str) -> DataFrame:
@@ -428,48 +433,52 @@ def _linked(threshold: float):
 def classes(documents: DataFrame, *, threshold: float = SIMILARITY) -> tuple[DataFrame, DataFrame]:
     """((doc_id, h) of the documents, (h, id, n, class_id) of the distinct texts); id is a text's smallest doc_id."""
     drawn = materialize(sketches(documents), "sketches")
+    number = drawn.count()
     texts = drawn.filter(F.col("h").isNotNull()).groupBy("h").agg(
         F.min("doc_id").alias("id"), F.count(F.lit(1)).alias("n"), F.first("bands").alias("bands"), F.first("bytes8").alias("bytes8")
     )
-    texts = materialize(texts, "texts")
+    texts = materialize(texts, "texts", number)
+    number = texts.count()
     members = texts.filter(F.col("bands").isNotNull()).select("h", F.posexplode("bands").alias("band", "key"))
     # The order of the leaders is that of the components' labels: links to leaders are nearly stars from the start.
-    lead = _leaders(members, F.col("h"))
+    lead = _leaders(members, F.col("h"), BANDS * number)
     led = materialize(members.join(lead, "key"), "buckets")
+    in_buckets = led.count()
     discard(lead)
     links = materialize(_verified(_pairs(led), texts, documents, threshold), "first-links")
-    roots = materialize(components(links), "first-classes")
+    roots = materialize(components(links, links.count()), "first-classes", number)
     # Finer buckets of those with more than two texts.
     crowd = led.filter(F.col("n") > 2).select("h", "band", F.col("key").alias("coarse")).join(texts.select("h", "bytes8"), "h")
     at = lambda more: F.lit(BANDS * ROWS + 1) + (F.col("band") * 7) % (COORDINATES - BANDS * ROWS - more)
     keys = [F.xxhash64(F.lit(k), "coarse", F.substring(F.col("bytes8"), at(more), F.lit(more))) for k, more in enumerate(FINER)]
     crowd = materialize(crowd.select("h", F.explode(F.array(*keys)).alias("key")), "finer-buckets")
-    lead = _leaders(crowd, F.xxhash64("key", "h"))
+    lead = _leaders(crowd, F.xxhash64("key", "h"), len(FINER) * in_buckets)
     apart = materialize(_across(_pairs(crowd.join(lead, "key")), roots), "further-pairs")
     discard(crowd, lead)
     more = materialize(_verified(apart, texts, documents, threshold), "further-links")
-    if not more.isEmpty():
-        roots = materialize(_merged(roots, more), "further-classes")
+    if found := more.count():
+        roots = materialize(_merged(roots, more, found), "further-classes")
     # What still shares a bucket but no component, compared in blocks: first each text with its likeliest partner ...
     buckets = led.select("key", "h")
-    placed, mixed = _mixed_buckets(buckets, roots, F.lit(0))
+    placed, mixed = _mixed_buckets(buckets, roots, F.lit(0), in_buckets)
     signed = placed.join(texts.select("h", "bytes8"), "h")
     likely = _blocks(signed, mixed, "bytes8", _likeliest(threshold), "h binary, other binary, e double")
-    likely = materialize(likely.groupBy("h").agg(F.max(F.struct("e", "other")).alias("p")).select("h", "p.*"), "likeliest")
+    likely = materialize(likely.groupBy("h").agg(F.max(F.struct("e", "other")).alias("p")).select("h", "p.*"), "likeliest", number)
     rated = likely.select(F.least("h", "other").alias("a"), F.greatest("h", "other").alias("b"), "e").dropDuplicates(["a", "b"])
-    more = materialize(_settled(materialize(rated, "likely-pairs"), texts, documents, threshold), "likely-links")
-    if not more.isEmpty():
-        roots = materialize(_merged(roots, more), "likely-classes")
+    more = _settled(materialize(rated, "likely-pairs", number), texts, documents, threshold)
+    more = materialize(more, "likely-links")
+    if found := more.count():
+        roots = materialize(_merged(roots, more, found), "likely-classes")
     # ... then, exactly by their shingles, all texts with a likely partner that are still apart.
     buckets = materialize(buckets.join(likely.select("h"), "h", "left_semi"), "rest-buckets")
-    placed, mixed = _mixed_buckets(buckets, roots, F.lit(0))
-    cells = _cells(placed.join(mixed, "key", "left_semi").select("h").distinct(), texts, documents)
+    placed, mixed = _mixed_buckets(buckets, roots, F.lit(0), in_buckets)
+    cells = _cells(placed.join(mixed, "key", "left_semi").select("h").distinct(), texts, documents, number)
     buckets = materialize(buckets.join(mixed, "key", "left_semi").join(cells, "h"), "rest-members")
-    placed, mixed = _mixed_buckets(buckets, roots, F.octet_length("cells"))
+    placed, mixed = _mixed_buckets(buckets, roots, F.octet_length("cells"), in_buckets)
     more = materialize(_blocks(placed, mixed, "cells", _linked(threshold), "a binary, b binary"), "rest-links")
     discard(led, buckets, cells)
-    if not more.isEmpty():
-        roots = _merged(roots, more)
+    if found := more.count():
+        roots = _merged(roots, more, found)
     own = texts.select("h", "id", "n").join(roots, "h", "left").withColumn("root", F.coalesce("root", "h"))
     own = materialize(own, "classes")
     label = own.groupBy("root").agg(F.min("id").alias("class_id"), F.sum("n").alias("class_size"))
