@@ -234,3 +234,28 @@ def test_matching_end_to_end(spark):
     assert len(several) > 15 and sum(len({person[n] for n in s}) == 1 for s in several) >= 0.8 * len(several)
     chained = pipeline.match(testing.chain_records(spark, 8))
     assert clusters.largest(chained.clusters).first()[0] <= 10
+
+
+def _plan(frame):
+    return frame._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_pairs_are_neither_grouped_nor_shuffled(spark):
+    rows = spark.range(40).select(F.col("id").alias("key"), (F.col("id") % 4).alias("a"), (F.col("id") % 6).alias("b"))
+    pairs = matching.candidate_pairs(rows, {"a": matching.composite(F.col("a")), "b": matching.composite(F.col("b"))})
+    assert "Aggregate" not in _plan(pairs)
+    want = {(x, y, ",".join(n for n, k in (("a", 4), ("b", 6)) if x % k == y % k)) for x in range(40) for y in range(x + 1, 40)}
+    assert sorted(map(tuple, pairs.collect())) == sorted(w for w in want if w[2])
+
+
+def test_keys_of_several_blocks_are_paired_once(spark, monkeypatch):
+    rows = [(1, "x", "p"), (1, "y", "p"), (1, "y", "q"), (2, "x", "q"), (2, "y", "r"), (3, "y", None), (4, "z", "p"), (None, "x", "p"), (5, "w", "s")]
+    frame = spark.createDataFrame(rows, "key long, a string, b string")
+    monkeypatch.setattr(matching, "PART", 2)
+    pairs = matching.candidate_pairs(frame, {"a": F.col("a"), "b": F.col("b")})
+    assert sorted(map(tuple, pairs.collect())) == [(1, 2, "a,b"), (1, 3, "a"), (1, 4, "b"), (2, 3, "a")]
+    carried = matching.candidate_pairs(frame, {"a": F.col("a"), "b": F.col("b")}, carry=["a"]).select("l", "r", "l_a", "r_a")
+    values = {k: [x for key, x, _ in rows if key == k] for k in range(1, 6)}
+    assert sorted(map(tuple, carried.collect())) == sorted((l, r, x, y) for l, r in [(1, 2), (1, 3), (1, 4), (2, 3)] for x in values[l] for y in values[r])
+    within = matching.candidate_pairs(frame, {"a": F.col("a"), "b": F.col("b")}, within="b").select("l", "r", "l_b")
+    assert sorted(map(tuple, within.collect())) == [(1, 2, "q"), (1, 4, "p"), (1, 4, "p")]
