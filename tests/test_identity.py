@@ -259,3 +259,11 @@ def test_keys_of_several_blocks_are_paired_once(spark, monkeypatch):
     assert sorted(map(tuple, carried.collect())) == sorted((l, r, x, y) for l, r in [(1, 2), (1, 3), (1, 4), (2, 3)] for x in values[l] for y in values[r])
     within = matching.candidate_pairs(frame, {"a": F.col("a"), "b": F.col("b")}, within="b").select("l", "r", "l_b")
     assert sorted(map(tuple, within.collect())) == [(1, 2, "q"), (1, 4, "p"), (1, 4, "p")]
+
+
+def test_sure_pairs_are_not_grouped(spark):
+    rows = spark.range(12).select(F.col("id").alias("key"), (F.col("id") % 4).cast("string").alias("a"), (F.col("id") % 6).cast("string").alias("b"))
+    found = matching.deterministic_matches(rows, {"a": (F.col("a"), 0.9), "b": (F.col("b"), 0.95)})
+    assert "Aggregate" not in _plan(found)
+    want = [(x, y, *(("b", 0.95) if x % 6 == y % 6 else ("a", 0.9))) for x in range(12) for y in range(x + 1, 12) if x % 6 == y % 6 or x % 4 == y % 4]
+    assert sorted(map(tuple, found.collect())) == want
