@@ -5,12 +5,13 @@ from __future__ import annotations
 from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import takewhile
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from entityflow.operators.graph import components, size_distribution
+from entityflow.operators.graph import components, inside, size_distribution
 from entityflow.session import materialize
 
 Edge = tuple[str, str, float]
@@ -67,20 +68,74 @@ def parts(members: set[str], edges: list[Edge], threshold: float) -> list[set[st
     return sorted(out, key=lambda p: (-len(p), min(p)))
 
 
+def bridges(members: set[str], edges: list[Edge], threshold: float) -> dict[int, int]:
+    """The numbers of the strong edges whose loss divides a part, with the size of one of its sides."""
+    near = defaultdict(list)
+    for k, (a, b, s) in enumerate(edges):
+        if s >= threshold and a != b:
+            near[a].append((b, k))
+            near[b].append((a, k))
+    if len(near) == len(members) and min(map(len, near.values()), default=0) >= max(2, len(members) / 2) and len({frozenset(e[:2]) for e in edges}) == len(edges):
+        return {}  # with half of the members as neighbours of each, no single edge holds a side
+    order, low, size, found = {}, {}, {}, {}
+    for top in near:
+        if top in order:
+            continue
+        order[top] = low[top] = len(order)
+        size[top] = 1
+        path = [(top, -1, iter(near[top]))]
+        while path:
+            x, via, rest = path[-1]
+            for y, k in rest:
+                if k == via:
+                    continue
+                if y in order:
+                    low[x] = min(low[x], order[y])
+                else:
+                    order[y] = low[y] = len(order)
+                    size[y] = 1
+                    path.append((y, k, iter(near[y])))
+                    break
+            else:
+                path.pop()
+                if path:
+                    up = path[-1][0]
+                    low[up], size[up] = min(low[up], low[x]), size[up] + size[x]
+                    if low[x] > order[up]:
+                        found[via] = size[x]
+    return found
+
+
 def weakest_cut(members: set[str], edges: list[Edge], cfg: ClusterConfig) -> list[set[str]]:
     """The parts after cutting the weakest edge that divides the members; of equally weak ones the most even cut.
 
     Where no single edge of a strength divides them, all of that strength go and the next stronger ones are tried;
-    where none is left, every member is a part.
+    where none is left, every member is a part. Only a bridge of the strong edges divides a part, and the sizes of its
+    sides come with it, so that one cut alone is made of all those of a strength.
     """
     rest = sorted(edges, key=lambda e: (e[2], e[0], e[1]))
     while rest:
-        tied = [e for e in rest if e[2] <= rest[0][2] + 1e-12]
-        cuts = (parts(members, [x for x in rest if x is not e], cfg.threshold) for e in tied)
-        cuts = [c for c in cuts if len(c) > 1]
-        if cuts:
-            return max(cuts, key=lambda c: len(c[-1]) / len(c[0]))
-        rest = rest[len(tied):]
+        tied = sum(1 for _ in takewhile(lambda e: e[2] <= rest[0][2] + 1e-12, rest))
+        whole = parts(members, rest, cfg.threshold)
+        found = bridges(members, rest, cfg.threshold)
+        home = {x: k for k, p in enumerate(whole) for x in p} if found and len(whole) > 1 else None
+        best, won = -1.0, None
+        for k in range(tied):
+            if k in found:
+                part = home[rest[k][0]] if home else 0
+                sides = [found[k], len(whole[part]) - found[k]]
+                # Parts are ordered by size: the first and last of the others are their extremes.
+                others = whole[:1] * (part > 0) + whole[1:2] * (part == 0) + whole[-1:] * (part < len(whole) - 1) + whole[-2:-1] * (0 < part == len(whole) - 1)
+                sizes = sides + [len(p) for p in others]
+            elif len(whole) > 1:
+                sizes = [len(whole[0]), len(whole[-1])]
+            else:
+                continue
+            if min(sizes) / max(sizes) > best:
+                best, won = min(sizes) / max(sizes), k
+        if won is not None:
+            return parts(members, rest[:won] + rest[won + 1 :], cfg.threshold)
+        rest = rest[tied:]
     return [{m} for m in sorted(members)]
 
 
@@ -99,13 +154,16 @@ def split(members: set[str], edges: list[Edge], cfg: ClusterConfig) -> list[set[
 def resolve_clusters(links: DataFrame, cfg: ClusterConfig = ClusterConfig(), *, nodes: DataFrame | None = None, divide: bool = True) -> DataFrame:
     """(component, node, cluster, size, verdict, was_split, review): each node's guarded cluster, named by its least node.
 
-    ``links`` has string a, b and score, each pair once. ``review`` names the guard that sends the cluster, or an
+    ``links`` has string a, b and score, each pair once; with a ``component`` they are those inside one. ``review`` names the guard that sends the cluster, or an
     original component above the size limit, to a human. A component that passes all guards stays in the JVM; a failing
     one is divided in one task, as cuts depend on each other, with its own edges alone.
     """
-    members = materialize(components(links.filter(F.col("score") >= cfg.threshold)), "members")
-    a, b = (members.select(F.col("node").alias(n), F.col("component").alias(f"c_{n}")) for n in ("a", "b"))
-    within = links.join(a, "a").join(b, "b").filter("c_a = c_b").select(F.col("c_a").alias("component"), "a", "b", "score")
+    if "component" in links.columns:
+        within = links
+        members = within.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    else:
+        members = materialize(components(links.filter(F.col("score") >= cfg.threshold)), "members")
+        within = inside(links, members)
 
     def run(key: tuple, table: pa.Table) -> pa.Table:
         edges = list(zip(*(table[c].to_pylist() for c in ("a", "b", "score")), strict=True))
@@ -139,9 +197,8 @@ def largest(clusters: DataFrame) -> DataFrame:
 
 def cohesion(members: DataFrame, links: DataFrame, threshold: float = 0.80) -> DataFrame:
     """(component, size, cohesion) of groups (node, component): the share of their pairs with a strong edge; 1 for one node."""
-    a, b = (members.select(F.col("node").alias(n), F.col("component").alias(f"c_{n}")) for n in ("a", "b"))
-    strong = links.filter(F.col("score") >= threshold).join(a, "a").join(b, "b").filter("c_a = c_b")
-    counted = strong.groupBy(F.col("c_a").alias("component")).agg(F.count(F.lit(1)).alias("n"))
+    strong = inside(links.filter(F.col("score") >= threshold), members)
+    counted = strong.groupBy("component").agg(F.count(F.lit(1)).alias("n"))
     sizes = members.groupBy("component").agg(F.count(F.lit(1)).alias("size"))
     share = F.when(F.col("size") < 2, 1.0).otherwise(F.coalesce("n", F.lit(0)) / (F.col("size") * (F.col("size") - 1) / 2))
     return sizes.join(counted, "component", "left").select("component", "size", share.alias("cohesion"))
@@ -149,8 +206,7 @@ def cohesion(members: DataFrame, links: DataFrame, threshold: float = 0.80) -> D
 
 def weakest_edges(clusters: DataFrame, links: DataFrame) -> DataFrame:
     """(cluster, weakest): the lowest score among the scored pairs of each cluster; 0 where none was scored."""
-    a, b = (clusters.select(F.col("node").alias(n), F.col("cluster").alias(f"c_{n}")) for n in ("a", "b"))
-    scored = links.join(a, "a").join(b, "b").filter("c_a = c_b").groupBy(F.col("c_a").alias("cluster")).agg(F.min("score").alias("weakest"))
+    scored = inside(links, clusters, "cluster").groupBy("cluster").agg(F.min("score").alias("weakest"))
     return clusters.select("cluster").distinct().join(scored, "cluster", "left").select("cluster", F.coalesce("weakest", F.lit(0.0)).alias("weakest"))
 
 

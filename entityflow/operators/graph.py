@@ -61,13 +61,25 @@ def pair_scores(pairs: DataFrame, links: DataFrame) -> DataFrame:
     return pairs.join(known, (low == F.col("_a")) & (high == F.col("_b")), "left").drop("_a", "_b")
 
 
-def verdicts(links: DataFrame, *, threshold: float = 0.80, max_size: int = 10, cohesion: float = 0.7, contradiction: float = 0.2) -> DataFrame:
-    """(component, size, cohesion, verdict): size, then density, then an inner pair scored as a contradiction."""
-    strong = links.filter(F.col("score") >= threshold)
-    members = materialize(components(strong), "members")
+def inside(links: DataFrame, members: DataFrame, name: str = "component") -> DataFrame:
+    """The links whose ends share a component (``name``) of the members (node, component), with it; links that bring it are such."""
+    if name in links.columns:
+        return links
+    a, b = (members.select(F.col("node").alias(n), F.col(name).alias(f"c_{n}")) for n in ("a", "b"))
+    return links.join(a, "a").join(b, "b").filter("c_a = c_b").select(F.col("c_a").alias(name), "a", "b", "score")
+
+
+def verdicts(
+    links: DataFrame, *, threshold: float = 0.80, max_size: int = 10, cohesion: float = 0.7, contradiction: float = 0.2, members: DataFrame | None = None
+) -> DataFrame:
+    """(component, size, cohesion, verdict): size, then density, then an inner pair scored as a contradiction.
+
+    ``members`` are the components of the strong links, where they are known.
+    """
+    if members is None:
+        members = materialize(components(links.filter(F.col("score") >= threshold)), "members")
     sizes = members.groupBy("component").agg(F.count(F.lit(1)).alias("size"))
-    a, b = (members.select(F.col("node").alias(n), F.col("component").alias(f"c_{n}")) for n in ("a", "b"))
-    inner = links.join(a, "a").join(b, "b").filter("c_a = c_b").groupBy(F.col("c_a").alias("component"))
+    inner = inside(links, members).groupBy("component")
     inner = inner.agg(F.count_if(F.col("score") >= threshold).alias("strong"), F.min("score").alias("weakest"))
     dense = F.col("strong") / (F.col("size") * (F.col("size") - 1) / 2)
     found = sizes.join(inner, "component").withColumn("cohesion", dense)

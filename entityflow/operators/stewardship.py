@@ -71,8 +71,10 @@ def pair_priority(score: Column) -> Column:
 
 
 def review_queue(scored: DataFrame, k: int) -> DataFrame:
-    """The ``k`` pairs that review should see first."""
-    return scored.withColumn("priority", F.round(pair_priority(F.col("score")), 6)).orderBy(F.desc("priority"), "l", "r").limit(k)
+    """The ``k`` pairs that review should see first; ``scored`` may bring its ``priority``."""
+    if "priority" not in scored.columns:
+        scored = scored.withColumn("priority", F.round(pair_priority(F.col("score")), 6))
+    return scored.orderBy(F.desc("priority"), "l", "r").limit(k)
 
 
 def unsuppressed(candidates: DataFrame, suppressed: DataFrame, key: str) -> DataFrame:

@@ -7,11 +7,13 @@ from dataclasses import replace
 import pytest
 from pyspark.sql import functions as F
 
-from entityflow import testing
+from entityflow import catalog, testing
 from entityflow.functions import text
-from entityflow.operators import clusters, graph, linkage, matching
+from entityflow.operators import clusters, graph, linkage, matching, stewardship
 from entityflow.plans import pipeline
 
+SF = "/root/testdata/sf0.01"
+
 
 @pytest.mark.parametrize(("a", "b"), [("Smith", "Smyth"), ("Schmidt", "Schmitt"), ("Catherine", "Katherine"), ("Mueller", "Muller"), ("Philips", "Filips"), ("Thompson", "Tompson")])
 def test_names_that_sound_alike(a, b):
@@ -267,3 +269,13 @@ def test_sure_pairs_are_not_grouped(spark):
     assert "Aggregate" not in _plan(found)
     want = [(x, y, *(("b", 0.95) if x % 6 == y % 6 else ("a", 0.9))) for x in range(12) for y in range(x + 1, 12) if x % 6 == y % 6 or x % 4 == y % 4]
     assert sorted(map(tuple, found.collect())) == want
+
+
+def test_scored_pairs_are_neither_grouped_nor_joined_again(spark):
+    plan = _plan(catalog.queries()["fs_score"](spark, SF))
+    assert plan.count("Join") == 3 and "Aggregate" not in plan  # both sides' rows with their blocks, and the sides of a pair
+    rows = spark.createDataFrame([("x", "x", "y", "z"), ("x", None, "y", "y"), ("", "x", "y", "y"), (None, None, None, "z")], "a string, b string, c string, d string")
+    levels = {"p": (0.7, 0.02), "q": (0.45, 0.0005)}
+    summed = F.lit(-3.5) + matching.exact_weight(F.col("a"), F.col("b"), 0.7, 0.02) + matching.exact_weight(F.col("c"), F.col("d"), 0.45, 0.0005)
+    told = matching.by_agreement({"p": (F.col("a"), F.col("b")), "q": (F.col("c"), F.col("d"))}, levels, -3.5, lambda w: w)
+    assert all(r.x == r.y for r in rows.select(told.alias("x"), summed.alias("y")).collect())
