@@ -279,3 +279,11 @@ def test_scored_pairs_are_neither_grouped_nor_joined_again(spark):
     summed = F.lit(-3.5) + matching.exact_weight(F.col("a"), F.col("b"), 0.7, 0.02) + matching.exact_weight(F.col("c"), F.col("d"), 0.45, 0.0005)
     told = matching.by_agreement({"p": (F.col("a"), F.col("b")), "q": (F.col("c"), F.col("d"))}, levels, -3.5, lambda w: w)
     assert all(r.x == r.y for r in rows.select(told.alias("x"), summed.alias("y")).collect())
+
+
+def test_fitting_aggregates_pairs_before_fields(spark):
+    rows = [(True, True, None), (True, None, None), (False, True, None), (False, False, None), (None, True, None)]
+    pairs = spark.createDataFrame(rows, "y boolean, p boolean, q boolean")
+    fitted = matching.fit_exact(pairs, {"p": F.col("p"), "q": F.col("q")}, F.col("y"))
+    assert _plan(fitted).index("Generate") < _plan(fitted).index("Aggregate")
+    assert [tuple(r) for r in fitted.collect()] == [("p", 2 / 3, 0.5)]
