@@ -287,3 +287,17 @@ def test_fitting_aggregates_pairs_before_fields(spark):
     fitted = matching.fit_exact(pairs, {"p": F.col("p"), "q": F.col("q")}, F.col("y"))
     assert _plan(fitted).index("Generate") < _plan(fitted).index("Aggregate")
     assert [tuple(r) for r in fitted.collect()] == [("p", 2 / 3, 0.5)]
+
+
+def test_recall_needs_no_candidates(spark):
+    rows = [(1, "x", "p"), (1, "y", "p"), (2, "y", "q"), (3, "x", "p"), (4, "z", None), (5, "z", "s"), (6, "w", "t"), *[(k, "big", None) for k in range(7, 12)]]
+    frame = spark.createDataFrame(rows, "key long, a string, b string")
+    rules = {"b": F.col("b"), "a": F.col("a")}
+    held = matching.with_blocks(frame, rules, 4).select("key", "blocks").distinct()
+    l, r = (held.select(F.col("key").alias(k), F.col("blocks").alias(f"{k}_b")) for k in "lr")
+    judged = l.join(r, F.col("l") < F.col("r")).select("l", "r", matching.shared_rules(F.col("l_b"), F.col("r_b"), list(rules)).alias("rules"))
+    pairs = matching.candidate_pairs(frame, rules, 4)
+    assert {tuple(x) for x in judged.filter("rules is not null").collect()} == {tuple(x) for x in pairs.collect()} == {(1, 2, "a"), (1, 3, "a,b"), (4, 5, "a")}
+    assert tuple(matching.recall(judged).first()) == tuple(matching.blocking_recall(pairs, judged.select("l", "r")).first()) == (55, 3, 3 / 55)
+    plan = _plan(catalog.queries()["blocking_recall"](spark, SF))
+    assert plan.count("Aggregate") == 1
