@@ -301,3 +301,11 @@ def test_recall_needs_no_candidates(spark):
     assert tuple(matching.recall(judged).first()) == tuple(matching.blocking_recall(pairs, judged.select("l", "r")).first()) == (55, 3, 3 / 55)
     plan = _plan(catalog.queries()["blocking_recall"](spark, SF))
     assert plan.count("Aggregate") == 1
+
+
+def test_contribution_of_rules_needs_no_candidates(spark):
+    judged = spark.createDataFrame([(1, 2, "a"), (1, 3, "a,b"), (4, 5, None), (6, 7, "b"), (6, 8, "a")], "l long, r long, rules string")
+    want = [("a", 0.4), ("b", 0.2)]
+    assert [tuple(r) for r in matching.lost_recall(judged, ["a", "b"]).collect()] == want
+    assert [tuple(r) for r in matching.rule_contribution(judged.filter("rules is not null"), judged.select("l", "r"), ["a", "b"]).collect()] == want
+    assert _plan(catalog.queries()["rule_contribution"](spark, SF)).count("Aggregate") == 1
