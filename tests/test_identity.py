@@ -309,3 +309,10 @@ def test_contribution_of_rules_needs_no_candidates(spark):
     assert [tuple(r) for r in matching.lost_recall(judged, ["a", "b"]).collect()] == want
     assert [tuple(r) for r in matching.rule_contribution(judged.filter("rules is not null"), judged.select("l", "r"), ["a", "b"]).collect()] == want
     assert _plan(catalog.queries()["rule_contribution"](spark, SF)).count("Aggregate") == 1
+
+
+def test_review_takes_the_priority_that_pairs_bring(spark):
+    rows = spark.createDataFrame([(1, 2, 0.5, 0.1), (3, 4, 0.9, 0.7)], "l long, r long, score double, priority double")
+    assert [r.l for r in stewardship.review_queue(rows, 2).collect()] == [3, 1]
+    assert [r.l for r in stewardship.review_queue(rows.drop("priority"), 2).collect()] == [1, 3]
+    assert "Aggregate" not in _plan(catalog.queries()["review_queue"](spark, SF))
