@@ -316,3 +316,7 @@ def test_review_takes_the_priority_that_pairs_bring(spark):
     assert [r.l for r in stewardship.review_queue(rows, 2).collect()] == [3, 1]
     assert [r.l for r in stewardship.review_queue(rows.drop("priority"), 2).collect()] == [1, 3]
     assert "Aggregate" not in _plan(catalog.queries()["review_queue"](spark, SF))
+
+
+def test_links_of_components_are_not_grouped_first(spark):
+    assert "Aggregate" not in _plan(catalog._linked(spark, SF))
