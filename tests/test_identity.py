@@ -320,3 +320,17 @@ def test_review_takes_the_priority_that_pairs_bring(spark):
 
 def test_links_of_components_are_not_grouped_first(spark):
     assert "Aggregate" not in _plan(catalog._linked(spark, SF))
+
+
+def test_clusters_look_at_pairs_inside_alone(spark):
+    links = spark.createDataFrame([("a", "b", 0.9), ("b", "c", 0.95), ("a", "c", 0.1), ("c", "x", 0.5), ("x", "y", 0.99)], "a string, b string, score double")
+    members = graph.components(links.filter("score >= 0.8"))
+    inner = graph.inside(links, members)
+    assert inner.count() == 4 and graph.inside(inner, members) is inner
+    told = lambda frame: sorted(map(tuple, frame.collect()))
+    assert told(graph.verdicts(inner, members=members)) == told(graph.verdicts(links))
+    assert told(clusters.cohesion(members, inner)) == told(clusters.cohesion(members, links))
+    named = members.withColumnRenamed("component", "cluster")
+    assert told(clusters.weakest_edges(named, inner.withColumnRenamed("component", "cluster"))) == told(clusters.weakest_edges(named, links))
+    assert told(clusters.resolve_clusters(inner)) == told(clusters.resolve_clusters(links))
+    assert _plan(catalog._clustered(spark, SF)[1]).count("Join") == 5  # both sides' members and blocks, and the sides of a pair
