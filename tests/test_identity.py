@@ -334,3 +334,33 @@ def test_clusters_look_at_pairs_inside_alone(spark):
     assert told(clusters.weakest_edges(named, inner.withColumnRenamed("component", "cluster"))) == told(clusters.weakest_edges(named, links))
     assert told(clusters.resolve_clusters(inner)) == told(clusters.resolve_clusters(links))
     assert _plan(catalog._clustered(spark, SF)[1]).count("Join") == 5  # both sides' members and blocks, and the sides of a pair
+
+
+def test_weakest_cut_equals_trying_every_edge():
+    import random
+
+    def tried(members, edges, cfg):
+        rest = sorted(edges, key=lambda e: (e[2], e[0], e[1]))
+        while rest:
+            tied = [e for e in rest if e[2] <= rest[0][2] + 1e-12]
+            cuts = [c for c in (clusters.parts(members, [x for x in rest if x is not e], cfg.threshold) for e in tied) if len(c) > 1]
+            if cuts:
+                return max(cuts, key=lambda c: len(c[-1]) / len(c[0]))
+            rest = rest[len(tied):]
+        return [{m} for m in sorted(members)]
+
+    dice, cfg = random.Random(5), clusters.ClusterConfig()
+    for _ in range(400):
+        names = [f"n{i}" for i in range(dice.randint(2, 9))]
+        share = dice.random()
+        edges = [(a, b, dice.choice([0.1, 0.5, 0.8, 0.9, 0.95])) for i, a in enumerate(names) for b in names[i + 1 :] if dice.random() < share]
+        assert clusters.weakest_cut(set(names), edges, cfg) == tried(set(names), edges, cfg)
+    names = [f"n{i:03}" for i in range(150)]
+    calls, clusters_parts = [], clusters.parts
+    edges = [(a, b, 0.99) for i, a in enumerate(names) for b in names[i + 1 :]]
+    try:
+        clusters.parts = lambda *x: calls.append(1) or clusters_parts(*x)
+        assert clusters.split(set(names), edges, cfg) == [{n} for n in reversed(names)]
+    finally:
+        clusters.parts = clusters_parts
+    assert len(calls) < 5
