@@ -364,3 +364,11 @@ def test_weakest_cut_equals_trying_every_edge():
     finally:
         clusters.parts = clusters_parts
     assert len(calls) < 5
+
+
+@pytest.mark.parametrize(("name", "column"), [("cohesion", "component"), ("weakest_edges", "cluster")])
+def test_links_of_clusters_bring_their_name(spark, monkeypatch, name, column):
+    seen = []
+    monkeypatch.setattr(clusters, "inside", lambda links, *x: seen.append(links.columns) or graph.inside(links, *x))
+    assert catalog.queries()[name](spark, SF).count() == 5
+    assert column in seen[0]
