@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import gc
 import re
 import tempfile
@@ -19,6 +20,10 @@ WORD_IN_TEXT = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
 #: The separators between words as a Java pattern for text that is not lowered yet.
 JAVA_SEPARATORS = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
+#: Rows of an Arrow batch between Spark and Python. A batch stands several times in an executor's memory outside the heap:
+#: as vectors, as the stream made of them and in the worker. Spark's own 10,000 texts take tens of megabytes each time.
+ROWS_A_BATCH = 512
+
 
 def to_words(text: str | None) -> list[bytes]:
     """Lower-case words of a text as UTF-8; null has none."""
@@ -47,6 +52,18 @@ def shared_dir(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+@contextlib.contextmanager
+def short_batches(spark: SparkSession):
+    """``ROWS_A_BATCH`` rows in an Arrow batch of what is run inside, or the session's own number where that is less."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    own = spark.conf.get(key)
+    spark.conf.set(key, str(ROWS_A_BATCH if int(own) <= 0 else min(ROWS_A_BATCH, int(own))))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, own)
+
+
 def materialize(df: DataFrame, what: str, rows: int | None = None, per_file: int = 1 << 17) -> DataFrame:
     """Write ``df`` once as Parquet in the shared folder and read it back: cuts the lineage, survives a lost executor.
 
@@ -61,7 +78,8 @@ def materialize(df: DataFrame, what: str, rows: int | None = None, per_file: int
     gc.collect()
     spark.sparkContext._jvm.System.gc()
     path = f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    with short_batches(spark):
+        df.write.option("compression", "zstd").parquet(path)
     table = spark.read.schema(df.schema).parquet(path)
     table.kept_at = path
     return table

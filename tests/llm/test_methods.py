@@ -8,10 +8,12 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from entityflow.llm import chat, decontaminate, langid, mixing, neardup, quality_model, quality_rules, sharding, substrings
+from entityflow.llm.common import ROWS_A_BATCH, materialize
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
@@ -267,3 +269,20 @@ def test_further_links_join_known_components(spark):
     more = spark.createDataFrame([(key(a), key(b)) for a, b in ((3, 6), (6, 9), (10, 11))], "a binary, b binary")
     found = sorted((row.h[0], row.root[0]) for row in neardup._merged(roots, more).collect())
     assert found == [(1, 1), (2, 1), (3, 1), (5, 1), (6, 1), (9, 1), (10, 10), (11, 10)]
+
+
+def test_written_tables_take_short_batches(spark):
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+    @F.arrow_udf("bigint")
+    def rows(x: pa.Array) -> pa.Array:
+        return pa.array([len(x)] * len(x), pa.int64())
+
+    most = lambda: materialize(spark.range(0, 3000, 1, 1).select(rows("id").alias("n")), "batches").agg(F.max("n")).first()[0]
+    own = spark.conf.get(key)
+    assert most() == ROWS_A_BATCH < int(own) and spark.conf.get(key) == own
+    spark.conf.set(key, "100")
+    try:
+        assert most() == 100 and spark.conf.get(key) == "100"
+    finally:
+        spark.conf.set(key, own)
