@@ -1,6 +1,7 @@
 """Names, linkage and clusters against literal facts and plain second implementations."""
 
 import math
+import random
 from collections import Counter
 from dataclasses import replace
 
@@ -372,3 +373,36 @@ def test_links_of_clusters_bring_their_name(spark, monkeypatch, name, column):
     monkeypatch.setattr(clusters, "inside", lambda links, *x: seen.append(links.columns) or graph.inside(links, *x))
     assert catalog.queries()[name](spark, SF).count() == 5
     assert column in seen[0]
+
+
+def _odd_parts(spark, rows=300):
+    """Parts with copies; of a key with several rows, a null key, and null fields."""
+    rng = random.Random(5)
+    out = [(k, rng.choice("xyz"), rng.choice(["p", "q", None]), rng.choice("st")) for k in range(rows)]
+    return {
+        "plain": spark.createDataFrame([*out, (None, "x", "p", "s")], "key long, a string, b string, c string"),
+        "repeated": spark.createDataFrame([*out, (None, "x", "p", "s"), (3, "x", "q", "t"), (3, "y", "q", "t"), (4, "x", "p", "s"), (4, "x", "p", "s")], "key long, a string, b string, c string"),
+    }
+
+
+def _odd_rules():
+    return {"ab": matching.composite(F.col("a"), F.col("b")), "ac": matching.composite(F.col("a"), F.col("c"))}
+
+
+@pytest.mark.parametrize("kind", ["plain", "repeated"])
+@pytest.mark.parametrize("most", [None, 55])
+def test_sure_pairs_are_listed_from_classes(spark, monkeypatch, kind, most):
+    rows = _odd_parts(spark)[kind]
+    monkeypatch.setattr(matching, "PART", 20)
+    found = matching.deterministic_matches(rows, {n: (c, {"ab": 0.9, "ac": 0.95}[n]) for n, c in _odd_rules().items()}, most)
+    made = matching.candidate_pairs(rows, _odd_rules(), most).collect()
+    want = {(r.l, r.r, *(("ac", 0.95) if "ac" in r.rules else ("ab", 0.9))) for r in made}
+    assert sorted(map(tuple, found.collect())) == sorted(want) and len(want) == len(made) > 1000
+    assert "explode(l_keys" in _plan(found)
+
+
+def test_sure_pairs_have_the_bound_of_their_sql(spark, tmp_path):
+    rows = spark.range(1200).selectExpr("id as p_partkey", "'n' as p_name", "'b' as p_brand", "cast(id div 2 as string) as p_type", "1 as p_size")
+    rows.write.parquet(f"{tmp_path}/part.parquet")
+    found = catalog.queries()["deterministic_matches"](spark, str(tmp_path)).collect()
+    assert sorted((r.l, r.r, r.rule) for r in found) == [(k, k + 1, "kind") for k in range(0, 1200, 2)]
