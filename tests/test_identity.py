@@ -406,3 +406,22 @@ def test_sure_pairs_have_the_bound_of_their_sql(spark, tmp_path):
     rows.write.parquet(f"{tmp_path}/part.parquet")
     found = catalog.queries()["deterministic_matches"](spark, str(tmp_path)).collect()
     assert sorted((r.l, r.r, r.rule) for r in found) == [(k, k + 1, "kind") for k in range(0, 1200, 2)]
+
+
+@pytest.mark.parametrize("kind", ["plain", "repeated"])
+def test_links_of_classes_connect_what_their_pairs_do(spark, monkeypatch, kind):
+    rows = _odd_parts(spark)[kind]
+    monkeypatch.setattr(matching, "PART", 20)
+    strong = (F.col("l_c") == F.col("r_c")) & (F.col("l_b") == F.col("r_b"))
+    pairs = matching.candidate_pairs(rows, _odd_rules(), 80, carry=["b", "c"]).filter(strong)
+    alike = matching.classes(rows, _odd_rules(), 80, ["b", "c"])
+    links = matching.spanning_links(matching.class_pairs(alike, _odd_rules(), lambda shares: [], ["b", "c"]).filter(strong))
+    told = lambda frame: sorted(map(tuple, graph.components(frame).collect()))
+    assert told(links) == told(pairs.select(F.col("l").alias("a"), F.col("r").alias("b"))) and links.count() < pairs.count() / 2
+
+
+def test_sizes_of_components_make_no_row_for_a_pair(spark, tmp_path):
+    rows = spark.range(900).selectExpr("id as p_partkey", "'n' as p_name", "'b' as p_brand", "'t' as p_type", "1 as p_size")
+    rows.write.parquet(f"{tmp_path}/part.parquet")
+    assert catalog._connected(spark, str(tmp_path)).count() < 2 * 900
+    assert [tuple(r) for r in catalog.queries()["size_distribution"](spark, str(tmp_path)).collect()] == [(900, 1)]
