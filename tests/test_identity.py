@@ -425,3 +425,20 @@ def test_sizes_of_components_make_no_row_for_a_pair(spark, tmp_path):
     rows.write.parquet(f"{tmp_path}/part.parquet")
     assert catalog._connected(spark, str(tmp_path)).count() < 2 * 900
     assert [tuple(r) for r in catalog.queries()["size_distribution"](spark, str(tmp_path)).collect()] == [(900, 1)]
+
+
+@pytest.mark.parametrize("kind", ["plain", "repeated"])
+@pytest.mark.parametrize("k", [1, 7, 50, 5000])
+def test_first_pairs_of_all_come_from_few_classes(spark, kind, k):
+    rows = _odd_parts(spark)[kind]
+    priority = F.when(F.col("l_c") == F.col("r_c"), 0.5).otherwise(0.7).alias("priority")
+    pairs = matching.candidate_pairs(rows, _odd_rules(), carry=["c"]).select("l", "r", priority)
+    told = matching.class_pairs(matching.classes(rows, _odd_rules(), columns=["c"]), _odd_rules(), lambda shares: [], ["c"]).select("l_keys", "r_keys", "own", priority)
+    first = matching.first_pairs(told, F.desc("priority"), k)
+    ranked = lambda frame: [tuple(r) for r in frame.orderBy(F.desc("priority"), "l", "r").limit(k).collect()]
+    assert ranked(matching.each_pair(first)) == ranked(pairs)
+    assert all(len(set(r.l_keys)) <= k + 1 for r in first.collect())
+
+
+def test_review_looks_at_classes(spark):
+    assert "explode(l_keys" in _plan(catalog.queries()["review_queue"](spark, SF))
