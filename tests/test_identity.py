@@ -442,3 +442,20 @@ def test_first_pairs_of_all_come_from_few_classes(spark, kind, k):
 
 def test_review_looks_at_classes(spark):
     assert "explode(l_keys" in _plan(catalog.queries()["review_queue"](spark, SF))
+
+
+@pytest.mark.parametrize("kind", ["plain", "repeated"])
+def test_true_pairs_are_counted_by_classes(spark, kind):
+    rows = _odd_parts(spark)[kind]
+    told = matching.true_classes(rows, ["a", "c"], _odd_rules(), 70)
+    held = matching.with_blocks(rows, _odd_rules(), 70)
+    l, r = (held.select(F.col("key").alias(k), "a", "c", F.col("blocks").alias(f"{k}_b")) for k in "lr")
+    judged = l.join(r, ["a", "c"]).filter("l < r").select("l", "r", matching.shared_rules(F.col("l_b"), F.col("r_b"), list(_odd_rules())).alias("rules"))
+    assert tuple(matching.recall(told).first()) == tuple(matching.recall(judged).first())
+    drops = lambda frame: sorted(map(tuple, matching.lost_recall(frame, list(_odd_rules())).collect()))
+    assert drops(told) == drops(judged) and told.count() < judged.count() / 100
+    assert tuple(matching.recall(told.filter("false")).first()) == (0, 0, 1.0) and drops(told.filter("false")) == [("ab", 0.0), ("ac", 0.0)]
+
+
+def test_contribution_is_told_from_classes(spark):
+    assert "n" in catalog._judged(spark, SF).columns
