@@ -198,6 +198,12 @@ def _pairs(led: DataFrame) -> DataFrame:
     )
 
 
+def _once(f, kind: str):
+    """An Arrow function whose result may be filtered: else the filter is pushed below it and calls it a second time, which
+    takes a second worker and a second set of batches of each task."""
+    return F.arrow_udf(f, kind).asNondeterministic()
+
+
 def _estimate(x: str, y: str) -> Column:
     """The similarity of two texts by the bytes of their coordinates."""
 
@@ -208,7 +214,7 @@ def _estimate(x: str, y: str) -> Column:
         return pa.array((((left == right).mean(axis=1)) - 1 / 256) / (1 - 1 / 256), pa.float64())
 
     estimate.__annotations__ = {"x": pa.Array, "y": pa.Array, "return": pa.Array}
-    return F.arrow_udf(estimate, "double")(x, y)
+    return _once(estimate, "double")(x, y)
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, documents: DataFrame, threshold: float) -> DataFrame:
@@ -259,7 +265,7 @@ def _settled(rated: DataFrame, texts: DataFrame, documents: DataFrame, threshold
         return pa.array(out, pa.float64())
 
     exact.__annotations__ = {"x": pa.Array, "y": pa.Array, "return": pa.Array}
-    linked = pair.select("a", "b", F.arrow_udf(exact, "double")("x", "y").alias("s"))
+    linked = pair.select("a", "b", _once(exact, "double")("x", "y").alias("s"))
     return sure.unionByName(linked.filter(F.col("s") >= threshold).select("a", "b"))
 
 

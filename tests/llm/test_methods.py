@@ -286,3 +286,17 @@ def test_written_tables_take_short_batches(spark):
         assert most() == 100 and spark.conf.get(key) == "100"
     finally:
         spark.conf.set(key, own)
+
+
+def test_filtered_comparisons_run_once(spark):
+    pairs = spark.createDataFrame([(b"a" * 256, b"a" * 256)], "x binary, y binary").repartition(2)
+    runs = lambda df: df._jdf.queryExecution().optimizedPlan().toString().count("ArrowEvalPython")
+    rated = pairs.select(neardup._estimate("x", "y").alias("e")).filter("e > 0.5")
+    assert runs(rated) == 1 and rated.first().e == 1.0
+    words = [f"w{i}" for i in range(100)]
+    docs = frame(spark, [(1, " ".join(words), None), (2, " ".join(words[:-8]), None), (3, " ".join(words[50:]), None)])
+    texts = docs.select(F.unhex(F.md5("text")).alias("h"), F.col("doc_id").alias("id"))
+    h = {r.id: r.h for r in texts.collect()}
+    near = spark.createDataFrame([(h[1], h[2], 0.8), (h[1], h[3], 0.8)], "a binary, b binary, e double")
+    linked = neardup._settled(near, texts, docs, 0.8)
+    assert runs(linked) == 1 and [(r.a, r.b) for r in linked.collect()] == [(h[1], h[2])]
