@@ -23,6 +23,8 @@ JAVA_SEPARATORS = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 #: Rows of an Arrow batch between Spark and Python. A batch stands several times in an executor's memory outside the heap:
 #: as vectors, as the stream made of them and in the worker. Spark's own 10,000 texts take tens of megabytes each time.
 ROWS_A_BATCH = 512
+#: Its bytes at most, or one row: 512 long texts would be tens of megabytes again.
+BYTES_A_BATCH = 4 << 20
 
 
 def to_words(text: str | None) -> list[bytes]:
@@ -54,14 +56,19 @@ def shared_dir(spark: SparkSession) -> str:
 
 @contextlib.contextmanager
 def short_batches(spark: SparkSession):
-    """``ROWS_A_BATCH`` rows in an Arrow batch of what is run inside, or the session's own number where that is less."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    own = spark.conf.get(key)
-    spark.conf.set(key, str(ROWS_A_BATCH if int(own) <= 0 else min(ROWS_A_BATCH, int(own))))
+    """``ROWS_A_BATCH`` rows and ``BYTES_A_BATCH`` bytes in an Arrow batch of what is run inside, or the session's own bounds
+    where those are less."""
+    prefix = "spark.sql.execution.arrow.max"
+    rows, size = f"{prefix}RecordsPerBatch", f"{prefix}BytesPerBatch"
+    own = {key: spark.conf.get(key) for key in (rows, size)}
+    n, most = int(own[rows]), spark.sparkContext._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(own[size])
+    spark.conf.set(rows, str(ROWS_A_BATCH if n <= 0 else min(ROWS_A_BATCH, n)))
+    spark.conf.set(size, str(BYTES_A_BATCH if most <= 0 else min(BYTES_A_BATCH, most)))
     try:
         yield
     finally:
-        spark.conf.set(key, own)
+        for key, value in own.items():
+            spark.conf.set(key, value)
 
 
 def materialize(df: DataFrame, what: str, rows: int | None = None, per_file: int = 1 << 17) -> DataFrame:

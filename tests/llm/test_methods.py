@@ -13,7 +13,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from entityflow.llm import chat, decontaminate, langid, mixing, neardup, quality_model, quality_rules, sharding, substrings
-from entityflow.llm.common import ROWS_A_BATCH, materialize
+from entityflow.llm.common import BYTES_A_BATCH, ROWS_A_BATCH, materialize
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
@@ -300,3 +300,16 @@ def test_filtered_comparisons_run_once(spark):
     near = spark.createDataFrame([(h[1], h[2], 0.8), (h[1], h[3], 0.8)], "a binary, b binary, e double")
     linked = neardup._settled(near, texts, docs, 0.8)
     assert runs(linked) == 1 and [(r.a, r.b) for r in linked.collect()] == [(h[1], h[2])]
+
+
+def test_written_tables_take_batches_of_few_bytes(spark):
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+    @F.arrow_udf("bigint")
+    def size(x: pa.Array) -> pa.Array:
+        return pa.array([sum(map(len, x.to_pylist()))] * len(x), pa.int64())
+
+    own = spark.conf.get(key)
+    long = spark.range(0, 400, 1, 1).select(size(F.repeat(F.lit("x"), 50_000)).alias("n"))
+    assert materialize(long, "long-texts").agg(F.max("n")).first()[0] < BYTES_A_BATCH + 100_000
+    assert spark.conf.get(key) == own
