@@ -5,6 +5,7 @@ import random
 from collections import Counter
 from dataclasses import replace
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
@@ -408,6 +409,19 @@ def test_sure_pairs_have_the_bound_of_their_sql(spark, tmp_path):
     assert sorted((r.l, r.r, r.rule) for r in found) == [(k, k + 1, "kind") for k in range(0, 1200, 2)]
 
 
+def test_sure_pairs_of_blocks_of_any_size_are_listed(spark, tmp_path):
+    rows = spark.range(1200).selectExpr("id as p_partkey", "'n' as p_name", "'b' as p_brand", "cast(id div 2 as string) as p_type", "1 as p_size")
+    rows.write.parquet(f"{tmp_path}/part.parquet")
+    found = catalog.queries()["deterministic_matches"](spark, str(tmp_path))
+    kept = found.filter("l < r and (rule = 'kind') = (l div 2 = r div 2)")
+    assert found.count() == kept.select("l", "r").distinct().count() == 1200 * 1199 // 2
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW part AS SELECT * FROM '{tmp_path}/part.parquet/*.parquet'")
+    want = con.execute(f"SELECT rule, confidence, count(*), sum(l)::BIGINT, sum(r)::BIGINT FROM ({catalog.oracle_sql()['deterministic_matches']}) GROUP BY 1, 2 ORDER BY 1").fetchall()
+    told = found.groupBy("rule", "confidence").agg(F.count(F.lit(1)), F.sum("l"), F.sum("r")).orderBy("rule").collect()
+    assert [tuple(r) for r in told] == want and [r[:3] for r in want] == [("brand", 0.95, 718800), ("kind", 0.99, 600)]
+
+
 @pytest.mark.parametrize("kind", ["plain", "repeated"])
 def test_links_of_classes_connect_what_their_pairs_do(spark, monkeypatch, kind):
     rows = _odd_parts(spark)[kind]
